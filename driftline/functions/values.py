@@ -43,18 +43,32 @@ def kind_of(dtype: T.DataType) -> str:
     raise TypeError(f"no value kind for type {dtype.simpleString()}")
 
 
-def text_of(col: Column, dtype: T.DataType) -> Column:
+def quote_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quote_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def value_sql(expr: str, dtype: T.DataType) -> str:
+    """SQL of a typed expression as a value struct; null stays null.
+
+    Per-column expressions are generated as SQL text: a wide table then costs one parse
+    instead of thousands of calls into the JVM.
+    """
     if isinstance(dtype, T.BinaryType):
-        return F.base64(col)
-    if isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
-        return F.to_json(col)
-    return col.cast("string")
+        text = f"base64({expr})"
+    elif isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
+        text = f"to_json({expr})"
+    else:
+        text = f"CAST({expr} AS STRING)"
+    return f"IF({expr} IS NULL, NULL, named_struct('kind', '{kind_of(dtype)}', 'val', {text}))"
 
 
-def typed_value(col: Column, dtype: T.DataType) -> Column:
-    """A typed column as a value struct; null stays null."""
-    value = F.struct(F.lit(kind_of(dtype)).alias("kind"), text_of(col, dtype).alias("val"))
-    return F.when(col.isNotNull(), value).otherwise(F.lit(None).cast(VALUE_TYPE))
+def typed_value(name: str, dtype: T.DataType) -> Column:
+    """A typed column as a value struct."""
+    return F.expr(value_sql(quote_name(name), dtype))
 
 
 def variant_value(variant: Column) -> Column:
@@ -77,15 +91,10 @@ def variant_value(variant: Column) -> Column:
         F.lit(None).cast(VALUE_TYPE))
 
 
-def field_map(df: DataFrame, columns: list[str] | None = None,
-              rename: dict[str, str] | None = None, keep_nulls: bool = True) -> Column:
+def field_map(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Typed columns as ``map<string, struct<kind, val>>``."""
-    rename = rename or {}
-    pairs = []
-    for name in columns or df.columns:
-        pairs += [F.lit(rename.get(name, name)), typed_value(F.col(f"`{name}`"), df.schema[name].dataType)]
-    fields = F.create_map(*pairs)
-    return fields if keep_nulls else F.map_filter(fields, lambda _, v: v.isNotNull())
+    pairs = [f"{quote_text(c)}, {value_sql(quote_name(c), df.schema[c].dataType)}" for c in columns or df.columns]
+    return F.expr(f"map({', '.join(pairs)})")
 
 
 def _json_kind(kind: Column) -> Column:
@@ -132,11 +141,16 @@ def difference_type(left: Column, right: Column) -> Column:
     )
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def floor_to_window(ts: Column, window_micros: int) -> Column:
     """A timestamp floored to a window counted from 0001-01-01."""
     if window_micros <= 0:
         return ts
-    ticks = F.unix_micros(ts) + F.lit(EPOCH_OFFSET_MICROS)
+    ticks = micros(ts) + F.lit(EPOCH_OFFSET_MICROS)
     floored = ticks - F.pmod(ticks, F.lit(window_micros))
     return F.timestamp_micros(floored - F.lit(EPOCH_OFFSET_MICROS))
 

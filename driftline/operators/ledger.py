@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.text import document_number
+from driftline.functions.values import micros
 from driftline.operators.ordering import number_rows
 
 # Accounts an invoice posts to (fixed values).
@@ -187,7 +188,7 @@ def invoice_orders(requests: DataFrame, orders: DataFrame, lines: DataFrame, acc
         "ar_number": document_number("AR", year, F.col("n") + last_ar),
         "gl_number": document_number("GL", year, F.col("n") + last_gl),
     })
-    due = F.timestamp_micros(F.unix_micros(invoice_date) + F.lit(due_days * 86_400_000_000))
+    due = F.timestamp_micros(micros(invoice_date) + F.lit(due_days * 86_400_000_000))
     ar = ids.select(
         "ar_transaction_id", F.col("ar_number").alias("transaction_number"),
         F.lit("Invoice").alias("transaction_type"), "sales_order_id", "customer_name",

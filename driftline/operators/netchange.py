@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.keys import key_columns_value
-from driftline.functions.values import field_map, typed_value
+from driftline.functions.values import field_map, quote_name, quote_text, value_sql
 from driftline.model import (
     DELETE, INSERT, KEY_FIELD, LSN_FIELD, OPERATION_FIELD, TABLE_FIELD, UPDATE_AFTER,
-    UPDATE_BEFORE, VALUE_TYPE)
+    UPDATE_BEFORE)
 
 CHANGE_COLUMNS = ("table_name", "start_lsn", "seqval", "op")
 
@@ -39,32 +39,37 @@ def fold_images(changes: DataFrame, keys: list[str], columns: list[str]) -> Data
 
 def net_from_images(folded: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Net change of each key from its first and last image; keys that net to nothing go."""
-    first, last = F.col("first"), F.col("last")
-    has_before = first["op"].isin(DELETE, UPDATE_BEFORE)
+    first, last = F.col("first.op"), F.col("last.op")
+    has_before = first.isin(DELETE, UPDATE_BEFORE)
     # An after-image without its before-image: the row existed, its old values are unknown.
-    unknown_before = first["op"] == UPDATE_AFTER
-    has_after = last["op"].isin(INSERT, UPDATE_AFTER)
+    existed = first.isin(DELETE, UPDATE_BEFORE, UPDATE_AFTER)
+    has_after = last.isin(INSERT, UPDATE_AFTER)
     op = (
-        F.when(has_after & (has_before | unknown_before), UPDATE_AFTER)
+        F.when(has_after & existed, UPDATE_AFTER)
         .when(has_after, INSERT)
-        .when((last["op"] == DELETE) & (has_before | unknown_before), DELETE)
+        .when((last == DELETE) & existed, DELETE)
     )
     return (
         folded.select(
-            "table_name", *keys,
-            op.cast("int").alias("op"),
-            last["start_lsn"].alias("start_lsn"),
-            F.when(has_before, F.struct(*[first[c].alias(c) for c in columns])).alias("before"),
-            F.when(has_after, F.struct(*[last[c].alias(c) for c in columns])).alias("after"))
+            "table_name", *keys, op.cast("int").alias("op"), F.col("last.start_lsn").alias("start_lsn"),
+            F.when(has_before, image_of("first", columns)).alias("before"),
+            F.when(has_after, image_of("last", columns)).alias("after"))
         .withColumn("changed", changed_columns(columns))
-        .filter(F.col("op").isNotNull() & ((F.col("op") != UPDATE_AFTER) | (F.size("changed") > 0)))
+        .filter("op IS NOT NULL AND (op <> 4 OR size(changed) > 0)")
     )
 
 
+def image_of(name: str, columns: list[str]) -> Column:
+    """The data columns of an image struct."""
+    parts = ", ".join(f"{quote_text(c)}, {name}.{quote_name(c)}" for c in columns)
+    return F.expr(f"named_struct({parts})")
+
+
 def changed_columns(columns: list[str]) -> Column:
     """Names of the columns that differ between the ``before`` and ``after`` structs."""
-    differing = [F.when(~F.col("before")[c].eqNullSafe(F.col("after")[c]), F.lit(c)) for c in columns]
-    return F.array_compact(F.array(*differing)) if columns else F.array().cast("array<string>")
+    differing = ", ".join(
+        f"IF(before.{quote_name(c)} <=> after.{quote_name(c)}, NULL, {quote_text(c)})" for c in columns)
+    return F.expr(f"array_compact(array({differing}))")
 
 
 def net_change(changes: DataFrame, keys: list[str], columns: list[str] | None = None,
@@ -85,21 +90,15 @@ def net_change(changes: DataFrame, keys: list[str], columns: list[str] | None =
         F.max_by(image, position).alias("last"),
         F.min_by(image, F.when(F.col("op") == UPDATE_BEFORE, position)).alias("b"),
         F.min_by(image, F.when(F.col("op") == UPDATE_AFTER, position)).alias("a"))
-    last = F.col("last")
-    single = F.struct(*[last[c].alias(c) for c in columns])
-    updated = last["op"].isin(UPDATE_BEFORE, UPDATE_AFTER)
-    before = F.when(last["op"] == 2, single).when(
-        updated & F.col("b").isNotNull() & F.col("a").isNotNull(),
-        F.struct(*[F.col("b")[c].alias(c) for c in columns]))
-    after = F.when(last["op"] == 1, single).when(
-        updated & F.col("b").isNotNull() & F.col("a").isNotNull(),
-        F.struct(*[F.col("a")[c].alias(c) for c in columns]))
+    last = F.col("last.op")
+    paired = last.isin(UPDATE_BEFORE, UPDATE_AFTER) & F.col("b").isNotNull() & F.col("a").isNotNull()
+    before = F.when(last == 2, image_of("last", columns)).when(paired, image_of("b", columns))
+    after = F.when(last == 1, image_of("last", columns)).when(paired, image_of("a", columns))
     return (
-        folded.select("table_name", keys[0], last["op"].cast("int").alias("op"),
-                      last["start_lsn"].alias("start_lsn"),
-                      before.alias("before"), after.alias("after"))
+        folded.select("table_name", keys[0], last.cast("int").alias("op"),
+                      F.col("last.start_lsn").alias("start_lsn"), before.alias("before"), after.alias("after"))
         .withColumn("changed", changed_columns(columns))
-        .filter(F.size("changed") > 0)
+        .filter("size(changed) > 0")
     )
 
 
@@ -107,10 +106,10 @@ def net_flat(net: DataFrame, keys: list[str]) -> DataFrame:
     """Net changes with typed ``old_<col>`` and ``new_<col>`` columns, null where unchanged."""
     columns = net.schema["after"].dataType.fieldNames()
     shown = [
-        F.when(F.array_contains("changed", c), F.col(side)[c]).alias(f"{prefix}_{c}")
-        for c in columns for side, prefix in (("before", "old"), ("after", "new"))
+        f"IF(array_contains(changed, {quote_text(c)}), {side}.{quote_name(c)}, NULL) AS {quote_name(prefix + c)}"
+        for c in columns for side, prefix in (("before", "old_"), ("after", "new_"))
     ]
-    return net.select("table_name", *keys, "op", "start_lsn", *shown)
+    return net.selectExpr("table_name", *map(quote_name, keys), "op", "start_lsn", *shown)
 
 
 def net_records(net: DataFrame, keys: list[str], ordinal: Column) -> DataFrame:
@@ -119,30 +118,27 @@ def net_records(net: DataFrame, keys: list[str], ordinal: Column) -> DataFrame:
     An insert lists its non-null values as ``new_``, a delete as ``old_``; an update lists
     both sides of the fields that changed.
     """
+    def entry(name: str, expr: str, dtype) -> str:
+        return f"named_struct('key', {quote_text(name)}, 'value', {value_sql(expr, dtype)})"
+
     schema = net.schema
-    pk = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
-    pk_type = schema[keys[0]].dataType if len(keys) == 1 else None
+    pk = f"concat_ws('|', {', '.join(f'coalesce(CAST({quote_name(k)} AS STRING), {chr(39)}null{chr(39)})' for k in keys)})"
     entries = [
-        _entry(OPERATION_FIELD, F.col("op"), schema["op"].dataType),
-        _entry(LSN_FIELD, F.col("start_lsn"), schema["start_lsn"].dataType),
-        _entry(TABLE_FIELD, F.col("table_name"), schema["table_name"].dataType),
-        _entry(KEY_FIELD, F.col(keys[0]), pk_type) if pk_type is not None
-        else _entry(KEY_FIELD, pk, schema["table_name"].dataType),
+        entry(OPERATION_FIELD, "op", schema["op"].dataType),
+        entry(LSN_FIELD, "start_lsn", schema["start_lsn"].dataType),
+        entry(TABLE_FIELD, "table_name", schema["table_name"].dataType),
+        entry(KEY_FIELD, quote_name(keys[0]), schema[keys[0]].dataType) if len(keys) == 1
+        else entry(KEY_FIELD, pk, schema["table_name"].dataType),
     ]
-    update = F.col("op").isin(UPDATE_BEFORE, UPDATE_AFTER)
     for field in schema["after"].dataType.fields:
-        listed = F.array_contains("changed", field.name)
-        for side, prefix in (("before", "old"), ("after", "new")):
-            value = F.col(side)[field.name]
-            shown = F.col(side).isNotNull() & listed & (update | value.isNotNull())
-            entries.append(F.when(shown, _entry(f"{prefix}_{field.name}", value, field.dataType)))
+        listed = f"array_contains(changed, {quote_text(field.name)})"
+        for side, prefix in (("before", "old_"), ("after", "new_")):
+            value = f"{side}.{quote_name(field.name)}"
+            shown = f"{side} IS NOT NULL AND {listed} AND (op IN (3, 4) OR {value} IS NOT NULL)"
+            entries.append(f"IF({shown}, {entry(prefix + field.name, value, field.dataType)}, NULL)")
     return net.select(
-        F.col("table_name"), ordinal.cast("bigint").alias("ordinal"), pk.alias("pk"),
-        F.map_from_entries(F.array_compact(F.array(*entries))).alias("fields"))
-
-
-def _entry(name: str, value: Column, dtype) -> Column:
-    return F.struct(F.lit(name).alias("key"), typed_value(value, dtype).cast(VALUE_TYPE).alias("value"))
+        F.col("table_name"), ordinal.cast("bigint").alias("ordinal"), F.expr(pk).alias("pk"),
+        F.expr(f"map_from_entries(array_compact(array({', '.join(entries)})))").alias("fields"))
 
 
 def capture_records(df: DataFrame, table_name: str, keys: list[str], ordinal: Column,

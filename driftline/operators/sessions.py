@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.values import micros
 from driftline.operators.trace import events_per_session
 
 
@@ -82,7 +83,7 @@ def workflow_report(steps: DataFrame) -> DataFrame:
         F.bool_and("success").alias("success"),
         F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
     return report.withColumn(
-        "duration_seconds", F.floor((F.unix_micros("end_time") - F.unix_micros("start_time")) / 1_000_000))
+        "duration_seconds", F.floor((micros(F.col("end_time")) - micros(F.col("start_time"))) / 1_000_000))
 
 
 def comparison_rollup(comparisons: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.statements import is_replayable, is_system, skip_statement
 from driftline.functions.text import clean_sql, is_blank
+from driftline.functions.values import micros
 from driftline.operators.ordering import number_rows
 
 
@@ -77,7 +78,7 @@ def trace_stats(events: DataFrame) -> DataFrame:
     return reduced.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_events"),
         F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("replayable_events"),
-        F.coalesce(F.unix_micros(F.max("last")) - F.unix_micros(F.min("first")), F.lit(0)).alias("time_span_micros"),
+        F.coalesce(micros(F.max("last")) - micros(F.min("first")), F.lit(0)).alias("time_span_micros"),
         F.count_distinct("db").alias("databases"), F.count_distinct("app").alias("applications"))
 
 

@@ -3,6 +3,6 @@
 
 def all_catalogs():
     """The catalogs of every query family."""
-    from driftline.plans import captures
+    from driftline.plans import captures, changes, diffs, trace
 
-    return [captures.catalog]
+    return [captures.catalog, changes.catalog, diffs.catalog, trace.catalog]

@@ -54,7 +54,8 @@ def compare(spark, con, query, sql: str, sf: str) -> tuple[int, list[str]]:
     if len(left) != len(right):
         found.append(f"rows {len(left)} != {len(right)}")
     if not found and left != right:
-        only_left = [r for r in left if r not in set(right)][:3]
-        only_right = [r for r in right if r not in set(left)][:3]
+        in_left, in_right = set(left), set(right)
+        only_left = [r for r in left if r not in in_right][:3]
+        only_right = [r for r in right if r not in in_left][:3]
         found.append(f"values: spark only {only_left}; sql only {only_right}")
     return len(left), found
