@@ -3,6 +3,6 @@
 
 def all_catalogs():
     """The catalogs of every query family."""
-    from driftline.plans import captures, changes, diffs, trace
+    from driftline.plans import captures, changes, diffs, ledger, trace
 
-    return [captures.catalog, changes.catalog, diffs.catalog, trace.catalog]
+    return [captures.catalog, changes.catalog, diffs.catalog, trace.catalog, ledger.catalog]

@@ -14,6 +14,10 @@ from driftline.functions.values import NUMBER_KINDS
 from driftline.operators.stats import capture_fingerprint, capture_totals
 
 
+# Export keeps microseconds.
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def _json_scalar(value: Column) -> Column:
     """A value struct as JSON text of its kind."""
     bare = value["kind"].isin(*NUMBER_KINDS, "boolean", "object", "array")
@@ -51,13 +55,19 @@ def save_capture(capture: DataFrame, path: str, capture_header_id: str, capture_
 
 
 def append_trace_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").partitionBy("session_id").parquet(path)
+    """Append events, one folder per session.
+
+    Ranges over (session, event): a large session spans many files, small ones share a task.
+    """
+    placed = events.repartitionByRange("session_id", "event_id")
+    placed.write.mode("append").partitionBy("session_id").parquet(path)
 
 
 def export_trace(events: DataFrame, path: str) -> None:
     """Nine columns of the events as JSON lines."""
     events.select("event_id", "event_time", "event_name", "database_name", "login_name", "application_name",
-                  "host_name", "sql_text", "execution_order").write.mode("overwrite").json(path)
+                  "host_name", "sql_text", "execution_order").write.mode("overwrite").json(
+        path, timestampFormat=TIMESTAMP_FORMAT)
 
 
 def write_profile(capture: DataFrame, path: str) -> None:

@@ -22,6 +22,8 @@ ACTION_ITEMS = {
     "client_connection_id": ("client_connection_id", "string"),
     "transaction_id": ("transaction_id", "bigint"),
 }
+# Statement text keeps its leading and trailing spaces.
+XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 _ITEM = "array<struct<_name:string,value:string>>"
 _EVENT = f"struct<_name:string,_timestamp:string,data:{_ITEM},action:{_ITEM}>"
 
@@ -34,7 +36,7 @@ def _item(side: str, name: str, dtype: str) -> Column:
 
 def shred_trace_xml(documents: DataFrame, xml: str = "target_data") -> DataFrame:
     """Ring-buffer documents as one row per event with typed columns."""
-    buffer = F.from_xml(xml, f"event array<{_EVENT}>")
+    buffer = F.from_xml(xml, f"event array<{_EVENT}>", XML_OPTIONS)
     others = [c for c in documents.columns if c != xml]
     events = documents.select(*others, F.explode(buffer["event"]).alias("event"))
     columns = [
@@ -49,7 +51,7 @@ def shred_trace_xml(documents: DataFrame, xml: str = "target_data") -> DataFrame
 def read_trace_xml(spark: SparkSession, path: str) -> DataFrame:
     """Large ring-buffer files, split by event element."""
     schema = f"_name string, _timestamp string, data {_ITEM}, action {_ITEM}"
-    rows = spark.read.format("xml").option("rowTag", "event").schema(schema).load(path)
+    rows = spark.read.format("xml").options(rowTag="event", **XML_OPTIONS).schema(schema).load(path)
     events = rows.select(F.struct(*rows.columns).alias("event"))
     return events.select(
         F.col("event._timestamp").try_cast("timestamp").alias("event_time"),
