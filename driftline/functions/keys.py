@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftline.functions.text import base64_text
 from driftline.model import KEY_FIELD
 
 # Names looked up, in this order, as the natural key of a record (fixed values).
@@ -16,7 +17,7 @@ def sha256_hex(text: Column) -> Column:
 
 
 def sha256_base64(text: Column) -> Column:
-    return F.base64(F.unhex(sha256_hex(text)))
+    return base64_text(F.unhex(sha256_hex(text)))
 
 
 def lsn_hex(lsn: Column) -> Column:
@@ -24,7 +25,7 @@ def lsn_hex(lsn: Column) -> Column:
 
 
 def lsn_base64(lsn: Column) -> Column:
-    return F.base64(lsn)
+    return base64_text(lsn)
 
 
 def pk_value(fields: Column) -> Column:

@@ -143,8 +143,13 @@ def ends_with_ignore_case(col: Column, part: Column) -> Column:
     return F.endswith(F.lower(col), F.lower(part))
 
 
+def base64_text(col: Column) -> Column:
+    """Base64 of bytes on one line, whatever line length the session is set to."""
+    return F.replace(F.base64(col), F.lit("\r\n"), F.lit(""))
+
+
 def to_base64(col: Column) -> Column:
-    return F.base64(F.encode(col, "UTF-8"))
+    return base64_text(F.encode(col, "UTF-8"))
 
 
 def from_base64(col: Column) -> Column:

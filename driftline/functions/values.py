@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.functions.text import matches_any_pattern
+from driftline.functions.text import base64_text, matches_any_pattern
 from driftline.model import DEFAULT_EXCLUDED_COLUMNS, DEFAULT_TOLERANCE_MICROS, VALUE_TYPE
 
 NUMBER_KINDS = ("bigint", "decimal", "double")
@@ -58,7 +58,7 @@ def value_sql(expr: str, dtype: T.DataType) -> str:
     instead of thousands of calls into the JVM.
     """
     if isinstance(dtype, T.BinaryType):
-        text = f"base64({expr})"
+        text = f"replace(base64({expr}), '\\r\\n', '')"
     elif isinstance(dtype, (T.StructType, T.MapType, T.ArrayType)):
         text = f"to_json({expr})"
     else:
@@ -141,6 +141,32 @@ def difference_type(left: Column, right: Column) -> Column:
     )
 
 
+def read_utc(ts: Column) -> Column:
+    """A timestamp without a zone, declared to be UTC, as an instant."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts.cast("timestamp_ntz")).cast("timestamp")
+
+
+def null_defaults(df: DataFrame, guid_columns=(), keep_nulls: bool = False) -> DataFrame:
+    """Nulls as the default of their type; text stays null."""
+    if keep_nulls:
+        return df
+    filled = {}
+    for f in df.schema:
+        kind = kind_of(f.dataType)
+        if f.name in guid_columns:
+            default = F.lit("00000000-0000-0000-0000-000000000000")
+        elif kind in NUMBER_KINDS:
+            default = F.lit(0).cast(f.dataType)
+        elif kind == "boolean":
+            default = F.lit(False)
+        elif kind == "timestamp":
+            default = F.lit("0001-01-01 00:00:00").cast(f.dataType)
+        else:
+            continue
+        filled[f.name] = F.coalesce(F.col(quote_name(f.name)), default)
+    return df.withColumns(filled) if filled else df
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without a zone."""
     return F.unix_micros(ts.cast("timestamp"))
@@ -165,7 +191,7 @@ def normalize_column(name: str, dtype: T.DataType, window_micros: int = DEFAULT_
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) and is_time_name(name):
         return floor_to_window(col.cast("timestamp"), window_micros)
     if isinstance(dtype, T.BinaryType):
-        return F.base64(col)
+        return base64_text(col)
     if isinstance(dtype, T.DecimalType):
         return F.bround(col, 6) if dtype.scale > 6 else col
     if isinstance(dtype, (T.DoubleType, T.FloatType)):

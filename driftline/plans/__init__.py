@@ -3,6 +3,7 @@
 
 def all_catalogs():
     """The catalogs of every query family."""
-    from driftline.plans import captures, changes, diffs, ledger, trace
+    from driftline.plans import captures, changes, diffs, ledger, manifest, sessions, streams, texts, trace
 
-    return [captures.catalog, changes.catalog, diffs.catalog, trace.catalog, ledger.catalog]
+    families = (captures, changes, diffs, trace, ledger, manifest, sessions, texts, streams)
+    return [family.catalog for family in families]

@@ -277,13 +277,18 @@ def _steps() -> list[tuple[int, int, int, str, str]]:
 
 
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Several changes per order; one scan, one row per change image."""
+    """Several changes per order."""
+    return change_rows(table(spark, sf, "orders"))
+
+
+def change_rows(orders: DataFrame) -> DataFrame:
+    """The changes of batch or streaming orders; one scan, one row per change image."""
     images = ", ".join(
         f"CASE WHEN o_orderkey % 8 = {m} THEN named_struct('step', {step}, 'op', {op}, "
         f"'o_totalprice', {price}, 'o_orderstatus', {status}) END"
         for m, step, op, price, status in _steps())
-    rows = table(spark, sf, "orders").selectExpr(
-        "o_orderkey", "o_custkey", "o_orderdate", f"inline(array_compact(array({images})))")
+    rows = orders.selectExpr(
+        "o_orderkey", "o_custkey", f"inline(array_compact(array({images})))")
     return rows.selectExpr(
         "'dbo.orders' AS table_name",
         f"{lsn_expr('o_orderkey * 10 + step')} AS start_lsn",

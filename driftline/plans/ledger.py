@@ -381,11 +381,10 @@ def post_gl_rejects(spark, sf):
 
 
 def _deleted(spark, sf):
-    """Every third order is asked to go; all orders and lines are read."""
-    return L.delete_orders(requests(spark, sf).filter("sales_order_id % 3 = 0"), orders(spark, sf), lines(spark, sf))
+    return L.delete_orders(requests(spark, sf), orders(spark, sf), lines(spark, sf))
 
 
-GONE = f"(SELECT sales_order_id FROM ({ORDER_SQL}) o WHERE order_status <> 'Invoiced' AND sales_order_id % 3 = 0)"
+GONE = f"(SELECT sales_order_id FROM ({ORDER_SQL}) o WHERE order_status <> 'Invoiced')"
 
 
 @catalog.add("delete_orders", f"SELECT sales_order_id, order_status FROM ({ORDER_SQL}) o WHERE sales_order_id NOT IN {GONE}")
@@ -400,7 +399,7 @@ def delete_orders_lines(spark, sf):
 
 @catalog.add("delete_orders_rejects", f"""SELECT sales_order_id, CASE WHEN order_status IS NULL THEN 'not found' ELSE 'cannot delete an invoiced order' END AS reason
 FROM ({REQUESTS}) r LEFT JOIN ({ORDER_SQL}) o USING (sales_order_id)
-WHERE sales_order_id % 3 = 0 AND (order_status IS NULL OR order_status = 'Invoiced')""")
+WHERE order_status IS NULL OR order_status = 'Invoiced'""")
 def delete_orders_rejects(spark, sf):
     return _deleted(spark, sf)["rejects"]
 

@@ -9,11 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from driftline.operators.netchange import fold_images, last_by_key, net_from_images
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet",
+                max_files: int | None = None) -> DataFrame:
+    """Parquet files arriving in a folder."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def stream_trace_ingest(events: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
