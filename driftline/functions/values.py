@@ -97,24 +97,26 @@ def field_map(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.expr(f"map({', '.join(pairs)})")
 
 
-def _json_kind(kind: Column) -> Column:
-    return F.when(kind.isin(*NUMBER_KINDS), "number").when(
-        kind.isin("timestamp", "binary"), "string").otherwise(kind)
+_NUMBERS = ", ".join(f"'{k}'" for k in NUMBER_KINDS)
 
 
-def json_equal(left: Column, right: Column) -> Column:
-    """Equality of two value structs as JSON values.
+def json_equal_sql(left: str, right: str) -> str:
+    """SQL of the JSON equality of two value structs.
 
     Null equals null, kinds must agree, numbers compare as decimals, everything else as
     text. A number outside ``decimal(38,18)`` compares as text.
     """
-    same_text = left["val"].eqNullSafe(right["val"])
-    left_number = left["val"].try_cast("decimal(38,18)")
-    right_number = right["val"].try_cast("decimal(38,18)")
-    number = (left["kind"].isin(*NUMBER_KINDS) & right["kind"].isin(*NUMBER_KINDS)
-              & (left_number == right_number))
-    same_kind = _json_kind(left["kind"]).eqNullSafe(_json_kind(right["kind"]))
-    return F.coalesce(same_kind & (same_text | F.coalesce(number, F.lit(False))), F.lit(False))
+    kind = lambda v: (
+        f"CASE WHEN {v}.kind IN ({_NUMBERS}) THEN 'number' "
+        f"WHEN {v}.kind IN ('timestamp', 'binary') THEN 'string' ELSE {v}.kind END")
+    number = lambda v: f"try_cast({v}.val AS DECIMAL(38,18))"
+    return (f"({kind(left)} <=> {kind(right)} AND ({left}.val <=> {right}.val OR coalesce("
+            f"{left}.kind IN ({_NUMBERS}) AND {number(left)} = {number(right)}, false)))")
+
+
+def json_equal(left: str, right: str) -> Column:
+    """Whether two value structs, given as SQL expressions, are equal as JSON values."""
+    return F.expr(json_equal_sql(left, right))
 
 
 def value_equal_eps(left: Column, right: Column) -> Column:
@@ -123,22 +125,21 @@ def value_equal_eps(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right) | F.coalesce(near, F.lit(False))
 
 
-def value_equal(left: Column, right: Column) -> Column:
-    """Typed equality of two value structs: doubles within a tolerance, else kind and text."""
-    both_double = (left["kind"] == "double") & (right["kind"] == "double")
-    near = F.abs(left["val"].try_cast("double") - right["val"].try_cast("double")) < EPSILON
-    exact = left["kind"].eqNullSafe(right["kind"]) & left["val"].eqNullSafe(right["val"])
-    return exact | F.coalesce(both_double & near, F.lit(False))
+def value_equal_sql(left: str, right: str) -> str:
+    """SQL of the typed equality of two value structs: doubles within a tolerance, else kind and text."""
+    number = lambda v: f"try_cast({v}.val AS DOUBLE)"
+    return (f"(({left}.kind <=> {right}.kind AND {left}.val <=> {right}.val) OR coalesce({left}.kind = 'double' "
+            f"AND {right}.kind = 'double' AND abs({number(left)} - {number(right)}) < {EPSILON:.6f}, false))")
+
 
+def difference_type_sql(left: str, right: str) -> str:
+    return (f"CASE WHEN {left}.val IS NULL THEN 'Added' WHEN {right}.val IS NULL THEN 'Removed' "
+            f"WHEN {left}.kind <> {right}.kind THEN 'TypeChanged' ELSE 'ValueChanged' END")
 
-def difference_type(left: Column, right: Column) -> Column:
+
+def difference_type(left: str, right: str) -> Column:
     """Added, Removed, TypeChanged or ValueChanged for two unequal value structs."""
-    return (
-        F.when(left["val"].isNull(), "Added")
-        .when(right["val"].isNull(), "Removed")
-        .when(left["kind"] != right["kind"], "TypeChanged")
-        .otherwise("ValueChanged")
-    )
+    return F.expr(difference_type_sql(left, right))
 
 
 def read_utc(ts: Column) -> Column:
@@ -229,16 +230,18 @@ def normalize_value(name: Column, value: Column, window_micros: int = DEFAULT_TO
     return F.when(value.isNotNull(), F.struct(kind.alias("kind"), text.alias("val")))
 
 
-def changed_unless_recent(left: Column, right: Column, now: Column | None = None) -> Column:
+def changed_unless_recent_sql(left: str, right: str, now: str | None = None) -> str:
+    differs = f"NOT ({left}.kind <=> {right}.kind AND {left}.val <=> {right}.val)"
+    if now is None:
+        return differs
+    return (f"({differs} AND NOT coalesce({left}.kind = 'timestamp' AND try_cast({right}.val AS TIMESTAMP) "
+            f"BETWEEN {now} - INTERVAL 1 DAY AND {now} + INTERVAL 1 DAY, false))")
+
+
+def changed_unless_recent(left: str, right: str, now: str | None = None) -> Column:
     """True where two value structs differ.
 
-    With ``now`` given, a differing timestamp counts only if the right value lies more than
-    a day from ``now``.
+    With ``now`` (a SQL timestamp) given, a differing timestamp counts only if the right
+    value lies more than a day from ``now``.
     """
-    differs = ~(left["kind"].eqNullSafe(right["kind"]) & left["val"].eqNullSafe(right["val"]))
-    if now is None:
-        return differs
-    stamp = F.try_to_timestamp(right["val"])
-    day = F.expr("INTERVAL 1 DAY")
-    recent = (left["kind"] == "timestamp") & stamp.between(now - day, now + day)
-    return differs & ~F.coalesce(recent, F.lit(False))
+    return F.expr(changed_unless_recent_sql(left, right, now))

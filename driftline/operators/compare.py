@@ -5,10 +5,10 @@ A capture is ``table_name, ordinal, pk, fields map<string, struct<kind, val>>``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.values import json_equal
+from driftline.functions.values import json_equal_sql, quote_text
 from driftline.model import (
     EXTRA_RECORD, EXTRA_TABLE, FIELD_MISMATCH, KEY_FIELD, LSN_FIELD, MISSING_RECORD, MISSING_TABLE,
     OPERATION_FIELD, OPERATION_MISMATCH, RECORD_COUNT_MISMATCH, TABLE_FIELD)
@@ -34,20 +34,20 @@ FAILURE_COLUMNS = ["table_name", "failure_type", "primary_key", "field_name",
                    "baseline_value", "test_value", "description"]
 
 
-def failure_description(failure_type: Column) -> Column:
-    text = F.lit(None).cast("string")
-    for kind, (sentence, slots) in DESCRIPTIONS.items():
-        text = F.when(failure_type == kind, F.format_string(sentence, *[F.col(s) for s in slots])).otherwise(text)
-    return text
+def failure_description_sql() -> str:
+    cases = " ".join(
+        f"WHEN '{kind}' THEN format_string({quote_text(sentence)}, {', '.join(slots)})"
+        for kind, (sentence, slots) in DESCRIPTIONS.items())
+    return f"CASE failure_type {cases} END"
 
 
-def ignored_field(field: Column, ignore_fields=(), ignore_lsn: bool = True) -> Column:
+def ignored_field_sql(field: str, ignore_fields=(), ignore_lsn: bool = True) -> str:
     """Whether a field is left out: by name, by name behind ``old_``/``new_``, or as metadata."""
     names = [f.lower() for f in ignore_fields] + [OPERATION_FIELD, TABLE_FIELD, KEY_FIELD]
     if ignore_lsn:
         names.append(LSN_FIELD)
-    lowered = F.lower(field)
-    return lowered.isin(*names) | F.regexp_replace(lowered, "^(old|new)_", "").isin(*names)
+    listed = ", ".join(map(quote_text, names))
+    return f"(lower({field}) IN ({listed}) OR regexp_replace(lower({field}), '^(old|new)_', '') IN ({listed}))"
 
 
 def table_counts(baseline: DataFrame, test: DataFrame) -> DataFrame:
@@ -81,14 +81,10 @@ def common_tables(baseline: DataFrame, test: DataFrame) -> DataFrame:
     return _raw_counts(baseline, test).filter("b > 0 AND t > 0").select("table_name")
 
 
-def _failure(kind: str, field: Column | None = None, left: Column | None = None,
-             right: Column | None = None) -> Column:
-    null = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(kind).alias("failure_type"),
-        (null if field is None else field).alias("field_name"),
-        (null if left is None else left.cast("string")).alias("baseline_value"),
-        (null if right is None else right.cast("string")).alias("test_value"))
+def _failure(kind: str, field: str = "CAST(NULL AS STRING)", left: str = "CAST(NULL AS STRING)",
+             right: str = "CAST(NULL AS STRING)") -> str:
+    return (f"named_struct('failure_type', '{kind}', 'field_name', {field}, "
+            f"'baseline_value', {left}, 'test_value', {right})")
 
 
 def compare_captures(baseline: DataFrame, test: DataFrame, ignore_fields=(),
@@ -106,42 +102,31 @@ def compare_captures(baseline: DataFrame, test: DataFrame, ignore_fields=(),
     joined = left.select(*keys, F.col("fields").alias("l")).join(
         right.select(*keys, F.col("fields").alias("r")), keys, "full_outer")
 
-    l, r = F.col("l"), F.col("r")
-    operation = F.lit(OPERATION_FIELD)
-    l_op, r_op = F.try_element_at(l, operation), F.try_element_at(r, operation)
-    operations = F.when(
-        F.map_contains_key(l, operation) & F.map_contains_key(r, operation) & ~json_equal(l_op, r_op),
-        F.array(_failure(OPERATION_MISMATCH, F.lit(OPERATION_FIELD), l_op["val"], r_op["val"]))
-    ).otherwise(F.array().cast("array<struct<failure_type:string,field_name:string,"
-                               "baseline_value:string,test_value:string>>"))
-    pairs = F.map_entries(F.map_zip_with(l, r, lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))))
-    differing = F.filter(pairs, lambda p: ~ignored_field(p["key"], ignore_fields, ignore_lsn)
-                         & ~json_equal(p["value"]["a"], p["value"]["b"]))
-    fields = F.transform(differing, lambda p: _failure(
-        FIELD_MISMATCH, p["key"], p["value"]["a"]["val"], p["value"]["b"]["val"]))
+    op = quote_text(OPERATION_FIELD)
+    operations = (
+        f"IF(map_contains_key(l, {op}) AND map_contains_key(r, {op}) AND NOT {json_equal_sql(f'l[{op}]', f'r[{op}]')}, "
+        f"array({_failure(OPERATION_MISMATCH, op, f'l[{op}].val', f'r[{op}].val')}), array())")
+    pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
+    differing = (f"filter({pairs}, p -> NOT {ignored_field_sql('p.key', ignore_fields, ignore_lsn)} "
+                 f"AND NOT {json_equal_sql('p.value.a', 'p.value.b')})")
+    fields = f"transform({differing}, p -> {_failure(FIELD_MISMATCH, 'p.key', 'p.value.a.val', 'p.value.b.val')})"
     # Identical maps (the usual case) skip the field-by-field work.
-    same = F.map_entries(l) == F.map_entries(r)
-    found = (
-        F.when(r.isNull(), F.array(_failure(MISSING_RECORD)))
-        .when(l.isNull(), F.array(_failure(EXTRA_RECORD)))
-        .when(~same, F.concat(operations, fields))
-    )
-    records = joined.select(*scope, F.col("pk").alias("primary_key"), F.inline(found))
+    found = (f"CASE WHEN r IS NULL THEN array({_failure(MISSING_RECORD)}) "
+             f"WHEN l IS NULL THEN array({_failure(EXTRA_RECORD)}) "
+             f"WHEN NOT (map_entries(l) = map_entries(r)) THEN concat({operations}, {fields}) END")
+    records = joined.selectExpr(*scope, "pk AS primary_key", f"inline({found})")
 
     counts = _raw_counts(baseline, test, scope)
     records = records.join(counts.filter("b > 0 AND t > 0").select(*scope), scope, "left_semi")
-    table_kind = (
-        F.when(F.col("t") == 0, MISSING_TABLE).when(F.col("b") == 0, EXTRA_TABLE)
-        .when(F.col("b") != F.col("t"), RECORD_COUNT_MISMATCH))
-    counted = table_kind == RECORD_COUNT_MISMATCH
-    null = F.lit(None).cast("string")
-    tables = counts.select(
-        *scope, null.alias("primary_key"), table_kind.alias("failure_type"), null.alias("field_name"),
-        F.when(counted, F.col("b").cast("string")).alias("baseline_value"),
-        F.when(counted, F.col("t").cast("string")).alias("test_value")).filter("failure_type IS NOT NULL")
-    return records.unionByName(tables).withColumn(
-        "description", failure_description(F.col("failure_type"))).select(
-        *[c for c in scope if c != "table_name"], *FAILURE_COLUMNS)
+    counted = "b > 0 AND t > 0 AND b <> t"
+    tables = counts.filter("b = 0 OR t = 0 OR b <> t").selectExpr(
+        *scope, "CAST(NULL AS STRING) AS primary_key",
+        f"CASE WHEN t = 0 THEN '{MISSING_TABLE}' WHEN b = 0 THEN '{EXTRA_TABLE}' ELSE '{RECORD_COUNT_MISMATCH}' END AS failure_type",
+        "CAST(NULL AS STRING) AS field_name", f"IF({counted}, CAST(b AS STRING), NULL) AS baseline_value",
+        f"IF({counted}, CAST(t AS STRING), NULL) AS test_value")
+    others = [c for c in scope if c != "table_name"]
+    return records.unionByName(tables).selectExpr(
+        *others, *FAILURE_COLUMNS[:-1], f"{failure_description_sql()} AS description")
 
 
 def comparison_summary(baseline: DataFrame, test: DataFrame, failures: DataFrame) -> DataFrame:

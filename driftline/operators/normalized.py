@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.keys import row_key
 from driftline.functions.text import column_pattern_regex
-from driftline.functions.values import difference_type, normalize_value, value_equal
+from driftline.functions.values import difference_type_sql, normalize_value, value_equal_sql
 from driftline.model import DEFAULT_EXCLUDED_COLUMNS, DEFAULT_TOLERANCE_MICROS
 from driftline.operators.netchange import last_by_key
 
@@ -45,23 +45,20 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
         return last_by_key(rows, keys, F.col("ordinal")).select(*keys, F.col("fields").alias(name))
 
     joined = side(left, "l").join(side(right, "r"), keys, "full_outer")
-    l, r = F.col("l"), F.col("r")
-    pairs = F.map_entries(F.map_zip_with(l, r, lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))))
-    differing = F.filter(pairs, lambda p: ~value_equal(p["value"]["a"], p["value"]["b"]))
-    fields = F.transform(differing, lambda p: F.struct(
-        F.lit("Changed").alias("action"), p["key"].alias("field_name"),
-        p["value"]["a"]["val"].alias("left_value"), p["value"]["b"]["val"].alias("right_value"),
-        difference_type(p["value"]["a"], p["value"]["b"]).alias("difference_type")))
-
-    def whole_row(action: str):
-        null = F.lit(None).cast("string")
-        return F.array(F.struct(F.lit(action).alias("action"), null.alias("field_name"),
-                                null.alias("left_value"), null.alias("right_value"),
-                                null.alias("difference_type")))
-
-    same = F.map_entries(l) == F.map_entries(r)
-    found = F.when(r.isNull(), whole_row("Deleted")).when(l.isNull(), whole_row("Added")).when(~same, fields)
-    return joined.select(*keys, F.inline(found))
+    pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
+    changed = _line("Changed", "p.key", "p.value.a.val", "p.value.b.val",
+                    difference_type_sql("p.value.a", "p.value.b"))
+    fields = (f"transform(filter({pairs}, p -> NOT {value_equal_sql('p.value.a', 'p.value.b')}), p -> {changed})")
+    found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted')}) WHEN l IS NULL THEN array({_line('Added')}) "
+             f"WHEN NOT (map_entries(l) = map_entries(r)) THEN {fields} END")
+    return joined.selectExpr(*keys, f"inline({found})")
+
+
+def _line(action: str, *values: str) -> str:
+    names = ("field_name", "left_value", "right_value", "difference_type")
+    values = values or ("CAST(NULL AS STRING)",) * 4
+    parts = ", ".join(f"'{n}', {v}" for n, v in zip(names, values))
+    return f"named_struct('action', '{action}', {parts})"
 
 
 def difference_report(differences: DataFrame, tables: DataFrame | None = None) -> DataFrame:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.values import changed_unless_recent
+from driftline.functions.values import changed_unless_recent_sql, quote_text
 from driftline.model import LSN_FIELD, OPERATION_FIELD
 from driftline.operators.netchange import last_by_key
 
 IGNORED = (LSN_FIELD, OPERATION_FIELD)
 
 
-def diff_profiles(manifest: DataFrame, left: DataFrame, right: DataFrame, now: Column | None = None,
+def _line(action: str, *values: str) -> str:
+    names = ("field_name", "field_action", "left_value", "right_value")
+    values = values or ("CAST(NULL AS STRING)",) * 4
+    parts = ", ".join(f"'{n}', {v}" for n, v in zip(names, values))
+    return f"named_struct('action', '{action}', {parts})"
+
+
+def diff_profiles(manifest: DataFrame, left: DataFrame, right: DataFrame, now: str | None = None,
                   parity: bool = False) -> DataFrame:
     """Differing rows and fields of every table that has a key in the manifest.
 
@@ -30,31 +37,17 @@ def diff_profiles(manifest: DataFrame, left: DataFrame, right: DataFrame, now: C
         return last_by_key(listed, keys, F.col("ordinal")).select(*keys, F.col("fields").alias(name))
 
     joined = side(left, "l").join(side(right, "r"), keys, "full_outer")
-    l, r = F.col("l"), F.col("r")
-    pairs = F.map_entries(F.map_zip_with(l, r, lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))))
-
-    def field_action(pair: Column) -> Column:
-        in_left = F.map_contains_key(l, pair["key"])
-        in_right = F.map_contains_key(r, pair["key"])
-        return (
-            F.when(~in_right, "Deleted")
-            .when(~in_left, F.lit(None) if parity else F.lit("New"))
-            .when(changed_unless_recent(pair["value"]["a"], pair["value"]["b"], now), "Changed")
-        )
-
-    compared = F.filter(pairs, lambda p: ~p["key"].isin(*IGNORED) & field_action(p).isNotNull())
-    fields = F.transform(compared, lambda p: F.struct(
-        F.lit("Changed").alias("action"), p["key"].alias("field_name"), field_action(p).alias("field_action"),
-        p["value"]["a"]["val"].alias("left_value"), p["value"]["b"]["val"].alias("right_value")))
-
-    def whole_row(action: str) -> Column:
-        null = F.lit(None).cast("string")
-        return F.array(F.struct(F.lit(action).alias("action"), null.alias("field_name"),
-                                null.alias("field_action"), null.alias("left_value"), null.alias("right_value")))
-
-    same = F.map_entries(l) == F.map_entries(r)
-    found = F.when(r.isNull(), whole_row("Deleted")).when(l.isNull(), whole_row("New")).when(~same, fields)
-    rows = joined.select("table_name", F.col("pk").alias("key"), F.inline(found))
+    ignored = ", ".join(map(quote_text, IGNORED))
+    right_only = "CAST(NULL AS STRING)" if parity else "'New'"
+    action = (f"CASE WHEN NOT map_contains_key(r, p.key) THEN 'Deleted' "
+              f"WHEN NOT map_contains_key(l, p.key) THEN {right_only} "
+              f"WHEN {changed_unless_recent_sql('p.value.a', 'p.value.b', now)} THEN 'Changed' END")
+    pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
+    fields = (f"transform(filter({pairs}, p -> p.key NOT IN ({ignored}) AND {action} IS NOT NULL), "
+              f"p -> {_line('Changed', 'p.key', action, 'p.value.a.val', 'p.value.b.val')})")
+    found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted')}) WHEN l IS NULL THEN array({_line('New')}) "
+             f"WHEN NOT (map_entries(l) = map_entries(r)) THEN {fields} END")
+    rows = joined.selectExpr("table_name", "pk AS key", f"inline({found})")
     if not parity:
         return rows
     shared = left.select("table_name").distinct().intersect(right.select("table_name").distinct())

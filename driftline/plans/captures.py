@@ -288,9 +288,10 @@ def json_equal_query(spark, sf):
         number % 3 == 1, F.concat(k, F.lit(".00"))).otherwise(F.concat(k, F.lit(".5")))
     text = F.concat(F.lit('{"v":"'), k, F.lit('"}'))
     other = F.when(number % 2 == 0, text).otherwise(F.concat(F.lit('{"v":'), k, F.lit("}")))
-    return I.table(spark, sf, "events").select(
-        "event_id",
-        json_equal(value(k), value(shown)).alias("number_forms"),
-        json_equal(value(k), value(F.concat(F.lit('"'), k, F.lit('"')))).alias("text_number"),
-        json_equal(value(text), value(other)).alias("text_forms"),
-        json_equal(value(F.lit("null")), value(F.lit("null"))).alias("both_null"))
+    values = I.table(spark, sf, "events").select(
+        "event_id", value(k).alias("number"), value(shown).alias("shown"),
+        value(F.concat(F.lit('"'), k, F.lit('"'))).alias("quoted"), value(text).alias("text"),
+        value(other).alias("other"), value(F.lit("null")).alias("nothing"))
+    return values.select(
+        "event_id", json_equal("number", "shown").alias("number_forms"), json_equal("number", "quoted").alias("text_number"),
+        json_equal("text", "other").alias("text_forms"), json_equal("nothing", "nothing").alias("both_null"))

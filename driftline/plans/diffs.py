@@ -74,10 +74,10 @@ def changed_unless_recent(spark, sf):
     orders = I.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.expr(
         "timestamp_micros(unix_micros(o_orderdate) + (o_orderkey % 5) * 86400000000)").alias("moved"))
     dtype = orders.schema["o_orderdate"].dataType
-    left, right = V.typed_value("o_orderdate", dtype), V.typed_value("moved", dtype)
-    return orders.select(
-        "o_orderkey", V.changed_unless_recent(left, right, F.to_timestamp(F.lit(NOW))).alias("changed"),
-        V.changed_unless_recent(left, right).alias("changed_plain"))
+    values = orders.select("o_orderkey", V.typed_value("o_orderdate", dtype).alias("l"), V.typed_value("moved", dtype).alias("r"))
+    return values.select(
+        "o_orderkey", V.changed_unless_recent("l", "r", f"TIMESTAMP '{NOW}'").alias("changed"),
+        V.changed_unless_recent("l", "r").alias("changed_plain"))
 
 
 @catalog.add("diff_stats", f"""WITH {profile_cte()}
@@ -345,4 +345,5 @@ def difference_type(spark, sf):
     left = F.when(k != 0, value("bigint", F.col("o_custkey").cast("string")))
     right = F.when(k == 2, value("string", F.col("o_custkey").cast("string"))).when(
         k != 1, value("bigint", F.lit("-1")))
-    return I.table(spark, sf, "orders").select("o_orderkey", V.difference_type(left, right).alias("difference_type"))
+    values = I.table(spark, sf, "orders").select("o_orderkey", left.alias("l"), right.alias("r"))
+    return values.select("o_orderkey", V.difference_type("l", "r").alias("difference_type"))

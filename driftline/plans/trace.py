@@ -312,10 +312,10 @@ def split_workload_parity(spark, sf):
 
 @catalog.add("append_trace_events", f"SELECT event_id, session_id, duration FROM {EVENTS}")
 def append_trace_events(spark, sf):
-    """Events appended to a store partitioned by session and read back."""
+    """Events appended to the trace store and read back."""
     path = f"{shared_folder(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
     store.append_trace_events(events(spark, sf), path)
-    return spark.read.parquet(path).select("event_id", "session_id", "duration")
+    return sources.read_trace_events(spark, path).select("event_id", "session_id", "duration")
 
 
 @catalog.add("export_trace", f"""SELECT event_id, epoch_us(event_time) AS event_time, event_name, database_name, login_name, application_name, host_name,

@@ -54,13 +54,19 @@ def save_capture(capture: DataFrame, path: str, capture_header_id: str, capture_
     header.write.mode("append").parquet(f"{path}/headers")
 
 
-def append_trace_events(events: DataFrame, path: str) -> None:
-    """Append events, one folder per session.
+def append_trace_events(events: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append events, sorted by session and event within hash buckets of the session.
 
-    Ranges over (session, event): a large session spans many files, small ones share a task.
+    A folder per session would mean millions of small files; a bucket keeps a session's
+    rows together, and the range placement spreads a large session over many files.
     """
-    placed = events.repartitionByRange("session_id", "event_id")
-    placed.write.mode("append").partitionBy("session_id").parquet(path)
+    placed = events.withColumn("session_bucket", session_bucket(F.col("session_id"), buckets)).repartitionByRange(
+        "session_bucket", "session_id", "event_id").sortWithinPartitions("session_bucket", "session_id", "event_id")
+    placed.write.mode("append").partitionBy("session_bucket").parquet(path)
+
+
+def session_bucket(session_id: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(buckets)).cast("int")
 
 
 def export_trace(events: DataFrame, path: str) -> None:

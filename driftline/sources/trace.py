@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.statements import is_replayable
 from driftline.functions.text import trim_blank
+from driftline.sinks.store import session_bucket
 
 # Item names in a ring-buffer document and the column each becomes (fixed values).
 DATA_ITEMS = {
@@ -91,3 +92,12 @@ def split_workload(files: DataFrame, text: str = "value", parity: bool = False)
 def read_workload(spark: SparkSession, path: str, parity: bool = False) -> DataFrame:
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return split_workload(files, "value", parity)
+
+
+def read_trace_events(spark: SparkSession, path: str, session_id: str | None = None, buckets: int = 64) -> DataFrame:
+    """Stored trace events; one session reads its bucket alone."""
+    rows = spark.read.parquet(path)
+    if session_id is not None:
+        bucket = session_bucket(F.lit(session_id), buckets)
+        rows = rows.filter((F.col("session_bucket") == bucket) & (F.col("session_id") == session_id))
+    return rows.drop("session_bucket")
