@@ -39,9 +39,9 @@ def capture_side(tables: list[TableStates], side: str) -> DataFrame:
 def run_regression(tables: list[TableStates], ignore_fields=(), ignore_lsn: bool = True) -> tuple[DataFrame, DataFrame]:
     """(failures, summary) of the candidate's changes against the baseline's.
 
-    Both captures are written once; failures and summary read them.
+    Both captures and the failures are written once; the summary reads them.
     """
     baseline = materialize(capture_side(tables, "baseline"), "regression-baseline")
     candidate = materialize(capture_side(tables, "candidate"), "regression-candidate")
-    failures = compare_captures(baseline, candidate, ignore_fields, ignore_lsn)
+    failures = materialize(compare_captures(baseline, candidate, ignore_fields, ignore_lsn), "regression-failures")
     return failures, comparison_summary(baseline, candidate, failures)

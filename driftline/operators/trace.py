@@ -9,6 +9,7 @@ from driftline.functions.statements import is_replayable, is_system, skip_statem
 from driftline.functions.text import clean_sql, is_blank
 from driftline.functions.values import micros
 from driftline.operators.ordering import number_rows
+from driftline.operators.skew import salted_left_join
 
 
 def execution_order(events: DataFrame) -> DataFrame:
@@ -135,15 +136,16 @@ def page_events(events: DataFrame, session_id: str, skip: int = 0, take: int = 1
 def mark_skipped(results: DataFrame, continue_on_error: bool = False) -> DataFrame:
     """Results with ``outcome``: success, failed, or skipped after the first failure.
 
-    The first failure per session is an aggregate joined back, not a running window, so a
-    session holding most statements is not sorted in one task.
+    The first failure per session is an aggregate joined back with salted sessions, not a
+    running window, so a session holding most statements is neither sorted nor joined in
+    one task.
     """
     outcome = F.when(F.col("success"), "success").otherwise("failed")
     if continue_on_error:
         return results.withColumn("outcome", outcome)
     failed = results.filter(~F.col("success")).groupBy("session_id").agg(
         F.min("execution_order").alias("_failed_at"))
-    return results.join(failed, "session_id", "left").withColumn(
+    return salted_left_join(results, failed, "session_id", F.col("event_id")).withColumn(
         "outcome", F.when(F.col("execution_order") > F.col("_failed_at"), "skipped").otherwise(outcome)
     ).drop("_failed_at")
 

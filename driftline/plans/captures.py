@@ -69,6 +69,12 @@ def compare_captures(spark, sf):
     return C.compare_captures(*both(spark, sf))
 
 
+@catalog.add("compare_captures_digest_first", f"WITH {failures_cte()} SELECT * EXCLUDE (description) FROM failures")
+def compare_captures_digest_first(spark, sf):
+    """The same failures, moving full records only where digests differ."""
+    return C.compare_captures(*both(spark, sf), digest_first=True).drop("description")
+
+
 IGNORED = ("o_totalprice", "OLD_c_acctbal", "new_c_acctbal")
 
 
