@@ -71,8 +71,12 @@ def typed_value(name: str, dtype: T.DataType) -> Column:
     return F.expr(value_sql(quote_name(name), dtype))
 
 
-def variant_value(variant: Column) -> Column:
-    """A JSON variant as a value struct; JSON null becomes null."""
+def variant_value(variant: Column, exact: Column | None = None) -> Column:
+    """A JSON variant as a value struct; JSON null becomes null.
+
+    A variant holds numbers of more than 38 digits or with an exponent as doubles;
+    ``exact`` is their text in the document.
+    """
     schema = F.schema_of_variant(variant)
     kind = (
         F.when(schema == "STRING", "string")
@@ -86,6 +90,8 @@ def variant_value(variant: Column) -> Column:
     )
     text = F.when(kind.isin("object", "array"), F.to_json(variant)).otherwise(
         F.try_variant_get(variant, "$", "string"))
+    if exact is not None:
+        text = F.when(kind == "double", F.coalesce(exact, text)).otherwise(text)
     value = F.struct(kind.alias("kind"), text.alias("val"))
     return F.when(variant.isNotNull() & (schema != "VOID"), value).otherwise(
         F.lit(None).cast(VALUE_TYPE))
@@ -100,18 +106,30 @@ def field_map(df: DataFrame, columns: list[str] | None = None) -> Column:
 _NUMBERS = ", ".join(f"'{k}'" for k in NUMBER_KINDS)
 
 
+def _number_equal_sql(left: str, right: str) -> str:
+    """SQL of the equality of two number texts, exact at any length.
+
+    Plain notation compares without trailing zeros. A number with an exponent must agree
+    as a double and, where it fits one, as a decimal.
+    """
+    plain = lambda v: (
+        f"regexp_replace(regexp_replace({v}, '(\\\\.[0-9]*?)0+$', '$1'), '\\\\.$', '')")
+    same = lambda t: f"try_cast({left} AS {t}) = try_cast({right} AS {t})"
+    return (f"IF({left} RLIKE '[eE]' OR {right} RLIKE '[eE]', {same('DOUBLE')} AND coalesce({same('DECIMAL(38,18)')}, true) "
+            f"AND coalesce({same('DECIMAL(38,0)')}, true), {plain(left)} = {plain(right)})")
+
+
 def json_equal_sql(left: str, right: str) -> str:
     """SQL of the JSON equality of two value structs.
 
-    Null equals null, kinds must agree, numbers compare as decimals, everything else as
-    text. A number outside ``decimal(38,18)`` compares as text.
+    Null equals null, kinds must agree, numbers compare by value (``1.0 = 1.00``),
+    everything else as text.
     """
     kind = lambda v: (
         f"CASE WHEN {v}.kind IN ({_NUMBERS}) THEN 'number' "
         f"WHEN {v}.kind IN ('timestamp', 'binary') THEN 'string' ELSE {v}.kind END")
-    number = lambda v: f"try_cast({v}.val AS DECIMAL(38,18))"
     return (f"({kind(left)} <=> {kind(right)} AND ({left}.val <=> {right}.val OR coalesce("
-            f"{left}.kind IN ({_NUMBERS}) AND {number(left)} = {number(right)}, false)))")
+            f"{left}.kind IN ({_NUMBERS}) AND {_number_equal_sql(left + '.val', right + '.val')}, false)))")
 
 
 def json_equal(left: str, right: str) -> Column:

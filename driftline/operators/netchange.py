@@ -34,12 +34,12 @@ def fold_images(changes: DataFrame, keys: list[str], columns: list[str]) -> Data
     position = F.struct("start_lsn", "seqval", "op")
     image = F.struct("op", "start_lsn", *columns)
     return changes.groupBy("table_name", *keys).agg(
-        F.min_by(image, position).alias("first"), F.max_by(image, position).alias("last"))
+        F.min_by(image, position).alias("_first"), F.max_by(image, position).alias("_last"))
 
 
 def net_from_images(folded: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Net change of each key from its first and last image; keys that net to nothing go."""
-    first, last = F.col("first.op"), F.col("last.op")
+    first, last = F.col("_first.op"), F.col("_last.op")
     has_before = first.isin(DELETE, UPDATE_BEFORE)
     # An after-image without its before-image: the row existed, its old values are unknown.
     existed = first.isin(DELETE, UPDATE_BEFORE, UPDATE_AFTER)
@@ -51,9 +51,9 @@ def net_from_images(folded: DataFrame, keys: list[str], columns: list[str]) -> D
     )
     return (
         folded.select(
-            "table_name", *keys, op.cast("int").alias("op"), F.col("last.start_lsn").alias("start_lsn"),
-            F.when(has_before, image_of("first", columns)).alias("before"),
-            F.when(has_after, image_of("last", columns)).alias("after"))
+            "table_name", *keys, op.cast("int").alias("op"), F.col("_last.start_lsn").alias("start_lsn"),
+            F.when(has_before, image_of("_first", columns)).alias("before"),
+            F.when(has_after, image_of("_last", columns)).alias("after"))
         .withColumn("changed", changed_columns(columns))
         .filter("op IS NOT NULL AND (op <> 4 OR size(changed) > 0)")
     )
@@ -87,16 +87,16 @@ def net_change(changes: DataFrame, keys: list[str], columns: list[str] | None =
     position = F.struct("start_lsn", "seqval", "op")
     image = F.struct("op", "start_lsn", *columns)
     folded = changes.groupBy("table_name", keys[0]).agg(
-        F.max_by(image, position).alias("last"),
-        F.min_by(image, F.when(F.col("op") == UPDATE_BEFORE, position)).alias("b"),
-        F.min_by(image, F.when(F.col("op") == UPDATE_AFTER, position)).alias("a"))
-    last = F.col("last.op")
-    paired = last.isin(UPDATE_BEFORE, UPDATE_AFTER) & F.col("b").isNotNull() & F.col("a").isNotNull()
-    before = F.when(last == 2, image_of("last", columns)).when(paired, image_of("b", columns))
-    after = F.when(last == 1, image_of("last", columns)).when(paired, image_of("a", columns))
+        F.max_by(image, position).alias("_last"),
+        F.min_by(image, F.when(F.col("op") == UPDATE_BEFORE, position)).alias("_b"),
+        F.min_by(image, F.when(F.col("op") == UPDATE_AFTER, position)).alias("_a"))
+    last = F.col("_last.op")
+    paired = last.isin(UPDATE_BEFORE, UPDATE_AFTER) & F.col("_b").isNotNull() & F.col("_a").isNotNull()
+    before = F.when(last == 2, image_of("_last", columns)).when(paired, image_of("_b", columns))
+    after = F.when(last == 1, image_of("_last", columns)).when(paired, image_of("_a", columns))
     return (
         folded.select("table_name", keys[0], last.cast("int").alias("op"),
-                      F.col("last.start_lsn").alias("start_lsn"), before.alias("before"), after.alias("after"))
+                      F.col("_last.start_lsn").alias("start_lsn"), before.alias("before"), after.alias("after"))
         .withColumn("changed", changed_columns(columns))
         .filter("size(changed) > 0")
     )

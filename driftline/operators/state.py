@@ -20,7 +20,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], table_na
                   start_lsn: Column, seqval: Column | None = None) -> DataFrame:
     """Change rows that turn ``before`` into ``after``: inserts, deletes, update image pairs."""
     columns = [c for c in before.columns if c not in keys]
-    image = lambda op, row: F.struct(F.lit(op).alias("op"), F.col(row).alias("row"))
+    image = lambda op, row: F.struct(F.lit(op).alias("_op"), F.col(row).alias("_row"))
     images = (
         F.when(F.col("before").isNull(), F.array(image(INSERT, "after")))
         .when(F.col("after").isNull(), F.array(image(DELETE, "before")))
@@ -30,8 +30,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], table_na
     rows = joined_states(before, after, keys).select(*keys, F.inline(images))
     return rows.select(
         F.lit(table_name).alias("table_name"), start_lsn.alias("start_lsn"),
-        (start_lsn if seqval is None else seqval).alias("seqval"), F.col("op").cast("int").alias("op"),
-        *keys, *[F.col("row")[c].alias(c) for c in columns])
+        (start_lsn if seqval is None else seqval).alias("seqval"), F.col("_op").cast("int").alias("op"),
+        *keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def snapshot_net(before: DataFrame, after: DataFrame, keys: list[str], table_name: str,

@@ -9,9 +9,23 @@ from driftline.functions.keys import pk_value
 from driftline.functions.values import variant_value
 
 
-def record_fields(record: Column) -> Column:
-    """A JSON object variant as ``map<string, struct<kind, val>>``."""
-    return F.transform_values(record.cast("map<string, variant>"), lambda _, v: variant_value(v))
+# A number the variant type would round: very long, or with an exponent.
+LONG_NUMBER = r"[0-9.]{30}|[0-9][eE][-+0-9]"
+
+
+def exact_texts(document: Column, schema: str) -> Column:
+    """The document as texts, parsed only where it holds a number a variant would round."""
+    return F.when(document.rlike(LONG_NUMBER), F.from_json(document, schema))
+
+
+def record_fields(record: Column, texts: Column) -> Column:
+    """A JSON object variant as ``map<string, struct<kind, val>>``; ``texts`` is its map of texts or null."""
+    return F.transform_values(record.cast("map<string, variant>"), lambda k, v: variant_value(v, texts[k]))
+
+
+def _with_texts(records: str, texts: Column) -> Column:
+    """Each record of an array beside its own texts, so exploding copies neither array."""
+    return F.transform(records, lambda v, i: F.struct(v.alias("record"), texts[i].alias("texts")))
 
 
 def parse_table_documents(details: DataFrame, document: str = "capture_data",
@@ -22,17 +36,19 @@ def parse_table_documents(details: DataFrame, document: str = "capture_data",
     document that is not a JSON array of objects is rejected, the rest is read.
     """
     records = F.try_variant_get(F.try_parse_json(document), "$", "array<variant>")
-    parsed = details.withColumn("_records", records).withColumn(
+    texts = exact_texts(F.col(document), "array<map<string, string>>")
+    parsed = details.withColumn("_records", records).withColumn("_texts", texts).withColumn(
         "_good", F.coalesce(F.col("_records").isNotNull() & ~F.exists(
             "_records", lambda v: ~F.schema_of_variant(v).startswith("OBJECT")), F.lit(False)))
-    rejects = parsed.filter(~F.col("_good")).drop("_records", "_good")
+    rejects = parsed.filter(~F.col("_good")).drop("_records", "_texts", "_good")
     others = [c for c in details.columns if c != document]
-    rows = parsed.filter("_good").select(*others, F.posexplode("_records").alias("_pos", "_record"))
+    rows = parsed.filter("_good").select(*others, F.posexplode(_with_texts("_records", F.col("_texts"))).alias("_pos", "_item"))
     ordinal = F.col("_pos").cast("bigint")
     if part is not None:
         # Documents of one table follow each other in part order.
         ordinal = F.col(part).cast("bigint") * F.lit(2**31) + ordinal
-    rows = rows.select(*others, ordinal.alias("ordinal"), record_fields(F.col("_record")).alias("fields"))
+    fields = record_fields(F.col("_item.record"), F.col("_item.texts"))
+    rows = rows.select(*others, ordinal.alias("ordinal"), fields.alias("fields"))
     return rows.withColumn("pk", pk_value(F.col("fields"))), rejects
 
 
@@ -40,11 +56,14 @@ def parse_capture_json(documents: DataFrame, document: str) -> DataFrame:
     """Documents ``{table: [record, ...], ...}`` as capture records; bad JSON gives none."""
     tables = F.try_variant_get(F.try_parse_json(document), "$", "map<string, array<variant>>")
     others = [c for c in documents.columns if c != document]
-    by_table = documents.select(*others, F.explode(tables).alias("table_name", "_records"))
-    rows = by_table.select(*others, "table_name", F.posexplode("_records").alias("_pos", "_record"))
+    texts = exact_texts(F.col(document), "map<string, array<map<string, string>>>").alias("_texts")
+    by_table = documents.select(*others, texts, F.explode(tables).alias("table_name", "_records"))
+    items = _with_texts("_records", F.try_element_at("_texts", "table_name"))
+    rows = by_table.select(*others, "table_name", F.posexplode(items).alias("_pos", "_item"))
     return rows.select(
         *others, "table_name", F.col("_pos").cast("bigint").alias("ordinal"),
-        record_fields(F.col("_record")).alias("fields")).withColumn("pk", pk_value(F.col("fields")))
+        record_fields(F.col("_item.record"), F.col("_item.texts")).alias("fields")).withColumn(
+        "pk", pk_value(F.col("fields")))
 
 
 def capture_details(headers: DataFrame, details: DataFrame, capture_name: str | None = None) -> DataFrame:
@@ -56,9 +75,17 @@ def capture_details(headers: DataFrame, details: DataFrame, capture_name: str |
 
 def load_capture(headers: DataFrame, details: DataFrame, capture_name: str,
                  session_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """One capture as (records, rejected documents); the name resolves within a session."""
+    """One capture as (records, rejected documents).
+
+    The name resolves within a session. An unknown or ambiguous name is an error.
+    """
     if session_id is not None:
         headers = headers.filter(F.col("session_id") == session_id)
+    found = headers.filter(F.col("capture_name") == capture_name).limit(2).count()
+    if found == 0:
+        raise LookupError(f"capture {capture_name!r} not found")
+    if found > 1:
+        raise ValueError(f"capture name {capture_name!r} is ambiguous; name its session")
     chosen = capture_details(headers.select("capture_header_id", "capture_name"), details, capture_name)
     records, rejects = parse_table_documents(chosen.select("table_name", "capture_data"))
     return records.select("table_name", "ordinal", "pk", "fields"), rejects
@@ -76,7 +103,7 @@ def read_profile_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines split freely, so this is the form for large profiles.
     """
     lines = spark.read.schema("table_name string, ordinal bigint, record string").json(path)
-    fields = record_fields(F.try_parse_json("record"))
+    fields = record_fields(F.try_parse_json("record"), exact_texts(F.col("record"), "map<string, string>"))
     return lines.select("table_name", "ordinal", fields.alias("fields")).withColumn(
         "pk", pk_value(F.col("fields"))).select("table_name", "ordinal", "pk", "fields")
 

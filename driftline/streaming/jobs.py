@@ -44,7 +44,7 @@ def stream_net_change(changes: DataFrame, keys: list[str], columns: list[str], o
 
 def read_net_change(spark: SparkSession, out: str, keys: list[str], columns: list[str]) -> DataFrame:
     """The current net changes: the newest images of each key, folded."""
-    images = spark.read.parquet(out).select("table_name", *keys, "first", "last", "batch_id")
+    images = spark.read.parquet(out).select("table_name", *keys, "_first", "_last", "batch_id")
     newest = last_by_key(images, ["table_name", *keys], F.col("batch_id"))
     return net_from_images(newest, keys, columns)
 

@@ -103,7 +103,8 @@ def test_every_failure_kind(spark, listed):
     (1, 1, True), (1, "1", False), (1.0, 1.00, True), (1, 1.0, True), (1.5, 1.25, False), (True, True, True),
     (True, "true", False), (None, None, True), (None, 0, False), ("a", "A", False), ("", None, False),
     ({"a": 1}, {"a": 1}, True), ({"a": 1}, {"a": 2}, False), ([1, 2], [1, 2], True), ([1, 2], [2, 1], False),
-    (10**40, 10**40, True), (10**40, 10**40 + 1, False),
+    (10**40, 10**40, True), (10**40, 10**40 + 1, False), (1e-20, 2e-20, False), (1e20, 10**20, True),
+    (1e20, 10**20 + 1, False), (1e5, 100000, True), (10, 1, False), (100, 100.0, True), (-1.50, -1.5, True),
 ])
 def test_json_values(spark, left, right, equal):
     a = capture(spark, {"t": [record(1, v=left)]})
@@ -111,6 +112,17 @@ def test_json_values(spark, left, right, equal):
     assert (compare_captures(a, b).count() == 0) is equal
 
 
+@pytest.mark.parametrize("left,right,equal", [
+    ("0.1234567890123456789012345", "0.1234567890123456789012346", False), ("1.0", "1.00", True), ("10.0", "10", True),
+    ("123456789012345678901234567890123456789012.5", "123456789012345678901234567890123456789012.50", True),
+    ("0.10", "0.1", True), ("0.0", "0", True), ("1000", "1", False),
+])
+def test_number_texts(spark, left, right, equal):
+    made = [spark.createDataFrame([('{"t":[{"__$primary_key":1,"v":%s}]}' % n,)], "doc string") for n in (left, right)]
+    a, b = (parse_capture_json(m, "doc") for m in made)
+    assert (compare_captures(a, b).count() == 0) is equal
+
+
 def test_null_equals_absent(spark):
     a = capture(spark, {"t": [record(1, v=None, w=1)]})
     b = capture(spark, {"t": [record(1, w=1)]})
@@ -207,6 +219,17 @@ def test_load_capture_rejects_bad_documents(spark, listed):
     assert listed(rejects, "table_name") == [("bad",), ("scalar",)]
 
 
+def test_capture_names_resolve_to_one_capture(spark):
+    headers = spark.createDataFrame([("h1", "s1", "c"), ("h2", "s2", "c")],
+                                    "capture_header_id string, session_id string, capture_name string")
+    details = spark.createDataFrame([("h1", "t", "[]")], "capture_header_id string, table_name string, capture_data string")
+    with pytest.raises(ValueError):
+        load_capture(headers, details, "c")
+    with pytest.raises(LookupError):
+        load_capture(headers, details, "absent")
+    load_capture(headers, details, "c", "s1")
+
+
 def test_documents_in_parts_keep_their_order(spark, listed):
     details = spark.createDataFrame([
         ("t", 1, json.dumps([record(1, v="last")])), ("t", 0, json.dumps([record(1, v="first"), record(2)]))],
