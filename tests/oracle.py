@@ -41,16 +41,25 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+# Types both engines must report alike.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
+         "TIMESTAMP": "timestamp", "SMALLINT": "smallint", "DATE": "date"}
+
+
 def compare(spark, con, query, sql: str, sf: str) -> tuple[int, list[str]]:
     """Row count on Spark and the differences found."""
     got = query(spark, sf)
     left = rows_of(got.columns, [tuple(r) for r in got.collect()])
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
+    types = {d[0]: TYPES.get(str(d[1]), str(d[1]).lower()) for d in cursor.description}
     right = rows_of(names, cursor.fetchall())
     found = []
     if sorted(names) != sorted(got.columns):
         found.append(f"columns {sorted(got.columns)} != {sorted(names)}")
+    unlike = {n: (t, types[n]) for n, t in got.dtypes if n in types and types[n] != t}
+    if unlike:
+        found.append(f"types {unlike}")
     if len(left) != len(right):
         found.append(f"rows {len(left)} != {len(right)}")
     if not found and left != right:
