@@ -40,14 +40,14 @@ def key_columns_value(columns: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<null>")) for c in columns])
 
 
-def profile_key(fields: Column, columns: list[str], parity: bool = False) -> Column:
-    """Key of a profile record from its key fields; an absent field reads ``<null>``.
+def profile_key_sql(fields: str, columns: str, parity: bool = False) -> str:
+    """SQL of a record's key from its key fields; an absent field reads ``<null>``.
 
-    ``parity`` joins the parts without a separator.
+    ``columns`` is an array of names. ``parity`` joins the parts without a separator.
     """
-    parts = [F.when(F.map_contains_key(fields, F.lit(c)), F.coalesce(fields[c]["val"], F.lit("")))
-             .otherwise("<null>") for c in columns]
-    return F.concat_ws("" if parity else "|", *parts)
+    separator = "''" if parity else "'|'"
+    return (f"array_join(transform({columns}, c -> IF(map_contains_key({fields}, c), "
+            f"coalesce({fields}[c].val, ''), '<null>')), {separator})")
 
 
 def row_key(fields: Column) -> Column:

@@ -103,7 +103,7 @@ def _differing_keys(baseline: DataFrame, test: DataFrame, keys: list[str]) -> Da
 
 def compare_captures(baseline: DataFrame, test: DataFrame, ignore_fields=(),
                      ignore_lsn: bool = True, scope: list[str] | None = None,
-                     digest_first: bool = False) -> DataFrame:
+                     digest_first: bool = False, unique_keys: bool = False) -> DataFrame:
     """All failures between two captures.
 
     Each side is reduced to its last record per ``(table_name, pk)``; that aggregation
@@ -112,7 +112,8 @@ def compare_captures(baseline: DataFrame, test: DataFrame, ignore_fields=(),
 
     With ``digest_first`` the first shuffle carries a SHA-256 per record instead of its
     fields, and only records whose digests differ are read again and compared: less data
-    moves when the captures are large and nearly equal.
+    moves when the captures are large and nearly equal. ``unique_keys`` promises one
+    record per key, as net changes have, and saves the reduction.
     """
     scope = scope or ["table_name"]
     keys = [*scope, "pk"]
@@ -121,10 +122,13 @@ def compare_captures(baseline: DataFrame, test: DataFrame, ignore_fields=(),
         differing = _differing_keys(baseline, test, keys)
         baseline = baseline.join(differing, keys, "left_semi")
         test = test.join(differing, keys, "left_semi")
-    left = last_by_key(baseline.select(*keys, "ordinal", "fields"), keys, F.col("ordinal"))
-    right = last_by_key(test.select(*keys, "ordinal", "fields"), keys, F.col("ordinal"))
-    joined = left.select(*keys, F.col("fields").alias("l")).join(
-        right.select(*keys, F.col("fields").alias("r")), keys, "full_outer")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        if not unique_keys:
+            df = last_by_key(df.select(*keys, "ordinal", "fields"), keys, F.col("ordinal"))
+        return df.select(*keys, F.col("fields").alias(name))
+
+    joined = side(baseline, "l").join(side(test, "r"), keys, "full_outer")
 
     op = quote_text(OPERATION_FIELD)
     operations = (

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.keys import profile_key_sql
 from driftline.functions.values import changed_unless_recent_sql, quote_text
 from driftline.model import LSN_FIELD, OPERATION_FIELD
 from driftline.operators.netchange import last_by_key
+from driftline.session import broadcast_if_small
 
 IGNORED = (LSN_FIELD, OPERATION_FIELD)
 
@@ -20,21 +22,25 @@ def _line(action: str, *values: str) -> str:
 
 
 def diff_profiles(manifest: DataFrame, left: DataFrame, right: DataFrame, now: str | None = None,
-                  parity: bool = False) -> DataFrame:
+                  parity: bool = False, unique_keys: bool = False) -> DataFrame:
     """Differing rows and fields of every table that has a key in the manifest.
 
     Returns ``table_name, key, action, field_name, field_action, left_value, right_value``;
     new and deleted rows have no field. With ``parity`` rows are new or deleted only when
     their whole table is absent on the other side, and fields only the right side has are
-    left out.
+    left out. Of records with equal keys the last counts; ``unique_keys`` promises there
+    are none and saves that step.
     """
-    keyed = manifest.filter(F.size("pk_columns") > 0).select(
-        F.concat_ws("_", "schema", "name").alias("table_name"))
+    keyed = broadcast_if_small(manifest.filter("size(pk_columns) > 0").selectExpr(
+        "concat_ws('_', schema, name) AS table_name", "transform(pk_columns, c -> trim(c)) AS pk_columns"))
     keys = ["table_name", "pk"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        listed = df.select(*keys, "ordinal", "fields").join(keyed, "table_name", "left_semi")
-        return last_by_key(listed, keys, F.col("ordinal")).select(*keys, F.col("fields").alias(name))
+        listed = df.select("table_name", "ordinal", "fields").join(keyed, "table_name")
+        rows = listed.selectExpr("table_name", f"{profile_key_sql('fields', 'pk_columns', parity)} AS pk", "ordinal", "fields")
+        if not unique_keys:
+            rows = last_by_key(rows, keys, F.col("ordinal"))
+        return rows.select(*keys, F.col("fields").alias(name))
 
     joined = side(left, "l").join(side(right, "r"), keys, "full_outer")
     ignored = ", ".join(map(quote_text, IGNORED))

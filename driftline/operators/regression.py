@@ -43,5 +43,6 @@ def run_regression(tables: list[TableStates], ignore_fields=(), ignore_lsn: bool
     """
     baseline = materialize(capture_side(tables, "baseline"), "regression-baseline")
     candidate = materialize(capture_side(tables, "candidate"), "regression-candidate")
-    failures = materialize(compare_captures(baseline, candidate, ignore_fields, ignore_lsn), "regression-failures")
+    failures = compare_captures(baseline, candidate, ignore_fields, ignore_lsn, unique_keys=True)
+    failures = materialize(failures, "regression-failures")
     return failures, comparison_summary(baseline, candidate, failures)

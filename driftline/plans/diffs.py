@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftline.functions import values as V
@@ -12,6 +14,8 @@ from driftline.operators import stats
 from driftline.operators.netchange import capture_records
 from driftline.plans import inputs as I
 from driftline.plans.catalog import Catalog
+from driftline.session import shared_folder
+from driftline.sinks import store
 
 catalog = Catalog()
 
@@ -19,12 +23,13 @@ KEYED_TABLES = ("orders", "customer", "part", "supplier", "nation")
 
 
 def manifest(spark, sf):
-    """Descriptors of the compared tables, from the tables' own scans."""
+    """Descriptors of the compared tables, one row per table that has rows."""
     union = None
     for name in KEYED_TABLES:
-        row = I.table(spark, sf, name).agg(F.lit(name).alias("name"))
+        row = I.table(spark, sf, name).limit(1).select(
+            F.lit("dbo").alias("schema"), F.lit(name).alias("name"), F.array(F.lit(I.KEYED[name].key)).alias("pk_columns"))
         union = row if union is None else union.union(row)
-    return union.select(F.lit("dbo").alias("schema"), "name", F.array(F.lit("key")).alias("pk_columns"))
+    return union
 
 
 def profiles(spark, sf):
@@ -80,6 +85,15 @@ def changed_unless_recent(spark, sf):
         V.changed_unless_recent("l", "r").alias("changed_plain"))
 
 
+@catalog.add("write_diff", f"WITH {profile_cte()} SELECT * FROM diffs")
+def write_diff(spark, sf):
+    """Differences written as JSON lines and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/diff-{uuid.uuid4().hex}"
+    diffs = _diffs(spark, sf)
+    store.write_diff(diffs, path)
+    return spark.read.schema(diffs.schema).json(path)
+
+
 @catalog.add("diff_stats", f"""WITH {profile_cte()}
 SELECT table_name, count(DISTINCT (key, action)) AS total_differences, count(DISTINCT key) FILTER (action = 'New') AS new_records,
   count(DISTINCT key) FILTER (action = 'Changed') AS changed_records, count(DISTINCT key) FILTER (action = 'Deleted') AS deleted_records,
@@ -196,24 +210,16 @@ def _normal_diffs(spark, sf):
     return M.compare_normalized(*_normal_pair(spark, sf))
 
 
-# Rows without a natural key differ in their digest only by their text; part rows match or not.
-@catalog.add("compare_normalized", f"""WITH {normal_cte()}
-SELECT table_name, CASE WHEN table_name = 'dbo_part' THEN 'digest' ELSE row_key END AS row_key, action, field_name, difference_type FROM diffs""")
+@catalog.add("compare_normalized", f"""WITH {normal_cte()} SELECT table_name, row_key, action, field_name, difference_type FROM diffs""")
 def compare_normalized(spark, sf):
-    """Differing rows by action and field; digest keys are shown as such."""
-    keyless = F.col("table_name") == "dbo_part"
-    return _normal_diffs(spark, sf).select(
-        "table_name", F.when(keyless, "digest").otherwise(F.col("row_key")).alias("row_key"),
-        "action", "field_name", "difference_type")
+    return _normal_diffs(spark, sf).select("table_name", "row_key", "action", "field_name", "difference_type")
 
 
 @catalog.add("row_field_diff", f"""WITH {normal_cte()}
-SELECT table_name, row_key, field_name, left_value, right_value, difference_type FROM diffs
-WHERE action = 'Changed' AND field_name = 'o_orderstatus'""")
+SELECT table_name, row_key, field_name, left_value, right_value, difference_type FROM diffs WHERE action = 'Changed'""")
 def row_field_diff(spark, sf):
-    """The changed order status of matched rows, both values shown."""
-    rows = _normal_diffs(spark, sf).filter("action = 'Changed' AND field_name = 'o_orderstatus'")
-    return rows.drop("action")
+    """The changed fields of matched rows, both values shown."""
+    return _normal_diffs(spark, sf).filter("action = 'Changed'").drop("action")
 
 
 @catalog.add("restrict_comparison", f"""WITH {normal_cte()}

@@ -66,9 +66,14 @@ p AS (SELECT *, row_number() OVER (PARTITION BY session_name ORDER BY is_new, st
 SELECT a.session_name, a.session_id, a.status, b.configuration, epoch_us(b.start_time) AS start_time
 FROM p a JOIN p b ON a.session_name = b.session_name AND a.first_rn = 1 AND b.last_rn = 1""")
 def upsert_sessions(spark, sf):
-    """Some sessions replace the configuration and start of others of their name."""
+    """Some sessions replace the configuration and start of others of their name.
+
+    The result is written as the next version of the session table and read back.
+    """
     rows = session_rows(spark, sf)
-    after = S.upsert_sessions(rows.filter(EXISTING), rows.filter(INCOMING))
+    path = f"{shared_folder(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    version = store.write_version(S.upsert_sessions(rows.filter(EXISTING), rows.filter(INCOMING)), path, 2)
+    after = spark.read.parquet(version)
     return stamped(after.select("session_name", "session_id", "status", "configuration", "start_time"), "start_time")
 
 

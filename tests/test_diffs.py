@@ -139,3 +139,17 @@ def test_unmapped_type_is_an_error(spark):
     df = spark.sql("SELECT INTERVAL 1 DAY AS i")
     with pytest.raises(TypeError):
         capture_records(df, "t", ["i"], F.lit(0))
+
+
+def test_keys_come_from_the_manifest(spark, listed):
+    """All key columns make the key; an absent one reads <null>, and of equal keys the last counts."""
+    left = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (1, "y", 2)], "a int, b string, v int")
+    right = spark.createDataFrame([(1, "x", 1), (1, "y", 3)], "a int, b string, v int")
+    ordered = lambda df: capture_records(df, "dbo_t", ["a"], F.col("v"))
+    keyed = manifest(spark, "t", pk=("a", " b"))
+    diffs = P.diff_profiles(keyed, ordered(left), ordered(right))
+    assert listed(diffs, "key", "left_value", "right_value") == [("1|y", "2", "3")]
+    parity = P.diff_profiles(keyed, ordered(left), ordered(right), parity=True)
+    assert listed(parity, "key") == [("1y",)]
+    absent = P.diff_profiles(manifest(spark, "t", pk=("a", "zz")), ordered(left), ordered(right))
+    assert listed(absent, "key", "field_name") == [("1|<null>", "v")]
