@@ -14,7 +14,7 @@ from driftline.model import (
     OPERATION_FIELD, OPERATION_MISMATCH, RECORD_COUNT_MISMATCH, TABLE_FIELD)
 from driftline.operators.netchange import last_by_key
 
-# One sentence per failure kind (fixed values); ``{}`` slots are filled from the failure.
+# One sentence per failure kind (fixed values); ``%s`` slots are filled from the failure.
 DESCRIPTIONS = {
     MISSING_TABLE: ("Table '%s' exists in baseline but not in test capture", ("table_name",)),
     EXTRA_TABLE: ("Table '%s' exists in test capture but not in baseline", ("table_name",)),
@@ -35,9 +35,14 @@ FAILURE_COLUMNS = ["table_name", "failure_type", "primary_key", "field_name",
 
 
 def failure_description_sql() -> str:
-    cases = " ".join(
-        f"WHEN '{kind}' THEN format_string({quote_text(sentence)}, {', '.join(slots)})"
-        for kind, (sentence, slots) in DESCRIPTIONS.items())
+    def sentence(text: str, slots: tuple[str, ...]) -> str:
+        pieces = text.split("%s")
+        parts = [quote_text(pieces[0])]
+        for slot, piece in zip(slots, pieces[1:]):
+            parts += [slot, quote_text(piece)]
+        return f"concat({', '.join(parts)})"
+
+    cases = " ".join(f"WHEN '{kind}' THEN {sentence(*parts)}" for kind, parts in DESCRIPTIONS.items())
     return f"CASE failure_type {cases} END"
 
 
@@ -47,7 +52,9 @@ def ignored_field_sql(field: str, ignore_fields=(), ignore_lsn: bool = True) ->
     if ignore_lsn:
         names.append(LSN_FIELD)
     listed = ", ".join(map(quote_text, names))
-    return f"(lower({field}) IN ({listed}) OR regexp_replace(lower({field}), '^(old|new)_', '') IN ({listed}))"
+    name = f"lower({field})"
+    bare = f"IF(left({name}, 4) IN ('old_', 'new_'), substr({name}, 5), {name})"
+    return f"({name} IN ({listed}) OR {bare} IN ({listed}))"
 
 
 def table_counts(baseline: DataFrame, test: DataFrame) -> DataFrame:
@@ -81,9 +88,9 @@ def common_tables(baseline: DataFrame, test: DataFrame) -> DataFrame:
     return _raw_counts(baseline, test).filter("b > 0 AND t > 0").select("table_name")
 
 
-def _failure(kind: str, field: str = "CAST(NULL AS STRING)", left: str = "CAST(NULL AS STRING)",
+def _failure(kind_sql: str, field: str = "CAST(NULL AS STRING)", left: str = "CAST(NULL AS STRING)",
              right: str = "CAST(NULL AS STRING)") -> str:
-    return (f"named_struct('failure_type', '{kind}', 'field_name', {field}, "
+    return (f"named_struct('failure_type', {kind_sql}, 'field_name', {field}, "
             f"'baseline_value', {left}, 'test_value', {right})")
 
 
@@ -131,21 +138,24 @@ def compare_captures(baseline: DataFrame, test: DataFrame, ignore_fields=(),
     joined = side(baseline, "l").join(side(test, "r"), keys, "full_outer")
 
     op = quote_text(OPERATION_FIELD)
-    operations = (
-        f"IF(map_contains_key(l, {op}) AND map_contains_key(r, {op}) AND NOT {json_equal_sql(f'l[{op}]', f'r[{op}]')}, "
-        f"array({_failure(OPERATION_MISMATCH, op, f'l[{op}].val', f'r[{op}].val')}), array())")
     pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
-    differing = (f"filter({pairs}, p -> NOT {ignored_field_sql('p.key', ignore_fields, ignore_lsn)} "
+    # Operations are compared where both records have one, other fields unless ignored.
+    compared = (f"IF(p.key = {op}, map_contains_key(l, {op}) AND map_contains_key(r, {op}), "
+                f"NOT {ignored_field_sql('p.key', ignore_fields, ignore_lsn)})")
+    differing = (f"filter({pairs}, p -> NOT (p.value.a <=> p.value.b) AND {compared} "
                  f"AND NOT {json_equal_sql('p.value.a', 'p.value.b')})")
-    fields = f"transform({differing}, p -> {_failure(FIELD_MISMATCH, 'p.key', 'p.value.a.val', 'p.value.b.val')})"
+    kind = f"IF(p.key = {op}, '{OPERATION_MISMATCH}', '{FIELD_MISMATCH}')"
+    fields = f"transform({differing}, p -> {_failure(kind, 'p.key', 'p.value.a.val', 'p.value.b.val')})"
     # Identical maps (the usual case) skip the field-by-field work.
-    found = (f"CASE WHEN r IS NULL THEN array({_failure(MISSING_RECORD)}) "
-             f"WHEN l IS NULL THEN array({_failure(EXTRA_RECORD)}) "
-             f"WHEN NOT (map_entries(l) = map_entries(r)) THEN concat({operations}, {fields}) END")
+    found = (f"CASE WHEN r IS NULL THEN array({_failure(quote_text(MISSING_RECORD))}) "
+             f"WHEN l IS NULL THEN array({_failure(quote_text(EXTRA_RECORD))}) "
+             f"WHEN NOT (map_entries(l) = map_entries(r)) THEN {fields} END")
     records = joined.selectExpr(*scope, "pk AS primary_key", f"inline({found})")
 
     counts = _raw_counts(counted_baseline, counted_test, scope)
-    records = records.join(counts.filter("b > 0 AND t > 0").select(*scope), scope, "left_semi")
+    # Inner on unique names: a semi join would be pushed below the explosion and move every
+    # joined record instead of the failures alone.
+    records = records.join(counts.filter("b > 0 AND t > 0").select(*scope), scope)
     counted = "b > 0 AND t > 0 AND b <> t"
     tables = counts.filter("b = 0 OR t = 0 OR b <> t").selectExpr(
         *scope, "CAST(NULL AS STRING) AS primary_key",

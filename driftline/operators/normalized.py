@@ -48,7 +48,7 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
     pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
     changed = _line("Changed", "p.key", "p.value.a.val", "p.value.b.val",
                     difference_type_sql("p.value.a", "p.value.b"))
-    fields = (f"transform(filter({pairs}, p -> NOT {value_equal_sql('p.value.a', 'p.value.b')}), p -> {changed})")
+    fields = (f"transform(filter({pairs}, p -> NOT (p.value.a <=> p.value.b) AND NOT {value_equal_sql('p.value.a', 'p.value.b')}), p -> {changed})")
     found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted')}) WHEN l IS NULL THEN array({_line('Added')}) "
              f"WHEN NOT (map_entries(l) = map_entries(r)) THEN {fields} END")
     return joined.selectExpr(*keys, f"inline({found})")

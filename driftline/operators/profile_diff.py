@@ -9,6 +9,7 @@ from driftline.functions.keys import profile_key_sql
 from driftline.functions.values import changed_unless_recent_sql, quote_text
 from driftline.model import LSN_FIELD, OPERATION_FIELD
 from driftline.operators.netchange import last_by_key
+from driftline.operators.stats import intersect_tables
 from driftline.session import broadcast_if_small
 
 IGNORED = (LSN_FIELD, OPERATION_FIELD)
@@ -49,17 +50,18 @@ def diff_profiles(manifest: DataFrame, left: DataFrame, right: DataFrame, now: s
               f"WHEN NOT map_contains_key(l, p.key) THEN {right_only} "
               f"WHEN {changed_unless_recent_sql('p.value.a', 'p.value.b', now)} THEN 'Changed' END")
     pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
-    fields = (f"transform(filter({pairs}, p -> p.key NOT IN ({ignored}) AND {action} IS NOT NULL), "
+    fields = (f"transform(filter({pairs}, p -> NOT (p.value.a <=> p.value.b AND map_contains_key(l, p.key) AND map_contains_key(r, p.key)) "
+              f"AND p.key NOT IN ({ignored}) AND {action} IS NOT NULL), "
               f"p -> {_line('Changed', 'p.key', action, 'p.value.a.val', 'p.value.b.val')})")
     found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted')}) WHEN l IS NULL THEN array({_line('New')}) "
              f"WHEN NOT (map_entries(l) = map_entries(r)) THEN {fields} END")
     rows = joined.selectExpr("table_name", "pk AS key", f"inline({found})")
     if not parity:
         return rows
-    shared = left.select("table_name").distinct().intersect(right.select("table_name").distinct())
-    changed = rows.filter(F.col("action") == "Changed")
-    whole = rows.filter(F.col("action") != "Changed").join(shared, "table_name", "left_anti")
-    return changed.unionByName(whole)
+    shared = intersect_tables(left, right).withColumn("_shared", F.lit(True))
+    # Left join on unique names: an anti join would be pushed below the explosion.
+    marked = rows.join(shared, "table_name", "left")
+    return marked.filter("action = 'Changed' OR _shared IS NULL").drop("_shared")
 
 
 def diff_stats(diffs: DataFrame) -> DataFrame:
