@@ -67,15 +67,17 @@ def difference_report(differences: DataFrame, tables: DataFrame | None = None) -
     ``tables`` lists the compared tables, so those without differences show zeros;
     ``affected_columns`` holds distinct field names, at most the width of the table.
     """
-    rows = differences.select("table_name", "row_key", "action").distinct()
-    counts = rows.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("action") == "Changed").alias("changed_rows"),
-        F.count_if(F.col("action") == "Added").alias("new_rows"),
-        F.count_if(F.col("action") == "Deleted").alias("deleted_rows"))
-    columns = differences.filter("field_name IS NOT NULL").groupBy("table_name").agg(
-        F.array_sort(F.collect_set("field_name")).alias("affected_columns"))
-    report = counts.join(columns, "table_name", "left")
+    # One line per row and field again, the first line of each row marked, so that rows and
+    # columns are counted in the same pass over the differences.
+    rows = differences.groupBy("table_name", "row_key", "action").agg(F.collect_set("field_name").alias("fields"))
+    lines = rows.select("table_name", "action", F.posexplode_outer("fields").alias("pos", "field"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    report = lines.groupBy("table_name").agg(
+        F.count_if(first).alias("total_rows"),
+        F.count_if(first & (F.col("action") == "Changed")).alias("changed_rows"),
+        F.count_if(first & (F.col("action") == "Added")).alias("new_rows"),
+        F.count_if(first & (F.col("action") == "Deleted")).alias("deleted_rows"),
+        F.array_sort(F.collect_set("field")).alias("affected_columns"))
     if tables is not None:
         report = tables.select("table_name").join(report, "table_name", "left")
     totals = ("total_rows", "changed_rows", "new_rows", "deleted_rows")

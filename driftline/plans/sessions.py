@@ -212,8 +212,7 @@ def save_comparison(spark, sf):
     """A comparison stored and read back: summary rows beside their field differences."""
     path = f"{shared_folder(spark).rstrip('/')}/comparison-{uuid.uuid4().hex}"
     differences = M.compare_normalized(*_normal_pair(spark, sf))
-    store.save_comparison(differences, M.difference_report(differences), path, "c1", "s1",
-                          F.to_timestamp(F.lit("2024-01-01")))
+    store.save_comparison(differences, path, "c1", "s1", F.to_timestamp(F.lit("2024-01-01")))
     fields = spark.read.parquet(f"{path}/field_diffs").groupBy("table_name").agg(F.count("field_name").alias("field_diffs"))
     saved = S.load_comparison(spark.read.parquet(f"{path}/comparisons"), comparison_id="c1")
     return saved.join(fields, "table_name").select("table_name", "is_match", "difference_count", "field_diffs")

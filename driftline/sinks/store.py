@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.values import NUMBER_KINDS
+from driftline.operators.normalized import difference_report
 from driftline.operators.stats import capture_fingerprint, capture_totals
 
 
@@ -36,7 +37,10 @@ def record_json(fields: Column) -> Column:
 
 def save_capture(capture: DataFrame, path: str, capture_header_id: str, capture_name: str, session_id: str,
                  capture_type: str, capture_time: Column, tables_enabled=(), tables_skipped=()) -> None:
-    """Store one capture: records, then per-table counts, then the header that commits it."""
+    """Store one capture: records, then per-table counts, then the header that commits it.
+
+    A retry takes a new header id: rows of the failed attempt keep theirs and stay invisible.
+    """
     named = [F.lit(capture_header_id).alias("capture_header_id"), F.lit(capture_name).alias("capture_name")]
     # Ranges over (table, key): a large table spans many tasks and a task writes few tables.
     records = capture.select(*named, "table_name", "ordinal", "pk", "fields").repartitionByRange(
@@ -86,12 +90,17 @@ def write_diff(diffs: DataFrame, path: str) -> None:
     diffs.write.mode("overwrite").json(path)
 
 
-def save_comparison(differences: DataFrame, report: DataFrame, path: str, comparison_id: str, session_id: str,
-                    comparison_time: Column) -> None:
-    """Store a comparison: field differences first, then one summary row per table."""
+def save_comparison(differences: DataFrame, path: str, comparison_id: str, session_id: str,
+                    comparison_time: Column, tables: DataFrame | None = None) -> None:
+    """Store a comparison: field differences first, then one summary row per table.
+
+    The summary is counted from the stored differences, so the comparison runs once.
+    """
     identity = [F.lit(comparison_id).alias("comparison_id"), F.lit(session_id).alias("session_id")]
     differences.select(*identity, "*").write.mode("append").parquet(f"{path}/field_diffs")
-    report.select(
+    stored = differences.sparkSession.read.parquet(f"{path}/field_diffs").filter(
+        (F.col("comparison_id") == comparison_id) & (F.col("session_id") == session_id))
+    difference_report(stored, tables).select(
         *identity, comparison_time.alias("comparison_time"), "table_name",
         (F.col("total_rows") == 0).alias("is_match"), F.col("total_rows").alias("difference_count"),
     ).write.mode("append").parquet(f"{path}/comparisons")
