@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.llm.bpe import encode_texts
 from driftline.llm.chat import render_perspectives
+from driftline.llm.decontaminate import contamination
 from driftline.llm.exact_dedup import duplicate_groups
 from driftline.llm.licenses import scan_licenses
+from driftline.llm.token_counts import count_tokens
+from driftline.llm.toxicity import score_toxicity
 from driftline.plans.catalog import Catalog
 
 catalog = Catalog()
@@ -34,3 +39,24 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@catalog.add("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@catalog.add("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@catalog.add("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@catalog.add("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                        public_tokenizers.PATTERN, keep_ids=False)
