@@ -9,6 +9,7 @@ from driftline.llm.bpe import encode_texts
 from driftline.llm.chat import render_perspectives
 from driftline.llm.decontaminate import contamination
 from driftline.llm.exact_dedup import duplicate_groups
+from driftline.llm.html_text import extract_pages
 from driftline.llm.licenses import scan_licenses
 from driftline.llm.token_counts import count_tokens
 from driftline.llm.toxicity import score_toxicity
@@ -60,3 +61,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                         public_tokenizers.PATTERN, keep_ids=False)
+
+
+@catalog.add("op7_html_extraction")
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
