@@ -45,8 +45,9 @@ _HIDDEN = re.compile(r"""\s(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|sty
 #: What a block can't be for any sum of the other capacities.
 HARD = 1e6
 
-#: Smoothness: neighbours in the page, in one element or not; a block and its element; an element and its parent.
-NEXT, NEXT_APART, INSIDE, NESTED = 0.8, 0.3, 0.5, 0.4
+#: Smoothness: neighbours in the page, alike or not; a block and its element; an element and its parent; the
+#: factor for the last two where only one of both is marked.
+NEXT, NEXT_APART, INSIDE, NESTED, UNLIKE = 0.8, 0.1, 0.5, 0.4, 0.1
 
 
 @dataclass
@@ -159,8 +160,6 @@ def evidence(block: Block, element: Element) -> float:
         score += 0.5
     elif element.tag in HEADINGS:
         score += 0.2
-    elif element.tag == "li":
-        score -= 0.3
     if element.article:
         score += 4.0
     if element.marked:
@@ -244,21 +243,24 @@ def main_text(source: str | None) -> str:
         return "\n".join([b.text for b in blocks])
     edges: list[tuple[int, int, float]] = []
     for i in range(len(blocks) - 1):
-        same = elements[blocks[i].element].parent == elements[blocks[i + 1].element].parent
-        edges.append((i, i + 1, NEXT if same else NEXT_APART))
+        a, b = elements[blocks[i].element], elements[blocks[i + 1].element]
+        alike = (a.parent, a.tag, a.marked, a.never) == (b.parent, b.tag, b.marked, b.never)
+        edges.append((i, i + 1, NEXT if alike else NEXT_APART))
     # Elements that hold blocks, and those above them, as nodes without a cost of their own.
     node: dict[int, int] = {}
     for i, block in enumerate(blocks):
-        element, below, weight = elements[block.element].parent, i, INSIDE
+        inner, element, below, weight = elements[block.element], elements[block.element].parent, i, INSIDE
         while element >= 0:
             new = element not in node
             at = node.setdefault(element, len(odds))
             if new:
                 odds.append(-HARD if elements[element].never else 0.0)
-            edges.append((below, at, weight))
+            outer = elements[element]
+            like = (inner.marked, inner.never) == (outer.marked, outer.never)
+            edges.append((below, at, weight if like else weight * UNLIKE))
             if not new:
                 break
-            element, below, weight = elements[element].parent, at, NESTED
+            inner, element, below, weight = outer, outer.parent, at, NESTED
     kept = minimum_cut(odds, edges)
     return "\n".join([b.text for b, keep in zip(blocks, kept, strict=False) if keep])
 
