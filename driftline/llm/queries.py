@@ -11,6 +11,8 @@ from driftline.llm.decontaminate import contamination
 from driftline.llm.exact_dedup import duplicate_groups
 from driftline.llm.html_text import extract_pages
 from driftline.llm.licenses import scan_licenses
+from driftline.llm.near_dedup import near_duplicates
+from driftline.llm.suffix_dedup import remove_repeats
 from driftline.llm.token_counts import count_tokens
 from driftline.llm.toxicity import score_toxicity
 from driftline.plans.catalog import Catalog
@@ -66,3 +68,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("op7_html_extraction")
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@catalog.add("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@catalog.add("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
