@@ -29,9 +29,6 @@ from driftline.session import materialize
 #: Bytes of a string that counts as repeated, and of an anchor inside it.
 LENGTH, ANCHOR = 200, 64
 
-#: Windows of a piece at most: longer runs of one anchor are several pieces.
-PIECE = LENGTH - ANCHOR + 1
-
 #: Symbols of the collections that a task builds together.
 SYMBOLS = 2 << 20
 
@@ -42,22 +39,36 @@ _CHUNK = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _sliding(values: np.ndarray, span: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each ``span`` neighbouring values, by doubling."""
+    wide = 1
+    while wide * 2 <= span:
+        values = pick(values[:-wide], values[wide:])
+        wide *= 2
+    rest = span - wide
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
 def pieces(body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Row, start in the row, windows and anchor of each piece, in order; every window is in one piece."""
-    none = (np.zeros(0, np.int64),) * 4
+    """Row, start in the row, windows, anchor and places of each piece, in order; every window is in one piece.
+
+    ``places`` is 2 if the anchor may stand twice in the piece, else 1.
+    """
+    none = (np.zeros(0, np.int64),) * 5
     if len(body) < length:
         return none
     prefix = np.zeros(len(body) + 1, np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(len(body), _BASE), out=prefix[1:])
-    values = mixed((prefix[anchor:] - prefix[:-anchor]) * powers(len(body) - anchor + 1, pow(_BASE, -1, 1 << 64)))
-    # The least of each window's anchors, by doubling.
-    span, wide = length - anchor + 1, 1
-    while wide * 2 <= span:
-        values = np.minimum(values[:-wide], values[wide:])
-        wide *= 2
-    if wide < span:
-        rest = span - wide
-        values = np.minimum(values[:-rest], values[rest:])
+    hashes = mixed((prefix[anchor:] - prefix[:-anchor]) * powers(len(body) - anchor + 1, pow(_BASE, -1, 1 << 64)))
+    span = length - anchor + 1
+    values = _sliding(hashes, span, np.minimum)
+    # A place is an anchor if no window over it has only larger ones, that is if the largest least is its own.
+    padding = np.zeros(span - 1, np.uint64)
+    anchors = np.flatnonzero(_sliding(np.concatenate([padding, values, padding]), span, np.maximum) == hashes)
+    near = (hashes[anchors[1:]] == hashes[anchors[:-1]]) & (np.diff(anchors) < span)
+    twins = np.zeros(len(hashes) + 1, np.int32)
+    twins[anchors[1:][near] + 1] = 1
+    twins = np.cumsum(twins)
     start = np.arange(len(values))
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:len(values)]
     kept = start + length <= at[row + 1]
@@ -74,7 +85,8 @@ def pieces(body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int =
     turn = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = first[run] + turn * span
     count = np.minimum(span, size[run] - turn * span)
-    return row[begin], start[begin] - at[row[begin]], count, values[begin].view(np.int64)
+    places = 1 + (twins[start[begin] + count + span - 1] > twins[start[begin]])
+    return row[begin], start[begin] - at[row[begin]], count, values[begin].view(np.int64), places
 
 
 class _File:
@@ -203,12 +215,13 @@ def _scan(length: int):
         anchor = min(ANCHOR, max(1, length // 2))
         for batch in batches:
             for first, _, body, at in text_chunks(batch.column("text"), _CHUNK):
-                row, start, count, value = pieces(body, at, length, anchor)
+                row, start, count, value, places = pieces(body, at, length, anchor)
                 if len(row):
                     took = pa.array(row + first)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(took), batch.column("print").take(took), pa.array(start, pa.int32()),
-                         pa.array(count, pa.int32()), pa.array(value)], ["doc_id", "print", "start", "count", "anchor"])
+                         pa.array(count, pa.int32()), pa.array(value), pa.array(places, pa.int32())],
+                        ["doc_id", "print", "start", "count", "anchor", "places"])
 
     return run
 
@@ -344,8 +357,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = f"doc_id {kind}, print bigint, start int, count int, anchor bigint"
     row = ["doc_id", "print"]
 
-    found = materialize(texts.where(F.octet_length("text") >= length).mapInArrow(_scan(length), place), "anchors")
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("anchor")
+    found = materialize(texts.where(F.octet_length("text") >= length).mapInArrow(_scan(length), f"{place}, places int"), "anchors")
+    twice = found.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1").select("anchor")
     wanted = found.join(twice, "anchor", "left_semi").groupBy(*row).agg(
         F.collect_set(F.struct("start", "count", "anchor")).alias("pieces"))
     wanted = wanted.toDF("w_id", "w_print", "pieces")
