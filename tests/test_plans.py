@@ -89,11 +89,13 @@ def test_details_are_counted_before_they_join(spark, stored, no_broadcast):
 
 
 def test_no_plan_uses_python(spark):
-    """No registered query runs Python in its tasks."""
+    """No query of the audit engine runs Python in its tasks; the text operators in llm may."""
     import pathlib
 
     root = pathlib.Path(__file__).resolve().parent.parent / "driftline"
     for path in root.rglob("*.py"):
+        if path.is_relative_to(root / "llm"):
+            continue
         text = path.read_text()
         for word in ("pandas_udf", "applyInPandas", "mapInPandas", ".rdd", "localCheckpoint", "crossJoin", ".toPandas("):
             assert word not in text, (path, word)
