@@ -162,7 +162,10 @@ class _Links:
 
 
 def _keys(classes: DataFrame, percent: int) -> DataFrame:
-    """``value, cls, size``: the retained values a class is looked up by, and the length of their lists."""
+    """``value, cls, alone, size``: the retained values a class is looked up by, and the length of their lists.
+
+    ``alone`` is how many retained values of the class no other class has.
+    """
     posted = classes.select("cls", "n", F.explode("sketch").alias("value"))
     counted = posted.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     shared = posted.join(counted, "value")
@@ -170,9 +173,10 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
     held = F.least("n", F.lit(SKETCH))
     common = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * percent / 100 - 1e-9)).otherwise(F.lit(COMMON))
     # The rarest held - common + 1 values; those no other class has come first and need no list.
-    spare = held - common + 1 - (held - F.count(F.lit(1)).over(Window.partitionBy("cls")))
-    chosen = materialize(shared.withColumn("place", F.row_number().over(order)).withColumn("spare", spare)
-                         .where("place <= spare").select("value", "cls"), "keys")
+    alone = held - F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    chosen = materialize(shared.withColumn("place", F.row_number().over(order)).withColumn("alone", alone)
+                         .withColumn("spare", held - common + 1 - F.col("alone"))
+                         .where("place <= spare").select("value", "cls", "alone"), "keys")
     sizes = chosen.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return materialize(chosen.join(sizes, "value"), "lists")
 
@@ -202,9 +206,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = lists.where(F.col("size") <= SHORT_LIST).groupBy("value").agg(F.sort_array(F.collect_list("cls")).alias("c"))
     paired = short.select(F.posexplode("c").alias("i", "a"), "c").select(
         "a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
-    long = materialize(lists.where(F.col("size") > SHORT_LIST).select("value", "cls"), "long-lists")
-    least = long.groupBy("value").agg(F.min("cls").alias("a"))
-    starred = long.join(least, "value").where("a <> cls").select("a", F.col("cls").alias("b"))
+    # Of a long list, the class with the fewest values of its own meets all others: in a group of near copies
+    # it is the one closest to what they were made from.
+    long = materialize(lists.where(F.col("size") > SHORT_LIST).select("value", "cls", "alone"), "long-lists")
+    least = long.groupBy("value").agg(F.min_by("cls", F.struct("alone", "cls")).alias("pivot"))
+    starred = long.join(least, "value").where("pivot <> cls").select(
+        F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
     proposed = materialize(found.estimated(paired.union(starred).distinct()), "proposed")
     # First each class with its likeliest smaller one: that joins most groups, and spares most other pairs.
     found.verify(proposed.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"))
@@ -223,8 +230,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if open_.isEmpty():
             break
         if turn < PIVOTS:
-            # The least class of the component with the largest label meets all others.
-            pivot = open_.where("label = high").groupBy("value").agg(F.min("cls").alias("pivot"))
+            # The component with the largest label: its class with the fewest values of its own meets all others.
+            pivot = open_.where("label = high").groupBy("value").agg(
+                F.min_by("cls", F.struct("alone", "cls")).alias("pivot"))
             pairs = open_.join(pivot, "value").where("label <> high").select(
                 F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
         else:

@@ -80,7 +80,7 @@ class Counter:
 
     def _parts(self, text: str) -> list[str]:
         if not self.cuts or SPACE in text:
-            return [SPACE + text.replace(" ", SPACE)]
+            return [text.replace(" ", SPACE)]
         if "  " not in text and text[:1] != " " and text[-1:] != " ":
             return text.split(" ")
         # A run of spaces goes with the word after it.
@@ -100,7 +100,7 @@ class Counter:
         split = [self._parts(t) if t else [] for t in texts]
         counts = self.counts
         for part in {p for parts in split for p in parts} - counts.keys():
-            counts[part] = self.viterbi(part if part.startswith(SPACE) and not self.cuts else SPACE + part)
+            counts[part] = self.viterbi(SPACE + part)
             self.held += len(part)
         return [sum([counts[p] for p in parts]) for parts in split]
 
