@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded pieces a Python worker remembers, by count and by bytes, before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 900_000, 96 << 20
+REMEMBERED, REMEMBERED_BYTES = 2_000_000, 160 << 20
 
 #: Bytes of new pieces encoded by one query (one longer piece is a query of its own).
 QUERY_BYTES = 2 << 20
@@ -110,6 +110,9 @@ class Encoder:
         self.parts: dict[str, tuple[bytes, bytes]] = {}
         self.held = 0
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        # Rules that only cost time on tables as small as these.
+        self.con.execute("SET disabled_optimizers = 'join_filter_pushdown,late_materialization,statistics_propagation,"
+                         "compressed_materialization'")
         merges = pa.table({"both": vocabulary.left * (1 << 32) + vocabulary.right, "rank": vocabulary.rank,
                            "alone": vocabulary.alone})
         tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()),
@@ -186,6 +189,9 @@ class Encoder:
         self.learn(({p for pieces in cut.values() for p in pieces} | {p for pieces in heads for p in pieces}) - self.known.keys())
         known, whole = self.known, self.parts
         for part, pieces in cut.items():
+            if len(pieces) == 1:
+                whole[part] = known[pieces[0]]
+                continue
             coded = [known[p] for p in pieces]
             whole[part] = (b"".join([c[0] for c in coded]), b"".join([c[1] for c in coded]))
             self.held += sum(map(len, whole[part]))
