@@ -9,7 +9,7 @@ The pieces of an anchor are one collection of strings. Its Burrows-Wheeler trans
 prefixes are built from the last column to the first: every round inserts one symbol per string, reading the
 columns so far from a sequential file and writing the next ones. A window is repeated if the
 suffix that starts with it has 200 bytes in common with a neighbour in suffix order, or if its
-piece stands in several places.
+piece stands in several places. A collection of one string with a multiplicity needs no construction.
 """
 
 from __future__ import annotations
@@ -368,15 +368,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     strings = materialize(cut.groupBy("anchor", "digest").agg(F.max("string").alias("string"), F.count(F.lit(1)).alias("n")),
                           "strings")
-    crowd = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > COLLECTION)
-    crowded = strings.join(crowd, "anchor", "left_semi")
-    built = strings.join(crowd, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "digest") \
-        .mapInArrow(_build(length), _FOUND)
+    sized = strings.join(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")), "anchor")
+    # The only string of its collection, with several copies: each of its windows is repeated.
+    alone = (F.col("distinct") == 1) & (F.col("n") > 1)
+    whole = sized.where(alone).select("digest", F.lit(0).alias("first"), (F.octet_length("string") - (length - 1)).alias("end"))
+    crowded = sized.where(F.col("distinct") > COLLECTION)
+    built = sized.where(~alone & (F.col("distinct") <= COLLECTION)).repartition("anchor") \
+        .sortWithinPartitions("anchor", "digest").mapInArrow(_build(length), _FOUND)
     # A crowd of pieces around one anchor: its windows are spread by their own digests.
     windows = crowded.mapInArrow(_windows(length), "mark binary, digest binary, first int, n bigint")
     marks = windows.groupBy("mark").agg(F.sum("n").alias("places")).where("places > 1").select("mark")
     told = windows.join(marks, "mark", "left_semi").select("digest", "first", (F.col("first") + 1).alias("end"))
-    spans = materialize(built.union(told), "repeats")
+    spans = materialize(built.union(told).union(whole), "repeats")
 
     runs = cut.select(*row, "start", "digest").join(spans, "digest").select(
         *row, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end"))
