@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ def criteria_filter(events: DataFrame, criteria: dict) -> DataFrame:
     if criteria.get("ExcludeSystemObjects"):
         events = events.filter(~is_system(F.col("sql_text")))
     if criteria.get("IncludeSchemas"):
-        names = "|".join(criteria["IncludeSchemas"])
-        events = events.filter(F.col("sql_text").rlike(rf"(?i)\b({names})\."))
+        names = "|".join(re.escape(name) for name in criteria["IncludeSchemas"])
+        # The name may be bracketed or quoted.
+        events = events.filter(F.col("sql_text").rlike(rf"(?i)\b({names})[\]\"]?\."))
     if criteria.get("ExcludeUsers"):
         users = [u.lower() for u in criteria["ExcludeUsers"]]
         events = events.filter(~F.coalesce(F.lower("login_name").isin(*users), F.lit(False)))

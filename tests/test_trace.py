@@ -169,3 +169,10 @@ def test_labels(spark):
         X.to_base64(F.lit("x" * 200)).alias("k")).first()
     assert row[:9] == ("✓ Completed", "✗ Failed", "odd", True, False, "abc...", "", "aBC", "a_b_3")
     assert row.j == "é" * 100 and "\n" not in row.k
+
+
+def test_schema_names_may_be_bracketed_and_hold_any_character(spark, listed):
+    df = spark.createDataFrame([(1, "select * from [dbo].[T]"), (2, 'delete "dbo".t'), (3, "x from dbo.t"), (4, "x from dbox.t"),
+                                (5, "x from [a.b].t"), (6, "x from [aXb].t")], "event_id int, sql_text string")
+    assert listed(T.criteria_filter(df, {"IncludeSchemas": ["dbo"]}), "event_id") == [(1,), (2,), (3,)]
+    assert listed(T.criteria_filter(df, {"IncludeSchemas": ["a.b"]}), "event_id") == [(5,)]
