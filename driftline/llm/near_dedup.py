@@ -7,13 +7,16 @@ pairs, the sketch of the union estimates their similarity, and the full sets dec
 No list is paired out without bound. Linked classes share most retained values, so a class needs
 only its rarest few as keys (the prefix principle, rarest value first): a passage that many texts
 share drops out. Short lists give their pairs; in a long one, as a large group of near copies has,
-each class meets the list's least class, then the least one outside that component, and only
-classes that are still in different components are compared with each other.
+each class meets the list's least class, then the least one outside that component. Classes of lists
+that still hold several components go through a prefix join on their full sets, which is exact: an edit
+makes shingles that no other class has, these come first in the order of frequency, and a class with
+too many of them has nothing left to be looked up by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,23 @@ SKETCH = 64
 #: Classes of a list that is paired out at once, and pivots of a longer one before the rest is.
 SHORT_LIST, PIVOTS = 24, 2
 
-#: A pair of similarity 0.8 has fewer than so many of 64 retained values in common with odds of about 1e-8 only.
-COMMON = 32
+#: Odds that a linked pair has fewer retained values in common than `_common` says.
+MISSED = 1e-8
 
 #: Sets up to this size are whole in their sketch, and so is any set linked with them.
 WHOLE = 51
 
+
+def _common(percent: int) -> int:
+    """A pair of that similarity has fewer of SKETCH values in common with odds of MISSED at most."""
+    odds, total = percent / 100, 0.0
+    for count in range(SKETCH + 1):
+        total += comb(SKETCH, count) * odds**count * (1 - odds) ** (SKETCH - count)
+        if total > MISSED:
+            return count
+    return SKETCH
+
+
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 
@@ -141,17 +155,41 @@ class _Links:
         pairs = pairs.withColumn("u", F.expr(union)).withColumn(
             "est", F.expr("size(array_intersect(array_intersect(u, s_a), s_b)) / size(u)"))
         # Where the sketch of the union is the whole union, the estimate is exact.
-        bar = F.when((F.size("u") < SKETCH), F.lit(self.percent / 100 - 1e-9)).otherwise(F.lit(COMMON / SKETCH - 1e-9))
+        bar = F.when((F.size("u") < SKETCH), F.lit(self.percent / 100 - 1e-9)).otherwise(F.lit(_common(self.percent) / SKETCH - 1e-9))
         return pairs.where(F.col("est") >= bar).select("a", "b", "est")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``cls, shingles``: the full sets of the classes ``wanted``."""
+        needed = self.classes.join(wanted, "cls", "left_semi").select("cls", "rep_id")
+        kept = self.texts.join(needed, self.texts["doc_id"].eqNullSafe(needed["rep_id"])).select("cls", "text")
+        return materialize(kept.mapInArrow(_full(self.width), "cls binary, shingles array<bigint>")
+                           .dropDuplicates(["cls"]), "shingles")
+
+    def prefix_pairs(self, wanted: DataFrame) -> DataFrame:
+        """``a, b`` of the classes in ``wanted`` (``cls, label``) that can be alike though their labels differ.
+
+        Shingles are ordered by their frequency among these classes. At the first one that two sets share,
+        what follows it in the shorter rest must suffice for the similarity; no linked pair is lost.
+        """
+        posted = self.sets(wanted).select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+        counted = posted.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
+        shared = posted.join(counted, "value")
+        alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
+        rank = F.row_number().over(Window.partitionBy("cls").orderBy("freq", "value"))
+        prefix = shared.withColumn("place", alone + rank).where(
+            f"100 * (n - place + 1) >= {self.percent} * n").select("cls", "n", "value", "place")
+        prefix = materialize(prefix.join(wanted, "cls"), "prefixes")
+        other = prefix.toDF("b", "n_b", "value", "place_b", "other")
+        alike = f"{100 + self.percent} * (1 + least(n - place, n_b - place_b)) >= {self.percent} * (n + n_b)"
+        return prefix.join(other, "value").where(
+            f"cls < b AND label <> other AND 100 * least(n, n_b) >= {self.percent} * greatest(n, n_b) AND {alike}").select(
+            F.col("cls").alias("a"), "b")
+
     def verify(self, pairs: DataFrame) -> None:
         """Link the pairs whose full sets are alike, and join their components."""
         pairs = materialize(pairs.select("a", "b"), "pairs")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        needed = self.classes.join(ends, "cls", "left_semi").select("cls", "rep_id")
-        kept = self.texts.join(needed, self.texts["doc_id"].eqNullSafe(needed["rep_id"])).select("cls", "text")
-        full = materialize(kept.mapInArrow(_full(self.width), "cls binary, shingles array<bigint>")
-                           .dropDuplicates(["cls"]), "shingles")
+        full = self.sets(ends)
         for end in ("a", "b"):
             pairs = pairs.join(full.select(F.col("cls").alias(end), F.col("shingles").alias(f"f_{end}")), end)
         common = F.size(F.array_intersect("f_a", "f_b"))
@@ -171,7 +209,7 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
     shared = posted.join(counted, "value")
     order = Window.partitionBy("cls").orderBy("freq", "value")
     held = F.least("n", F.lit(SKETCH))
-    common = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * percent / 100 - 1e-9)).otherwise(F.lit(COMMON))
+    common = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * percent / 100 - 1e-9)).otherwise(F.lit(_common(percent)))
     # The rarest held - common + 1 values; those no other class has come first and need no list.
     alone = held - F.count(F.lit(1)).over(Window.partitionBy("cls"))
     chosen = materialize(shared.withColumn("place", F.row_number().over(order)).withColumn("alone", alone)
@@ -219,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         found.verify(rest)
 
-    # Long lists that still hold several components: further pivots, then what is left in pairs.
+    # Long lists that still hold several components: further pivots, then the prefix join of what is left.
     for turn in range(PIVOTS + 1):
         if long.isEmpty():
             break
@@ -236,8 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = open_.join(pivot, "value").where("label <> high").select(
                 F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
         else:
-            other = open_.select("value", F.col("cls").alias("b"), F.col("label").alias("other"))
-            pairs = open_.join(other, "value").where("cls < b AND label <> other").select(F.col("cls").alias("a"), "b")
+            pairs = found.prefix_pairs(open_.select("cls", "label").distinct())
         pairs = materialize(found.estimated(pairs.distinct()), "proposed")
         if not pairs.isEmpty():
             found.verify(pairs)
