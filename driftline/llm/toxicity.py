@@ -102,6 +102,23 @@ class Model:
     scale: dict[int, np.ndarray]
     rest: dict[int, np.ndarray]
 
+    def __getstate__(self) -> dict:
+        """Compressed, as the driver and every executor keep a broadcast on disk; empty buckets cost nothing."""
+        def packed(table: np.ndarray) -> tuple[bytes, int, tuple[int, ...]]:
+            raw = table.astype("<f4", copy=False).tobytes()
+            return pa.compress(raw, "zstd", asbytes=True), len(raw), table.shape
+
+        tables = {name: {k: packed(t) for k, t in getattr(self, name).items()} for name in ("num", "scale", "rest")}
+        return {"bits": self.bits, "base": packed(self.base), **tables}
+
+    def __setstate__(self, state: dict) -> None:
+        def table(compressed: bytes, size: int, shape: tuple[int, ...]) -> np.ndarray:
+            return np.frombuffer(pa.decompress(compressed, size, "zstd", asbytes=True), "<f4").reshape(shape)
+
+        self.bits, self.base = state["bits"], table(*state["base"])
+        for name in ("num", "scale", "rest"):
+            setattr(self, name, {k: table(*t) for k, t in state[name].items()})
+
     def ratios(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of each byte given the ones before it."""
         grams, place = _grams(body, at)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
 from collections import Counter
@@ -148,6 +149,24 @@ def test_toxicity_separates_held_out_texts(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_models_travel_whole_and_small():
+    rng = np.random.default_rng(3)
+
+    def few():
+        out = np.zeros((1 << 16, 2), np.float32)
+        out[rng.integers(0, 1 << 16, 500)] = rng.random((500, 2))
+        return out
+
+    model = toxicity.Model(16, few()[:, 0].copy(), {4: few()}, {3: few()}, {3: few()})
+    sent = pickle.dumps(model)
+    back = pickle.loads(sent)
+    assert back.bits == 16 and (back.base == model.base).all()
+    for name in ("num", "scale", "rest"):
+        for order, values in getattr(model, name).items():
+            assert (getattr(back, name)[order] == values).all()
+    assert len(sent) < model.base.nbytes // 4
+
+
 def test_buckets_agree(spark):
     grams = [0, 1, 255, 2**24, 2**47 + 12345, 2**48 - 1]
     got = spark.createDataFrame([(g,) for g in grams], "g long").select(F.expr(toxicity._bucket_sql("g", 20))).collect()
