@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,17 +124,19 @@ def ordered_events(events: DataFrame) -> DataFrame:
     return events.orderBy("session_id", "execution_order")
 
 
-def page_events(events: DataFrame, session_id: str, skip: int = 0, take: int = 100) -> DataFrame:
-    """One page of a session's events.
+def page_events(events: DataFrame, session_id: str, skip: int = 0, take: int = 100, after: int | None = None,
+                order: Sequence[str] = ("execution_order",)) -> DataFrame:
+    """One page of a session's events: ``take`` rows after the first ``skip`` ones by ``order``.
 
-    ``execution_order`` counts from 1 without gaps, so a page is a range of it: the filter
-    reaches the scan and no earlier page is sorted or skipped over.
+    Gaps in ``execution_order`` don't shorten a page. ``after`` is the last ``execution_order`` of the
+    page before: it reaches the scan, so that deep pages needn't skip over what comes before them.
     """
     if not 1 <= take <= 1000 or skip < 0:
         raise ValueError("take must be 1..1000 and skip not negative")
-    page = events.filter((F.col("session_id") == session_id) & (F.col("execution_order") > skip)
-                         & (F.col("execution_order") <= skip + take))
-    return page.orderBy("execution_order")
+    page = events.filter(F.col("session_id") == session_id)
+    if after is not None:
+        page = page.filter(F.col("execution_order") > after)
+    return page.orderBy(*order).offset(skip).limit(take)
 
 
 def mark_skipped(results: DataFrame, continue_on_error: bool = False) -> DataFrame:

@@ -103,6 +103,13 @@ def test_page_bounds(spark):
             T.page_events(df, "s", skip, take)
 
 
+def test_pages_are_full_despite_gaps(spark):
+    df = spark.createDataFrame([("s", i * 3, -i) for i in range(1, 31)], "session_id string, execution_order int, event_id int")
+    assert [r.execution_order for r in T.page_events(df, "s", 2, 4).collect()] == [9, 12, 15, 18]
+    assert [r.execution_order for r in T.page_events(df, "s", take=3, after=18).collect()] == [21, 24, 27]
+    assert [r.event_id for r in T.page_events(df, "s", 1, 2, order=("event_id",)).collect()] == [-29, -28]
+
+
 XML = """<RingBufferTarget truncated="0"><event name="rpc_completed" timestamp="2024-01-02T03:04:05.123456Z">
 <data name="duration"><value>42</value></data><data name="logical_reads"><value>7</value></data>
 <data name="statement"><value> UPDATE t SET a = 1 &lt; 2</value></data>
