@@ -194,7 +194,8 @@ def status_counts(spark, sf):
     return L.status_counts(orders(spark, sf), invoices(spark, sf), gl_headers(spark, sf))
 
 
-COUNTED = ("customer", "documents", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+COUNTED = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+           "orders", "pages", "part", "region", "supplier")
 
 
 @catalog.add("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in COUNTED))
