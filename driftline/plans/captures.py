@@ -160,11 +160,13 @@ def profile_stats(spark, sf):
 
 
 @catalog.add("capture_fingerprint", f"""WITH {I.captures_cte()},
-digests AS (SELECT table_name, CAST('0x' || substr(sha256(
-    concat_ws('|', pk, string_agg(field || '=' || coalesce(val, 'NULL'), ';' ORDER BY field))), 1, 15) AS BIGINT) AS d
-  FROM bf GROUP BY table_name, pk)
-SELECT table_name, count(*) AS row_count, CAST(sum(CAST(d AS HUGEINT)) AS VARCHAR) AS digest_sum, bit_xor(d) AS digest_xor
-FROM digests GROUP BY table_name""")
+digests AS (SELECT table_name, sha256(length(pk) || ':' || pk || string_agg(length(field) || ':' || field
+    || CASE WHEN val IS NULL THEN '~' ELSE length(kind) || ':' || kind || length(val) || ':' || val END, '' ORDER BY field)) AS h
+  FROM bf GROUP BY table_name, pk),
+parts AS (SELECT table_name, {", ".join(f"CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT) AS d{k}" for k in range(4))} FROM digests)
+SELECT table_name, count(*) AS row_count, concat_ws(':', {", ".join(f"CAST(sum(CAST(d{k} AS HUGEINT)) AS VARCHAR)" for k in range(4))}) AS digest_sum,
+  bit_xor(d0) AS digest_xor
+FROM parts GROUP BY table_name""")
 def capture_fingerprint(spark, sf):
     """Fingerprint of the data fields; record metadata is left out."""
     metadata = ("__$operation", "__$start_lsn", "__$table", "__$primary_key")

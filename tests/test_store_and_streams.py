@@ -59,6 +59,8 @@ def test_fingerprint_ignores_order_and_sees_changes(spark, listed):
     b = capture(spark, {"t": [record(2, v=2), record(1, v=1)]})
     c = capture(spark, {"t": [record(1, v=1), record(2, v=3)]})
     assert listed(capture_fingerprint(a)) == listed(capture_fingerprint(b)) != listed(capture_fingerprint(c))
+    told = [listed(capture_fingerprint(capture(spark, {"t": [record(1, v=v)]}))) for v in (1, "1", None, "NULL")]
+    assert all(x != y for k, x in enumerate(told) for y in told[:k])
 
 
 def test_trace_store_reads_one_session(spark, tmp_path, listed):
