@@ -6,8 +6,10 @@ share. A text is compared by its toxic and its ordinary log-likelihood, each div
 the whole text, and over the window of 24 bytes where they differ most, so that a long text doesn't
 hide a short insult. Two weights and an offset turn both figures into a score.
 
-Grams are counted exactly by Spark over all training texts. What scoring broadcasts is their counts by
-hash bucket: tables of at most 2^BITS rows, whatever the size of the corpus.
+Grams are counted exactly by Spark, and a byte's log-ratio depends on the gram that ends there alone. So Spark
+makes one table of the ratio of every gram of the documents, which grows with them: no gram shares another's
+counts. Up to 2^BITS grams that table is broadcast; beyond, the distinct grams of each chunk of texts are joined
+with it. Both give the same figures.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.arrow import LOWER, text_chunks
@@ -26,19 +29,20 @@ from driftline.session import materialize
 #: Longest gram, the longest shared by the classes, and the discount.
 TOP, SHARED, DISCOUNT = 6, 3, 0.75
 
-#: Buckets of the table of the longest grams, as a power of two, and how many powers fewer shorter grams have.
-BITS, FEWER = 22, {6: 0, 5: 1, 4: 2, 3: 4, 2: 4, 1: 4}
+#: Most grams of a broadcast table of ratios, as a power of two; a larger table is joined.
+BITS = 22
 
 #: Bytes of a window.
 WINDOW = 24
 
-#: One training text in so many is kept from the counts to fit the weights on, at most FIT_ROWS of them.
+#: One training text in so many is kept from the counts while the weights are fitted on it, at most FIT_ROWS of them.
 FIT_EVERY, FIT_ROWS = 5, 20_000
 
 #: From this score on a text is called toxic.
 THRESHOLD = 0.7
 
-_CHUNK = 1 << 20
+#: Bytes of text scored at once, and of a chunk whose grams are joined with the table.
+_CHUNK, _JOINED = 1 << 20, 8 << 20
 
 
 def _grams(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,22 +60,29 @@ def _grams(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams, place
 
 
+#: Kinds of a text when it is counted: its class, plus 2 if the weights are fitted on it; or no training text.
+_FITTED, _UNLABELLED = 2, 4
+
+_COUNTS = "gram bigint, n0 bigint, n1 bigint, m0 bigint, m1 bigint"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct grams of a batch's texts with their count in each class."""
+    """Distinct grams of a batch's texts with their count in each class: of all training texts, and without the fitted."""
     for batch in batches:
-        toxic = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))]
+        kind = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
         for first, last, body, at in text_chunks(batch.column(0), 8 << 20):
             grams, place = _grams(body, at)
-            label = np.repeat(toxic[first:last], np.diff(at)).astype(np.uint64)
-            found, n = np.unique(grams[place] << np.uint64(1) | label, return_counts=True)
-            keys, at_key = np.unique(found >> np.uint64(1), return_inverse=True)
-            counts = np.zeros((len(keys), 2), np.int64)
-            counts[at_key, (found & np.uint64(1)).astype(np.int64)] = n
-            held.append((keys, counts))
-        for keys, counts in held[1:]:
+            label = np.repeat(kind[first:last], np.diff(at)).astype(np.uint64)
+            found, n = np.unique(grams[place] << np.uint64(3) | label, return_counts=True)
+            whole = found >> np.uint64(3)
+            start = np.flatnonzero(np.diff(whole, prepend=np.uint64(1 << 60)))  # no gram has so many bits
+            counts = np.zeros((len(start), _UNLABELLED + 1), np.int64)
+            counts[np.repeat(np.arange(len(start)), np.diff(start, append=len(whole))),
+                   (found & np.uint64(7)).astype(np.int64)] = n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.astype(np.int64)), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["gram", "n0", "n1"])
+                [pa.array(whole[start].astype(np.int64)), *[pa.array(c) for c in (
+                    counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3], counts[:, 0], counts[:, 1])]],
+                ["gram", "n0", "n1", "m0", "m1"])
 
 
 #: Factors of the bucket of a gram's lower and upper 24 bits, and of both folded; products stay within 56 bits.
@@ -94,7 +105,7 @@ def _bucket_sql(column: str, bits: int) -> str:
 
 @dataclass
 class Model:
-    """Tables by gram bucket: order k holds ``num`` (k > SHARED) and, as the context of order k + 1, ``scale, rest``."""
+    """Not used for scoring any more, as grams share buckets. Tables by gram bucket: order k holds ``num`` (k > SHARED) and, as the context of order k + 1, ``scale, rest``."""
 
     bits: int
     base: np.ndarray  # shared probability of a SHARED-gram
@@ -119,102 +130,90 @@ class Model:
         for name in ("num", "scale", "rest"):
             setattr(self, name, {k: table(*t) for k, t in state[name].items()})
 
-    def ratios(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(toxic) - log P(ordinary) of each byte given the ones before it."""
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """Every gram of ``texts`` (text, kind) with its counts, written once."""
+    return materialize(texts.select("text", "kind").mapInArrow(_count, _COUNTS).groupBy("gram").agg(
+        *[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")]), "grams")
+
+
+def gram_ratios(counted: DataFrame) -> DataFrame:
+    """``gram, ratio, fitted``: log P(toxic) - log P(ordinary) of a gram's last byte given the ones before it.
+
+    ``ratio`` is by all training texts, ``fitted`` by those the weights are not fitted on. A context has at most
+    256 grams, and so has an ending, so no group of the shuffles is large.
+    """
+    both = (("n0", "n1"), ("m0", "m1"))
+    levels = {TOP: counted.select("gram", "n0", "n1", "m0", "m1")}
+    for order in range(TOP - 1, 0, -1):
+        # Continuation counts: in how many distinct contexts the shorter gram stands, by class; pooled when shared.
+        longer = levels[order + 1]
+        counts = []
+        for classes in both:
+            any_class = " OR ".join(f"{c} > 0" for c in classes)
+            counts += [F.sum(F.expr(f"int({any_class if order <= SHARED else f'{c} > 0'})")).alias(c) for c in classes]
+        levels[order] = longer.groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*counts)
+    names = [c for classes in both for c in classes]
+    known = None  # probabilities of the grams that are one byte shorter
+    for order in range(1, TOP + 1):
+        context = Window.partitionBy(F.expr("shiftright(gram, 8)"))
+        sums = {f"d_{c}": F.sum(c).over(context) for c in names} | {
+            f"t_{c}": F.sum(F.expr(f"int({c} > 0)")).over(context) for c in names}
+        level = levels[order].withColumns(sums).withColumn("ending", F.expr(f"gram & {(1 << 8 * (order - 1)) - 1}L"))
+        if known is None:
+            level = level.withColumns({f"p_{c}": F.lit(1 / 256) for c in names})
+        else:
+            level = level.join(known, "ending")  # each ending of a gram is in the level below
+        known = level.select("gram", *[F.expr(
+            f"IF(d_{c} > 0, (greatest({c} - {DISCOUNT}D, 0D) + {DISCOUNT}D * t_{c} * p_{c}) / d_{c}, p_{c})").alias(f"p_{c}")
+            for c in names])
+        if order < TOP:
+            known = known.withColumnRenamed("gram", "ending")
+    log = "cast(ln(greatest({0}1, 1e-12D)) - ln(greatest({0}0, 1e-12D)) AS float)"
+    return known.select("gram", F.expr(log.format("p_n")).alias("ratio"), F.expr(log.format("p_m")).alias("fitted"))
+
+
+def _mean_peak(column: pa.Array, ratios, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """``mean, peak`` of each text: its log-ratio per byte, and that of its most toxic window.
+
+    ``ratios`` gives the log-ratios of an array of distinct grams in ascending order.
+    """
+    mean, peak = np.zeros(len(column)), np.zeros(len(column))
+    for first, last, body, at in text_chunks(column, limit):
+        if not len(body):
+            continue
         grams, place = _grams(body, at)
-        p = None
-        for order in range(SHARED, TOP + 1):
-            key = _bucket(grams & np.uint64((1 << 8 * order) - 1), self.bits - FEWER[order])
-            if order == SHARED:
-                p = np.repeat(self.base[key[place]][:, None], 2, axis=1)
-            else:
-                context = before[place - 1]  # noqa: F821  (the row's padding stands before its first byte)
-                p = self.num[order][key[place]] * self.scale[order - 1][context] + self.rest[order - 1][context] * p
-            before = key
-        logs = np.log(np.maximum(p, 1e-12))
-        return logs[:, 1] - logs[:, 0]
-
-
-def _sums(frame: DataFrame, bits: int, key: str, columns: dict[str, str]) -> dict[str, np.ndarray]:
-    """Sums by bucket of ``key`` as arrays of 2^bits values: at most that many rows reach the driver."""
-    rows = frame.groupBy(F.expr(_bucket_sql(key, bits)).alias("bucket")).agg(
-        *[F.sum(F.expr(e)).cast("float").alias(c) for c, e in columns.items()]).toArrow()
-    out = {}
-    for name in columns:
-        out[name] = np.zeros(1 << bits, np.float32)
-        out[name][rows["bucket"].to_numpy()] = rows[name].to_numpy()
-    return out
-
-
-def train(texts: DataFrame, bits: int = BITS) -> Model | None:
-    """A model of ``texts`` (text, toxic 0 or 1); None unless both classes have text."""
-    counted = materialize(
-        texts.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "gram bigint, n0 bigint, n1 bigint")
-        .groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
-    have = counted.agg(F.max("n0").alias("n0"), F.max("n1").alias("n1")).first()
-    if not have["n0"] or not have["n1"]:
-        return None
-
-    num, scale, rest = {}, {}, {}
-    level = counted  # gram, n0, n1, and pooled counts below the top
-    base = None
-    for order in range(TOP, 0, -1):
-        if order <= SHARED:
-            break
-        sums = _sums(level, bits - FEWER[order], "gram", {"n0": "n0", "n1": "n1"})
-        num[order] = np.maximum(np.stack([sums["n0"], sums["n1"]], 1) - DISCOUNT, 0).astype(np.float32)
-        context = _sums(level, bits - FEWER[order - 1], "shiftright(gram, 8)", {
-            "d0": "n0", "d1": "n1", "t0": "int(n0 > 0)", "t1": "int(n1 > 0)"})
-        den = np.stack([context["d0"], context["d1"]], 1)
-        kinds = np.stack([context["t0"], context["t1"]], 1)
-        seen = den > 0
-        scale[order - 1] = np.where(seen, 1 / np.maximum(den, 1), 0).astype(np.float32)
-        rest[order - 1] = np.where(seen, DISCOUNT * kinds / np.maximum(den, 1), 1).astype(np.float32)
-        # Continuation counts: in how many distinct contexts the shorter gram stands, by class.
-        level = level.groupBy(F.expr(f"gram & {(1 << 8 * (order - 1)) - 1}L").alias("gram")).agg(
-            F.sum(F.expr("int(n0 > 0)")).alias("n0"), F.sum(F.expr("int(n1 > 0)")).alias("n1"),
-            F.count(F.lit(1)).alias("n"))
-    # Shared orders: continuation counts of both classes together, SHARED bytes at most, summed by Spark.
-    shared, low = level.select("gram", "n"), bits - FEWER[SHARED]
-    tables: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for order in range(SHARED, 0, -1):
-        rows = shared.groupBy(F.expr(_bucket_sql("gram", low)).alias("bucket")).agg(
-            F.min("gram").alias("gram"), F.sum("n").alias("n")).toArrow()  # a bucket keeps one of its grams
-        tables.append((order, rows["gram"].to_numpy(), rows["n"].to_numpy().astype(np.float64)))
-        shared = shared.groupBy(F.expr(f"gram & {(1 << 8 * (order - 1)) - 1}L").alias("gram")).agg(
-            F.count(F.lit(1)).alias("n"))
-    base = np.full(1 << low, 1 / 256, np.float64)
-    for order, grams, n in reversed(tables):
-        context = _bucket(grams >> 8, low)
-        den = np.bincount(context, n, 1 << low)[context]
-        kinds = np.bincount(context, minlength=1 << low)[context]
-        shorter = base[_bucket(grams & ((1 << 8 * (order - 1)) - 1), low)] if order > 1 else np.full(len(grams), 1 / 256)
-        fresh = np.full(1 << low, 1 / 65536, np.float64)
-        fresh[_bucket(grams, low)] = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shorter) / np.maximum(den, 1)
-        base = fresh
-    return Model(bits, base.astype(np.float32), num, scale, rest)
-
-
-def _figures(broadcast):
-    """``mean, peak`` of each text: its log-ratio per byte, and that of its most toxic window."""
+        found, which = np.unique(grams[place], return_inverse=True)
+        total = np.concatenate([[0.0], np.cumsum(ratios(found).astype(np.float64)[which])])
+        size = np.diff(at)
+        some = np.maximum(size, 1)
+        mean[first:last] = (total[at[1:]] - total[at[:-1]]) / some
+        peak[first:last] = mean[first:last]
+        long = np.flatnonzero(size >= WINDOW)
+        if len(long):
+            window = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+            edges = np.stack([at[long], at[long + 1] - WINDOW + 1], 1).ravel()
+            edges[-1] = min(edges[-1], len(window))
+            peak[first + long] = np.maximum.reduceat(np.append(window, -np.inf), edges)[::2]
+    return mean, peak
+
+
+def _found(grams: np.ndarray, values: np.ndarray):
+    """Values by gram; ``grams`` ascend and hold every gram that is asked for."""
+    def ratios(asked: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(grams, asked.astype(np.int64))
+        if len(asked) and (at[-1] >= len(grams) or (grams[at] != asked.astype(np.int64)).any()):
+            raise ValueError("a gram of the texts has no ratio")
+        return values[at]
+
+    return ratios
+
+
+def _figures(broadcast, ratio: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = broadcast.value
+        ratios = _found(*broadcast.value[ratio])
         for batch in batches:
-            mean, peak = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for first, last, body, at in text_chunks(batch.column("text"), _CHUNK):
-                if not len(body):
-                    continue
-                total = np.concatenate([[0.0], np.cumsum(model.ratios(body, at).astype(np.float64))])
-                size = np.diff(at)
-                some = np.maximum(size, 1)
-                mean[first:last] = (total[at[1:]] - total[at[:-1]]) / some
-                peak[first:last] = mean[first:last]
-                long = np.flatnonzero(size >= WINDOW)
-                if len(long):
-                    window = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
-                    edges = np.stack([at[long], at[long + 1] - WINDOW + 1], 1).ravel()
-                    edges[-1] = min(edges[-1], len(window))
-                    peak[first + long] = np.maximum.reduceat(np.append(window, -np.inf), edges)[::2]
+            mean, peak = _mean_peak(batch.column("text"), ratios, _CHUNK)
             columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
             names = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(mean), pa.array(peak)], [*names, "mean", "peak"])
@@ -222,10 +221,63 @@ def _figures(broadcast):
     return run
 
 
-def figures(texts: DataFrame, broadcast) -> DataFrame:
-    """``texts`` without ``text`` and with ``mean`` and ``peak``."""
-    others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(_figures(broadcast), f"{others}, mean double, peak double")
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their chunk."""
+    number = TaskContext.get().partitionId() << 32
+    filled = 0
+    for batch in batches:
+        for first, last, body, _ in text_chunks(batch.column("text"), _JOINED):
+            if filled and filled + len(body) > _JOINED:
+                number, filled = number + 1, 0
+            filled += len(body)
+            part = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(np.full(last - first, number, np.int64))], [*part.schema.names, "chunk"])
+
+
+def _chunk_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of each chunk; those of a chunk in several batches may come several times."""
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        edges = np.flatnonzero(np.diff(chunks, prepend=-1, append=-1))
+        for first, last in zip(edges[:-1], edges[1:]):
+            for _, _, body, at in text_chunks(batch.column("text").slice(first, last - first), _JOINED):
+                grams, place = _grams(body, at)
+                found = np.unique(grams[place]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), chunks[first], np.int64)), pa.array(found)], ["chunk", "gram"])
+
+
+def _chunk_figures(texts: pa.Table, grams: pa.Table) -> pa.Table:
+    keys = grams["gram"].to_numpy()
+    order = np.argsort(keys)
+    mean, peak = _mean_peak(texts["text"].combine_chunks() if texts.num_rows else pa.array([], pa.string()),
+                            _found(keys[order], grams["ratio"].to_numpy()[order]), _JOINED)
+    return texts.drop_columns(["text", "chunk"]).append_column("mean", pa.array(mean)).append_column("peak", pa.array(peak))
+
+
+class Ratios:
+    """The table of gram_ratios, written once, and broadcast if it has at most 2^bits grams."""
+
+    def __init__(self, counted: DataFrame, bits: int) -> None:
+        self.table, self.broadcast = materialize(gram_ratios(counted), "ratios"), None
+        if self.table.count() <= 1 << bits:
+            rows = self.table.sort("gram").toArrow()
+            grams = rows["gram"].to_numpy()
+            self.broadcast = counted.sparkSession.sparkContext.broadcast(
+                {name: (grams, rows[name].to_numpy()) for name in ("ratio", "fitted")})
+
+    def figures(self, texts: DataFrame, ratio: str = "ratio") -> DataFrame:
+        """``texts`` without ``text`` and with ``mean`` and ``peak``."""
+        others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+        schema = f"{others}, mean double, peak double"
+        if self.broadcast is not None:
+            return texts.mapInArrow(_figures(self.broadcast, ratio), schema)
+        whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
+        chunks = materialize(texts.mapInArrow(_numbered, f"{whole}, chunk bigint"), "chunks")
+        pairs = chunks.select("chunk", "text").mapInArrow(_chunk_grams, "chunk bigint, gram bigint").distinct().join(
+            self.table.select("gram", F.col(ratio).alias("ratio")), "gram")
+        return chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_chunk_figures, schema)
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,41 +300,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``doc_id, held_out, score, predicted, mean, peak`` per row of ``docs``.
 
     Labels are learned only from rows whose crc32 of the id as text isn't 1 modulo 3; of several labels
-    of an id the largest holds, null labels and ids are no labels. Language model counts come from all
-    of these texts but one in FIT_EVERY (by a hash of the id), on at most ``fit_rows`` of which the weights
-    are fitted. Only the text enters a score. Null and empty texts have both figures 0 and the score these
-    give. Without training text in both classes, every score is the toxic share of the labels, or 0.
+    of an id the largest holds, null labels and ids are no labels. The weights are fitted on at most ``fit_rows``
+    of one of these texts in FIT_EVERY; the counts are of all others. Only the text enters a score. Null and empty texts have both figures 0 and the
+    score these give. Without training text in both classes, every score is the toxic share of the labels, or 0.
     Repeated rows give repeated rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    # The labelled training texts, written once: they are counted, and part of them scored for the weights.
-    learned = materialize(
-        texts.where(~held(F.col("doc_id"))).join(known, "doc_id").withColumn(
-            "fitted", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FIT_EVERY)) == 0), "labelled")
-    model = train(learned.where(~F.col("fitted")), bits)
+    in_fit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FIT_EVERY)) == 0
+    labelled = texts.join(known, "doc_id", "left").withColumn("kind", F.when(F.col("toxic").isNull(), _UNLABELLED).otherwise(
+        F.col("toxic") + F.when(in_fit, _FITTED).otherwise(0)))
+    counted = count_grams(labelled)
+    have = counted.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n0", "n1", "m0", "m1")]).first()
 
     scored = texts.withColumn("held_out", held(F.col("doc_id")))
-    if model is None:
-        share = learned.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    if not have["n0"] or not have["n1"]:
+        share = texts.join(known, "doc_id").agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
         done = scored.drop("text").withColumns({"mean": F.lit(0.0), "peak": F.lit(0.0), "score": F.lit(float(share))})
     else:
-        broadcast = spark.sparkContext.broadcast(model)
-        sample = figures(learned.where("fitted").select("doc_id", "toxic", "text"), broadcast).orderBy(
-            F.xxhash64(F.col("doc_id").cast("string"), F.lit(1))).limit(fit_rows).toArrow()
+        ratios = Ratios(counted, bits)
+        sample = ratios.figures(labelled.where(F.col("kind").between(_FITTED, _UNLABELLED - 1)).select(
+            "doc_id", "toxic", "text"), "fitted").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1))).limit(
+            fit_rows).toArrow()
         x = np.column_stack([sample["mean"].to_numpy(), sample["peak"].to_numpy()])
         y = sample["toxic"].to_numpy().astype(float)
-        if 0 < y.sum() < len(y):
+        if have["m0"] and have["m1"] and 0 < y.sum() < len(y):
             weights, centre, spread = fit(x, y)
         else:  # nothing to fit on: one nat a byte over the window stands for toxic
             weights, centre, spread = np.array([-2.0, 1.0, 3.0]), np.array([0.0, 0.5]), np.array([0.5, 0.25])
         scale = weights[1:] / spread
         offset = float(weights[0] - (scale * centre).sum())
         linear = F.lit(offset) + F.col("mean") * float(scale[0]) + F.col("peak") * float(scale[1])
-        done = figures(scored, broadcast).withColumn("score", 1 / (1 + F.exp(-linear)))
+        done = ratios.figures(scored, "fitted").withColumn("score", 1 / (1 + F.exp(-linear)))
     return done.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                        "mean", "peak")

@@ -173,6 +173,71 @@ def test_buckets_agree(spark):
     assert [r[0] for r in got] == toxicity._bucket(np.array(grams, np.uint64), 20).tolist()
 
 
+def brute_ratios(counts):
+    """log P(toxic) - log P(ordinary) of each 6-gram (bytes) by exact Kneser-Ney counts; counts: gram -> [ordinary, toxic]."""
+    levels = {6: counts}
+    for order in range(5, 0, -1):
+        held = {}
+        for gram, n in levels[order + 1].items():
+            into = held.setdefault(gram[1:], [0, 0])
+            for c in (0, 1):
+                into[c] += int(any(n) if order <= 3 else n[c] > 0)
+        levels[order] = held
+    sums = {}
+    for order, held in levels.items():
+        for gram, n in held.items():
+            for c in (0, 1):
+                d = sums.setdefault((gram[:-1], order, c), [0, 0])
+                d[0], d[1] = d[0] + n[c], d[1] + (n[c] > 0)
+
+    def p(gram, c):
+        if not gram:
+            return 1 / 256
+        total, kinds = sums.get((gram[:-1], len(gram), c), (0, 0))
+        shorter = p(gram[1:], c)
+        return (max(levels[len(gram)].get(gram, (0, 0))[c] - 0.75, 0) + 0.75 * kinds * shorter) / total if total else shorter
+
+    return {g: np.log(max(p(g, 1), 1e-12)) - np.log(max(p(g, 0), 1e-12)) for g in counts}
+
+
+def byte_grams(text):
+    body = b"\n" * 5 + lower(text).encode()
+    return [body[k:k + 6] for k in range(len(body) - 5)]
+
+
+def test_toxicity_ratios_are_of_whole_grams(spark):
+    """Far more grams than 2^8, the bits that are asked for: none shares its counts with another."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeé Z") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    kinds = [k % 5 for k in range(60)]
+    counted = toxicity.count_grams(spark.createDataFrame(list(zip(texts, kinds)), "text string, kind int"))
+    got = {r["gram"].to_bytes(6, "big"): r for r in toxicity.gram_ratios(counted).collect()}
+    for name, used in (("ratio", (0, 1, 2, 3)), ("fitted", (0, 1))):
+        counts = {g: [0, 0] for t in texts for g in byte_grams(t)}
+        for text, kind in zip(texts, kinds):
+            for gram in byte_grams(text) if kind in used else ():
+                counts[gram][kind % 2] += 1
+        expected = brute_ratios(counts)
+        assert expected.keys() == got.keys() and len(got) > 1000
+        assert all(abs(got[g][name] - r) < 1e-4 for g, r in expected.items())
+
+
+def toxic_texts(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 200))) + (" zorgul" if i % 4 == 0 else "")
+             for i in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "x"), (900, None), (901, ""), (5, "again")], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+
+
+def test_toxicity_joined_by_chunk_equals_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "_JOINED", 300)
+    docs, marks = toxic_texts(spark)
+    both = [rows(toxicity.score_toxicity(docs, marks, bits=bits), "doc_id", "held_out", "predicted", F.round("score", 9),
+                 F.round("mean", 9), F.round("peak", 9)) for bits in (2, 22)]
+    assert both[0] == both[1] and len(both[0]) == 124
+
+
 # --- decontamination
 
 def hits(text, items):
