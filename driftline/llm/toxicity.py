@@ -300,8 +300,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``doc_id, held_out, score, predicted, mean, peak`` per row of ``docs``.
 
     Labels are learned only from rows whose crc32 of the id as text isn't 1 modulo 3; of several labels
-    of an id the largest holds, null labels and ids are no labels. The weights are fitted on at most ``fit_rows``
-    of one of these texts in FIT_EVERY; the counts are of all others. Only the text enters a score. Null and empty texts have both figures 0 and the
+    of an id the largest holds, null labels and ids are no labels. The weights are fitted on one of these texts
+    in FIT_EVERY, the first ``fit_rows`` of them by a hash of the id, with the counts of all others; scores come
+    from the counts of all of them. Only the text enters a score. Null and empty texts have both figures 0 and the
     score these give. Without training text in both classes, every score is the toxic share of the labels, or 0.
     Repeated rows give repeated rows; other columns are ignored.
     """
@@ -310,7 +311,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    in_fit = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FIT_EVERY)) == 0
+    # Candidates for the fit by the hash that orders them; the last one taken bounds the others.
+    place = F.when(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FIT_EVERY)) == 0,
+                   F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)))
+    last = texts.select("doc_id").join(known, "doc_id").select(place.alias("place")).where("place IS NOT NULL").orderBy(
+        "place").limit(fit_rows).agg(F.max("place")).first()[0]
+    in_fit = F.lit(False) if last is None else F.coalesce(place <= F.lit(last), F.lit(False))
     labelled = texts.join(known, "doc_id", "left").withColumn("kind", F.when(F.col("toxic").isNull(), _UNLABELLED).otherwise(
         F.col("toxic") + F.when(in_fit, _FITTED).otherwise(0)))
     counted = count_grams(labelled)
@@ -323,8 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     else:
         ratios = Ratios(counted, bits)
         sample = ratios.figures(labelled.where(F.col("kind").between(_FITTED, _UNLABELLED - 1)).select(
-            "doc_id", "toxic", "text"), "fitted").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1))).limit(
-            fit_rows).toArrow()
+            "doc_id", "toxic", "text"), "fitted").toArrow()
         x = np.column_stack([sample["mean"].to_numpy(), sample["peak"].to_numpy()])
         y = sample["toxic"].to_numpy().astype(float)
         if have["m0"] and have["m1"] and 0 < y.sum() < len(y):
@@ -334,6 +339,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         scale = weights[1:] / spread
         offset = float(weights[0] - (scale * centre).sum())
         linear = F.lit(offset) + F.col("mean") * float(scale[0]) + F.col("peak") * float(scale[1])
-        done = ratios.figures(scored, "fitted").withColumn("score", 1 / (1 + F.exp(-linear)))
+        done = ratios.figures(scored).withColumn("score", 1 / (1 + F.exp(-linear)))
     return done.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                        "mean", "peak")

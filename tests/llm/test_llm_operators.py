@@ -7,6 +7,7 @@ import itertools
 import pickle
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -238,6 +239,21 @@ def test_toxicity_joined_by_chunk_equals_broadcast(spark, monkeypatch):
     assert both[0] == both[1] and len(both[0]) == 124
 
 
+def test_toxicity_counts_all_labelled_texts(spark, monkeypatch):
+    """Fitting holds back the bounded rows only; scores come from the counts of every labelled training text."""
+    seen, real = [], toxicity.Ratios
+    monkeypatch.setattr(toxicity, "Ratios", lambda counted, bits: seen.append(counted) or real(counted, bits))
+    docs, marks = toxic_texts(spark)
+    toxicity.score_toxicity(docs, marks, fit_rows=3)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 120 AND text <> 'again'").collect()}
+    training = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1]
+    extra = "again" if 5 in training else ""
+    total = seen[0].agg(F.sum(F.expr("n0 + n1")), F.sum(F.expr("m0 + m1"))).first()
+    assert total[0] == sum(len(texts[i]) for i in training) + len(extra)
+    held_back = total[0] - total[1]
+    assert 0 < held_back <= sum(sorted(len(t) for t in texts.values())[-3:]) + len(extra)
+
+
 # --- decontamination
 
 def hits(text, items):
