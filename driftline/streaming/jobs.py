@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,9 +20,28 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def stream_trace_ingest(events: DataFrame, out: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Append each event once, however often an export repeats it within ``delay``."""
-    unique = events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["session_id", "event_id"])
-    return unique.writeStream.format("parquet").option("path", out).option(
+    """Store each event once, however often and however late an export brings it.
+
+    A batch writes what is not stored yet under its batch id; a repeated batch overwrites
+    itself. ``delay`` is accepted for callers that pass it: no event is too late.
+    """
+    keys = ["session_id", "event_id"]
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema if f.name in keys)}, batch_id bigint"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        try:
+            stored = batch.sparkSession.read.schema(schema).parquet(out)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            stored = stored.where(F.col("batch_id") != batch_id).alias("stored")
+            same = [F.col(f"fresh.{k}").eqNullSafe(F.col(f"stored.{k}")) for k in keys]
+            fresh = fresh.alias("fresh").join(stored, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -51,9 +71,22 @@ def read_net_change(spark: SparkSession, out: str, keys: list[str], columns: lis
 
 def stream_event_counts(events: DataFrame, out: str, checkpoint: str, window: str = "1 day",
                         delay: str = "1 hour") -> StreamingQuery:
-    """Events per session and time window; a window is written once it can no longer change."""
-    counts = events.withWatermark("event_time", delay).groupBy(
-        F.window("event_time", window), "session_id").agg(F.count(F.lit(1)).alias("events"))
-    flat = counts.select(F.col("window.start").alias("window_start"), "session_id", "events")
-    return flat.writeStream.outputMode("append").format("parquet").option("path", out).option(
+    """Events per session and time window, of every window and however late an event comes.
+
+    Each batch writes its own counts under its batch id, and ``read_event_counts`` adds them
+    up; a repeated batch overwrites itself. ``delay`` is accepted for callers that pass it.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.where("event_time IS NOT NULL").groupBy(F.window("event_time", window), "session_id").agg(
+            F.count(F.lit(1)).alias("events"))
+        counts.select(F.col("window.start").alias("window_start"), "session_id", "events").write.mode(
+            "overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_event_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The current counts of all windows, the newest too."""
+    rows = spark.read.schema("window_start timestamp, session_id string, events bigint, batch_id bigint").parquet(out)
+    return rows.groupBy("window_start", "session_id").agg(F.sum("events").alias("events"))

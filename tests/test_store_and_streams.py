@@ -116,6 +116,29 @@ def test_stream_ingest_drops_repeats_across_batches(spark, tmp_path, listed):
     assert listed(spark.read.parquet(str(out / "d")), "event_id") == listed(events, "event_id")
 
 
+def timed(spark, ids, hours):
+    return spark.createDataFrame([(i,) for i in ids], "event_id long").select(
+        "event_id", F.lit("s").alias("session_id"),
+        F.timestamp_micros(F.lit(1704067200000000 + hours * 3_600_000_000) + F.col("event_id")).alias("event_time"))
+
+
+def test_streams_lose_no_late_or_newest_event(spark, tmp_path, listed):
+    """Ten events, then ten more with others four hours behind them and repeats of the first ten."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    batches = [timed(spark, range(10), 30), timed(spark, range(10, 20), 26), timed(spark, range(10), 30),
+               timed(spark, range(20, 23), 2), timed(spark, range(10, 23), 2)]
+    for batch in batches[:3], batches[3:]:
+        for part in batch:
+            part.coalesce(1).write.mode("append").parquet(str(source))
+        for job, name in ((jobs.stream_trace_ingest, "i"), (jobs.stream_event_counts, "n")):
+            stream = jobs.read_stream(spark, str(source), batches[0].schema, max_files=1)
+            job(stream, str(out / name), str(out / f"{name}-c")).awaitTermination()
+    stored = spark.read.parquet(str(out / "i"))
+    assert [r[0] for r in listed(stored, "event_id")] == sorted(range(23), key=lambda i: repr((i,)))
+    expected = {("2024-01-02 00:00:00", 30), ("2024-01-01 00:00:00", 16)}
+    assert {(str(r["window_start"]), r["events"]) for r in jobs.read_event_counts(spark, str(out / "n")).collect()} == expected
+
+
 @pytest.mark.parametrize("text", ["", "MiXeD", '{"a": 1}', "A" * 10000, "naïve ☃"])
 def test_digests(spark, text):
     import base64
