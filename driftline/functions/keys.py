@@ -50,15 +50,26 @@ def profile_key_sql(fields: str, columns: str, parity: bool = False) -> str:
             f"coalesce({fields}[c].val, ''), '<null>')), {separator})")
 
 
-def row_key(fields: Column) -> Column:
-    """First non-null natural key as ``name:value``, else a short digest of all fields."""
-    natural = F.coalesce(*[
+def natural_key(fields: Column) -> Column:
+    """First non-null natural key as ``name:value``, else null."""
+    return F.coalesce(*[
         F.concat(F.lit(f"{name}:"), F.try_element_at(fields, F.lit(name))["val"]) for name in KEY_NAMES
     ])
+
+
+def row_key(fields: Column) -> Column:
+    """The natural key, else a short digest of all fields: a label, which different rows may share."""
     entries = F.array_sort(F.map_entries(fields), _by_name)
     text = F.concat_ws("", F.transform(
         entries, lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"]["val"], F.lit("NULL")), F.lit(";"))))
-    return F.coalesce(natural, F.upper(F.substring(sha256_hex(text), 1, 16)))
+    return F.coalesce(natural_key(fields), F.upper(F.substring(sha256_hex(text), 1, 16)))
+
+
+def row_digest(fields: Column) -> Column:
+    """Full digest of all fields with their kinds; nulls and separators inside values are told apart."""
+    entries = F.array_sort(F.map_entries(fields), _by_name)
+    return F.unhex(sha256_hex(F.to_json(F.transform(entries, lambda e: F.array(
+        e["key"], e["value"]["kind"], e["value"]["val"])))))
 
 
 def _by_name(left: Column, right: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.keys import row_key
+from driftline.functions.keys import natural_key, row_digest, row_key
 from driftline.functions.text import column_pattern_regex
 from driftline.functions.values import difference_type_sql, normalize_value, value_equal_sql
 from driftline.model import DEFAULT_EXCLUDED_COLUMNS, DEFAULT_TOLERANCE_MICROS
-from driftline.operators.netchange import last_by_key
 
 
 def is_excluded(field, excluded=DEFAULT_EXCLUDED_COLUMNS, patterns=()):
@@ -32,33 +31,57 @@ def normalize_capture(capture: DataFrame, window_micros: int = DEFAULT_TOLERANCE
 def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = None) -> DataFrame:
     """Differing rows of two normalized captures, one line per differing field.
 
-    Rows match on their natural key or, without one, on a digest of all fields. Returns
-    ``table_name, row_key, action, field_name, left_value, right_value, difference_type``;
-    added and deleted rows have no field. ``table`` restricts both sides before the join.
+    Rows match on their natural key or, without one, on a digest of all fields; ``row_key``
+    only names them. Several rows of a natural key match from the last backwards. Returns
+    ``table_name, row_key, action, field_name, left_value, right_value, difference_type,
+    occurrence, row_count``; added and deleted rows have no field. ``occurrence`` counts the
+    different rows of a natural key, ``row_count`` the equal rows that a line stands for: of a
+    row that one side repeats more often, the surplus is deleted or added. ``table`` restricts
+    both sides before the join.
     """
-    keys = ["table_name", "row_key"]
+    keys = ["table_name", "_natural", "_row", "occurrence"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
         if table is not None:
             df = df.filter(F.col("table_name") == table)
-        rows = df.select("table_name", row_key(F.col("fields")).alias("row_key"), "ordinal", "fields")
-        return last_by_key(rows, keys, F.col("ordinal")).select(*keys, F.col("fields").alias(name))
-
-    joined = side(left, "l").join(side(right, "r"), keys, "full_outer")
+        natural = natural_key(F.col("fields"))
+        rows = df.select("table_name", natural.isNotNull().alias("_natural"), row_digest(F.col("fields")).alias("_digest"),
+                         row_key(F.col("fields")).alias("row_key"), natural.alias("_key"), "ordinal", "fields")
+        row = F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest"))
+        equal = rows.groupBy("table_name", "_natural", row.alias("_row"), "_digest").agg(
+            F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("ordinal"), F.any_value("row_key").alias("row_key"),
+            F.any_value("fields").alias("fields"))
+        place = Window.partitionBy(*keys[:3]).orderBy(F.col("ordinal").desc_nulls_last(), "_digest")
+        return equal.withColumn("occurrence", F.row_number().over(place)).select(
+            *keys, F.col("row_key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"), F.col("fields").alias(name))
+
+    joined = side(left, "l").join(side(right, "r"), keys, "full_outer").withColumn("row_key", F.coalesce("l_key", "r_key"))
     pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
     changed = _line("Changed", "p.key", "p.value.a.val", "p.value.b.val",
                     difference_type_sql("p.value.a", "p.value.b"))
     fields = (f"transform(filter({pairs}, p -> NOT (p.value.a <=> p.value.b) AND NOT {value_equal_sql('p.value.a', 'p.value.b')}), p -> {changed})")
-    found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted')}) WHEN l IS NULL THEN array({_line('Added')}) "
-             f"WHEN NOT (map_entries(l) = map_entries(r)) THEN {fields} END")
-    return joined.selectExpr(*keys, f"inline({found})")
+    fields = f"IF(map_entries(l) = map_entries(r), array(), {fields})"
+    surplus = (f"IF(l_n > r_n, array({_line('Deleted', count='l_n - r_n')}), "
+               f"IF(r_n > l_n, array({_line('Added', count='r_n - l_n')}), array()))")
+    found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted', count='l_n')}) "
+             f"WHEN l IS NULL THEN array({_line('Added', count='r_n')}) ELSE concat({fields}, {surplus}) END")
+    return joined.selectExpr("table_name", "row_key", "occurrence", f"inline({found})").select(
+        "table_name", "row_key", "action", "field_name", "left_value", "right_value", "difference_type", "occurrence", "row_count")
 
 
-def _line(action: str, *values: str) -> str:
+def _line(action: str, *values: str, count: str = "least(l_n, r_n)") -> str:
     names = ("field_name", "left_value", "right_value", "difference_type")
     values = values or ("CAST(NULL AS STRING)",) * 4
     parts = ", ".join(f"'{n}', {v}" for n, v in zip(names, values))
-    return f"named_struct('action', '{action}', {parts})"
+    return f"named_struct('action', '{action}', {parts}, 'row_count', {count})"
+
+
+def _differing_rows(differences: DataFrame) -> DataFrame:
+    """``table_name, action, row_count, fields``; a row is changed in several lines, added or deleted in one."""
+    changed = F.col("action") == "Changed"
+    return differences.groupBy("table_name", "row_key", "action", "occurrence").agg(
+        F.when(changed, F.max("row_count")).otherwise(F.sum("row_count")).alias("row_count"),
+        F.collect_set("field_name").alias("fields"))
 
 
 def difference_report(differences: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -69,14 +92,14 @@ def difference_report(differences: DataFrame, tables: DataFrame | None = None) -
     """
     # One line per row and field again, the first line of each row marked, so that rows and
     # columns are counted in the same pass over the differences.
-    rows = differences.groupBy("table_name", "row_key", "action").agg(F.collect_set("field_name").alias("fields"))
-    lines = rows.select("table_name", "action", F.posexplode_outer("fields").alias("pos", "field"))
-    first = F.coalesce("pos", F.lit(0)) == 0
+    rows = _differing_rows(differences)
+    lines = rows.select("table_name", "action", "row_count", F.posexplode_outer("fields").alias("pos", "field"))
+    first = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row_count"))
     report = lines.groupBy("table_name").agg(
-        F.count_if(first).alias("total_rows"),
-        F.count_if(first & (F.col("action") == "Changed")).alias("changed_rows"),
-        F.count_if(first & (F.col("action") == "Added")).alias("new_rows"),
-        F.count_if(first & (F.col("action") == "Deleted")).alias("deleted_rows"),
+        F.sum(first).alias("total_rows"),
+        F.sum(F.when(F.col("action") == "Changed", first)).alias("changed_rows"),
+        F.sum(F.when(F.col("action") == "Added", first)).alias("new_rows"),
+        F.sum(F.when(F.col("action") == "Deleted", first)).alias("deleted_rows"),
         F.array_sort(F.collect_set("field")).alias("affected_columns"))
     if tables is not None:
         report = tables.select("table_name").join(report, "table_name", "left")
@@ -97,8 +120,7 @@ def report_text(report: DataFrame) -> DataFrame:
 def comparison_totals(left: DataFrame, right: DataFrame, differences: DataFrame) -> DataFrame:
     """One row: tables compared, whether all match, total differing rows."""
     tables = left.select("table_name").distinct().union(right.select("table_name").distinct()).distinct()
-    rows = differences.select("table_name", "row_key").distinct().groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("n"))
+    rows = _differing_rows(differences).groupBy("table_name").agg(F.sum("row_count").alias("n"))
     per_table = tables.join(rows, "table_name", "left")
     total = F.coalesce(F.sum("n"), F.lit(0)).cast("bigint")
     return per_table.agg(

@@ -135,6 +135,26 @@ def test_rows_without_a_key_show_as_deleted_and_added(spark, listed):
     assert listed(diffs, "action") == [("Added",), ("Deleted",)]
 
 
+def test_repeated_and_like_rows_are_all_compared(spark, listed):
+    """Rows without a key count, texts that read alike differ, and no row of a repeated key is left out."""
+    def side(rows, columns, keys):
+        return records(spark.createDataFrame(rows, columns), keys=keys)
+
+    def found(left, right, columns="v string, w string", keys=("v",)):
+        diffs = M.compare_normalized(side(left, columns, keys), side(right, columns, keys))
+        report = listed(M.difference_report(diffs), "total_rows", "changed_rows", "new_rows", "deleted_rows")
+        return listed(diffs, "action", "row_count"), report
+
+    assert found([("a", "b")] * 3, [("a", "b")]) == ([("Deleted", 2)], [(2, 0, 0, 2)])
+    assert found([("a", "b")] * 2, [("a", "b")] * 2) == ([], [])
+    for one, other in ((("a", None), ("a", "NULL")), (("a;w:b", None), ("a", "b;w:NULL"))):
+        assert found([one], [other]) == ([("Added", 1), ("Deleted", 1)], [(2, 0, 1, 1)])
+    versions = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "Id int, v string, w int")
+    both, last = (capture_records(df, "dbo_t", ["Id"], F.col("w")) for df in (versions, versions.where("w = 2")))
+    assert listed(M.compare_normalized(both, last), "action", "row_count") == [("Deleted", 1)]
+    assert listed(M.compare_normalized(both, both)) == []
+
+
 def test_unmapped_type_is_an_error(spark):
     df = spark.sql("SELECT INTERVAL 1 DAY AS i")
     with pytest.raises(TypeError):
