@@ -28,6 +28,15 @@ def _with_texts(records: str, texts: Column) -> Column:
     return F.transform(records, lambda v, i: F.struct(v.alias("record"), texts[i].alias("texts")))
 
 
+def _variants(document: str, schema: str) -> Column:
+    """The document split into variants of one record each, as a variant holds at most 128 MiB; null if it is bad."""
+    return F.from_json(document, schema, {"allowSingleQuotes": "false"})
+
+
+def _all_objects(records) -> Column:
+    return ~F.exists(records, lambda v: ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+
+
 def parse_table_documents(details: DataFrame, document: str = "capture_data",
                           part: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents ``[record, ...]`` per ``table_name`` as (records, rejected documents).
@@ -35,11 +44,10 @@ def parse_table_documents(details: DataFrame, document: str = "capture_data",
     ``part`` names an integer column when one table is stored as several documents. A
     document that is not a JSON array of objects is rejected, the rest is read.
     """
-    records = F.try_variant_get(F.try_parse_json(document), "$", "array<variant>")
+    records = F.when(F.col(document).rlike(r"^\s*\["), _variants(document, "array<variant>"))
     texts = exact_texts(F.col(document), "array<map<string, string>>")
     parsed = details.withColumn("_records", records).withColumn("_texts", texts).withColumn(
-        "_good", F.coalesce(F.col("_records").isNotNull() & ~F.exists(
-            "_records", lambda v: ~F.schema_of_variant(v).startswith("OBJECT")), F.lit(False)))
+        "_good", F.coalesce(F.col("_records").isNotNull() & _all_objects("_records"), F.lit(False)))
     rejects = parsed.filter(~F.col("_good")).drop("_records", "_texts", "_good")
     others = [c for c in details.columns if c != document]
     rows = parsed.filter("_good").select(*others, F.posexplode(_with_texts("_records", F.col("_texts"))).alias("_pos", "_item"))
@@ -52,12 +60,34 @@ def parse_table_documents(details: DataFrame, document: str = "capture_data",
     return rows.withColumn("pk", pk_value(F.col("fields"))), rejects
 
 
+def parse_captures(documents: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
+    """Documents ``{table: [record, ...], ...}`` as (capture records, rejected documents).
+
+    A document is rejected unless it is an object of arrays of objects, each table once.
+    """
+    parsed = documents.withColumn("_tables", _variants(document, "map<string, array<variant>>")).withColumn(
+        "_good", _good_tables("_tables"))
+    return _capture_rows(parsed.filter("_good").drop("_good"), document), parsed.filter(~F.col("_good")).drop("_tables", "_good")
+
+
 def parse_capture_json(documents: DataFrame, document: str) -> DataFrame:
-    """Documents ``{table: [record, ...], ...}`` as capture records; bad JSON gives none."""
-    tables = F.try_variant_get(F.try_parse_json(document), "$", "map<string, array<variant>>")
-    others = [c for c in documents.columns if c != document]
+    """Records as of ``parse_captures``; a document it would reject is an error, a null one has no records."""
+    parsed = documents.withColumn("_tables", _variants(document, "map<string, array<variant>>"))
+    bad = F.raise_error(F.concat(F.lit("not a capture document: "), F.substring(document, 1, 100)))
+    tables = F.when(_good_tables("_tables"), F.col("_tables")).when(F.col(document).isNotNull(), bad)
+    return _capture_rows(parsed.withColumn("_tables", tables), document)
+
+
+def _good_tables(tables: str) -> Column:
+    keys = F.map_keys(tables)
+    return F.coalesce((F.size(F.array_distinct(keys)) == F.size(keys)) & ~F.exists(
+        F.map_values(tables), lambda records: records.isNotNull() & ~_all_objects(records)), F.lit(False))
+
+
+def _capture_rows(parsed: DataFrame, document: str) -> DataFrame:
+    others = [c for c in parsed.columns if c not in (document, "_tables")]
     texts = exact_texts(F.col(document), "map<string, array<map<string, string>>>").alias("_texts")
-    by_table = documents.select(*others, texts, F.explode(tables).alias("table_name", "_records"))
+    by_table = parsed.select(*others, texts, F.explode("_tables").alias("table_name", "_records"))
     items = _with_texts("_records", F.try_element_at("_texts", "table_name"))
     rows = by_table.select(*others, "table_name", F.posexplode(items).alias("_pos", "_item"))
     return rows.select(

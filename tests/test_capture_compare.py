@@ -6,10 +6,11 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators.compare import (
     common_tables, compare_captures, compare_many, comparison_summary, extra_tables, missing_tables)
-from driftline.sources.captures import load_capture, parse_capture_json, parse_table_documents
+from driftline.sources.captures import load_capture, parse_capture_json, parse_captures, parse_table_documents
 
 # Recorded documents (fixed values).
 ORDERS = [
@@ -254,3 +255,32 @@ def test_hot_key_is_reduced_before_the_join(spark):
     plan = failures._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
     assert plan.count("FullOuter") == 1
+
+
+def test_documents_longer_than_a_variant(spark, listed):
+    """150 records of 1 MB each: more than the 128 MiB that one variant holds."""
+    records = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150)), lambda k: F.concat(
+        F.lit('{"__$primary_key":'), k.cast("string"), F.lit(',"a":"'), F.repeat(F.lit("x"), 1_000_000), F.lit('"}'))), ",")
+    table = spark.range(1).select(F.lit("t").alias("table_name"), F.concat(F.lit("["), records, F.lit("]")).alias("capture_data"))
+    rows, rejects = parse_table_documents(table)
+    assert (rows.agg(F.count_distinct("pk")).first()[0], rejects.count()) == (150, 0)
+    whole = table.select(F.concat(F.lit('{"t":'), "capture_data", F.lit("}")).alias("doc"))
+    rows, rejects = parse_captures(whole, "doc")
+    assert (rows.agg(F.count_distinct("pk")).first()[0], rejects.count()) == (150, 0)
+    assert parse_capture_json(whole, "doc").count() == 150
+
+
+def test_bad_documents_are_rejects_or_errors(spark, listed):
+    good = ['{"t":[{"a":1}],"u":[]}', '{"t":null}', "{}"]
+    bad = ['{"t":[{"a":1}', '{"t":5,"u":[{"a":1}]}', '{"t":[1]}', '{"t":[null]}', "[]", "nope", "", '{"t":[],"t":[]}',
+           '{"t":[{"a":1,"a":2}]}', "{'t':[]}", None]
+    rows, rejects = parse_captures(spark.createDataFrame([(d,) for d in good + bad], "doc string"), "doc")
+    assert listed(rows, "table_name", "ordinal") == [("t", 0)]
+    assert {r[0] for r in rejects.collect()} == set(bad)
+    for document in bad[:-1]:
+        with pytest.raises(Exception, match="not a capture document"):
+            parse_capture_json(spark.createDataFrame([(document,)], "doc string"), "doc").collect()
+    tables = spark.createDataFrame([("t", d) for d in ("[]", ' [{"a":1}]', '{"a":1}', "[1]", "[null]", '[{"a":1}', None)],
+                                   "table_name string, capture_data string")
+    rows, rejects = parse_table_documents(tables)
+    assert rows.count() == 1 and rejects.count() == 5
