@@ -104,6 +104,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.ranks = vocabulary.ranks
+        self.tokens = {rank: token for token, rank in vocabulary.ranks.items()}
         self.find = regex.compile(vocabulary.pattern).findall
         self.spaced = re.compile(r"\s |  | \s|^ | $").search if vocabulary.pattern == SPACED else lambda text: True
         self.known: dict[str, tuple[bytes, bytes]] = {}
@@ -156,7 +157,8 @@ class Encoder:
             data = piece.encode()
             rank = self.ranks.get(data)
             if rank is not None:
-                self.remember(piece, rank.to_bytes(4, "little"), data)
+                ids = rank.to_bytes(4, "little")
+                self.remember(piece, ids, self.tokens[int.from_bytes(ids, "little")])
                 continue
             if waiting and size + len(data) > QUERY_BYTES:
                 flush()

@@ -444,3 +444,14 @@ def test_bpe_equals_the_library(docs_of):
     back = bpe.decode_ids(got, RANKS)
     assert all(bytes(r["decoded"]).decode() == (texts[r["doc_id"]] or "") for r in back.collect())
     assert bpe.encode_texts(docs_of([]), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_single_tokens_are_decoded_from_their_ids():
+    """A wrong id must show in the decoded bytes."""
+    vocabulary = bpe.Vocabulary.read(RANKS, public_tokenizers.PATTERN)
+    encoder = bpe.Encoder(vocabulary)
+    encoder.learn({"dog"})
+    wrong = vocabulary.ranks[b"dog"]
+    encoder.ranks = {**vocabulary.ranks, b"the": wrong}
+    encoder.learn({"the"})
+    assert encoder.known["the"] == (wrong.to_bytes(4, "little"), b"dog") == encoder.known["dog"]
