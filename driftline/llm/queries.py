@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.llm.alignment import align_tokenizers
 from driftline.llm.bpe import encode_texts
 from driftline.llm.chat import render_perspectives
 from driftline.llm.decontaminate import contamination
@@ -12,6 +15,8 @@ from driftline.llm.exact_dedup import duplicate_groups
 from driftline.llm.html_text import extract_pages
 from driftline.llm.licenses import scan_licenses
 from driftline.llm.near_dedup import near_duplicates
+from driftline.llm.quality import score_quality
+from driftline.llm.spelling import spelling_groups
 from driftline.llm.suffix_dedup import remove_repeats
 from driftline.llm.token_counts import count_tokens
 from driftline.llm.toxicity import score_toxicity
@@ -78,3 +83,19 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@catalog.add("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@catalog.add("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@catalog.add("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [Path(public_tokenizers.path(name)).read_bytes() for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align_tokenizers(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
