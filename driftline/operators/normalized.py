@@ -32,39 +32,59 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
     """Differing rows of two normalized captures, one line per differing field.
 
     Rows match on their natural key or, without one, on a digest of all fields; ``row_key``
-    only names them. Several rows of a natural key match from the last backwards. Returns
+    only names them. Equal rows of a key cancel each other by count; the different rows left
+    on both sides are paired from the last backwards. Returns
     ``table_name, row_key, action, field_name, left_value, right_value, difference_type,
     occurrence, row_count``; added and deleted rows have no field. ``occurrence`` counts the
-    different rows of a natural key, ``row_count`` the equal rows that a line stands for: of a
-    row that one side repeats more often, the surplus is deleted or added. ``table`` restricts
-    both sides before the join.
+    different rows left of a natural key, ``row_count`` the equal rows that a line stands for: of
+    a row that one side repeats more often, the surplus is deleted or added. ``table`` restricts
+    both sides before anything moves.
+
+    Only digests and counts of all rows are shuffled; fields are fetched for the pairs alone.
     """
-    keys = ["table_name", "_natural", "_row", "occurrence"]
+    key = ["table_name", "_natural", "_row"]
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def side(df: DataFrame) -> DataFrame:
         if table is not None:
             df = df.filter(F.col("table_name") == table)
-        natural = natural_key(F.col("fields"))
-        rows = df.select("table_name", natural.isNotNull().alias("_natural"), row_digest(F.col("fields")).alias("_digest"),
-                         row_key(F.col("fields")).alias("row_key"), natural.alias("_key"), "ordinal", "fields")
-        row = F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest"))
-        equal = rows.groupBy("table_name", "_natural", row.alias("_row"), "_digest").agg(
-            F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("ordinal"), F.any_value("row_key").alias("row_key"),
-            F.any_value("fields").alias("fields"))
-        place = Window.partitionBy(*keys[:3]).orderBy(F.col("ordinal").desc_nulls_last(), "_digest")
-        return equal.withColumn("occurrence", F.row_number().over(place)).select(
-            *keys, F.col("row_key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"), F.col("fields").alias(name))
-
-    joined = side(left, "l").join(side(right, "r"), keys, "full_outer").withColumn("row_key", F.coalesce("l_key", "r_key"))
-    pairs = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
+        natural, digest = natural_key(F.col("fields")), row_digest(F.col("fields"))
+        rows = df.select("table_name", natural.isNotNull().alias("_natural"), digest.alias("_digest"), natural.alias("_key"),
+                         "ordinal", "fields")
+        return rows.withColumn("_row", F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest"))).drop("_key")
+
+    def counted(df: DataFrame, l_n: int, r_n: int) -> DataFrame:
+        return df.select(*key, "_digest", row_key(F.col("fields")).alias("row_key"), F.lit(l_n).alias("l_n"), F.lit(r_n).alias("r_n"),
+                         "ordinal")
+
+    left, right = side(left), side(right)
+    rows = counted(left, 1, 0).unionByName(counted(right, 0, 1)).groupBy(*key, "_digest").agg(
+        (F.sum("l_n") - F.sum("r_n")).alias("more"), F.any_value("row_key").alias("row_key"),
+        F.max(F.when(F.col("l_n") == 1, F.col("ordinal"))).alias("l_ordinal"),
+        F.max(F.when(F.col("r_n") == 1, F.col("ordinal"))).alias("r_ordinal")).where("more <> 0")
+    on_left = F.col("more") > 0
+    rows = rows.withColumn("_left", on_left).withColumn("ordinal", F.when(on_left, F.col("l_ordinal")).otherwise(F.col("r_ordinal")))
+    place = Window.partitionBy(*key, "_left").orderBy(F.col("ordinal").desc_nulls_last(), "_digest")
+    of = lambda mask, column: F.max(F.when(mask, column))
+    pairs = rows.repartition(*key).withColumn("occurrence", F.row_number().over(place)).groupBy(*key, "occurrence").agg(
+        F.any_value("row_key").alias("row_key"), of(F.col("_left"), F.col("_digest")).alias("l_digest"),
+        of(~F.col("_left"), F.col("_digest")).alias("r_digest"), of(F.col("_left"), F.col("more")).alias("l_n"),
+        of(~F.col("_left"), -F.col("more")).alias("r_n"))
+
+    def fetched(df: DataFrame, name: str) -> DataFrame:
+        """The fields of one row for each digest that is paired."""
+        wanted = pairs.where("l_digest IS NOT NULL AND r_digest IS NOT NULL").select(*key, F.col(f"{name}_digest").alias("_digest"))
+        return df.join(wanted, [*key, "_digest"], "left_semi").groupBy(*key, "_digest").agg(
+            F.any_value("fields").alias(name)).withColumnRenamed("_digest", f"{name}_digest")
+
+    joined = pairs.join(fetched(left, "l"), [*key, "l_digest"], "left").join(fetched(right, "r"), [*key, "r_digest"], "left")
+    entries = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
     changed = _line("Changed", "p.key", "p.value.a.val", "p.value.b.val",
                     difference_type_sql("p.value.a", "p.value.b"))
-    fields = (f"transform(filter({pairs}, p -> NOT (p.value.a <=> p.value.b) AND NOT {value_equal_sql('p.value.a', 'p.value.b')}), p -> {changed})")
-    fields = f"IF(map_entries(l) = map_entries(r), array(), {fields})"
+    fields = (f"transform(filter({entries}, p -> NOT (p.value.a <=> p.value.b) AND NOT {value_equal_sql('p.value.a', 'p.value.b')}), p -> {changed})")
     surplus = (f"IF(l_n > r_n, array({_line('Deleted', count='l_n - r_n')}), "
                f"IF(r_n > l_n, array({_line('Added', count='r_n - l_n')}), array()))")
-    found = (f"CASE WHEN r IS NULL THEN array({_line('Deleted', count='l_n')}) "
-             f"WHEN l IS NULL THEN array({_line('Added', count='r_n')}) ELSE concat({fields}, {surplus}) END")
+    found = (f"CASE WHEN r_digest IS NULL THEN array({_line('Deleted', count='l_n')}) "
+             f"WHEN l_digest IS NULL THEN array({_line('Added', count='r_n')}) ELSE concat({fields}, {surplus}) END")
     return joined.selectExpr("table_name", "row_key", "occurrence", f"inline({found})").select(
         "table_name", "row_key", "action", "field_name", "left_value", "right_value", "difference_type", "occurrence", "row_count")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import keys
@@ -229,9 +230,7 @@ def json_rows(records):
 def load_capture(spark, sf):
     """Headers joined with documents by capture name, every record parsed back."""
     headers, details = documents(spark, sf)
-    chosen = sources.capture_details(headers, details, "baseline")
-    records, _ = sources.parse_table_documents(
-        chosen.select("table_name", "part", "capture_data"), part="part")
+    records, _ = sources.load_capture(headers, details, "baseline", part="part")
     return json_rows(records)
 
 
@@ -270,6 +269,30 @@ def write_profile(spark, sf):
     return json_rows(sources.read_profile_lines(spark, path))
 
 
+def _document(spark, sf):
+    """The baseline capture as one document in one file: a line per record, behind the name of a table or a comma."""
+    path = f"{shared_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
+    records = I.capture(spark, sf, "baseline").select("table_name", "ordinal", "pk", store.record_json(F.col("fields")).alias("record"))
+    last = records.agg(F.max("table_name")).first()[0]
+    tables = Window.orderBy("table_name")
+    heads = records.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).select("table_name", F.concat(
+        F.when(F.row_number().over(tables) == 1, "{").otherwise("],"), F.to_json(F.array("table_name"))).alias("head"))
+    heads = heads.withColumn("head", F.regexp_replace("head", r'\["(.*)"\]', '"$1": ['))
+    first = F.row_number().over(Window.partitionBy("table_name").orderBy("ordinal", "pk")) == 1
+    lines = records.withColumn("first", first).join(heads, "table_name").select(
+        "table_name", "ordinal", "pk", F.concat(F.when(F.col("first"), F.col("head")).otherwise(","), "record").alias("value"))
+    if last is not None:
+        lines = lines.unionByName(spark.createDataFrame([(last, 2**62, "", "]}")], "table_name string, ordinal bigint, pk string, value string"))
+    lines.coalesce(1).sortWithinPartitions("table_name", "ordinal", "pk").select("value").write.text(path)
+    return path
+
+
+@catalog.add("read_profile", f"WITH {I.captures_cte()} " + JSON_KINDS.format(rows=RECORD_ROWS.format(rows="bf", records="br")))
+def read_profile(spark, sf):
+    """One document in one file, read back in ranges."""
+    return json_rows(sources.read_profile(spark, _document(spark, sf)))
+
+
 @catalog.add("pk_value", f"WITH {I.captures_cte()} SELECT table_name, pk, count(*) AS records FROM br GROUP BY ALL")
 def pk_value(spark, sf):
     """Key text read from the record's key field."""

@@ -219,7 +219,8 @@ def compare_normalized(spark, sf):
 SELECT table_name, row_key, field_name, left_value, right_value, difference_type FROM diffs WHERE action = 'Changed'""")
 def row_field_diff(spark, sf):
     """The changed fields of matched rows, both values shown."""
-    return _normal_diffs(spark, sf).filter("action = 'Changed'").drop("action")
+    return _normal_diffs(spark, sf).filter("action = 'Changed'").select(
+        "table_name", "row_key", "field_name", "left_value", "right_value", "difference_type")
 
 
 @catalog.add("restrict_comparison", f"""WITH {normal_cte()}
@@ -230,6 +231,48 @@ def restrict_comparison(spark, sf):
     return stats.tables_with_diffs(diffs, "row_key")
 
 
+def _line_capture(spark, sf, side):
+    """Lines of orders under the natural key of their order, so that a key has several rows, and parts without a key,
+    many of them alike. The test side lists each order's lines backwards, raises the quantity of some, leaves out a line
+    and holds some parts twice."""
+    lines = I.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"), "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"),
+        F.expr("(l_linenumber * 10000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT)").alias("place"), "l_linenumber")
+    parts = I.table(spark, sf, "part").select("p_partkey", F.col("p_size"), F.substring("p_brand", 1, 7).alias("p_brand"))
+    if side == "test":
+        lines = lines.where("NOT (id % 11 = 3 AND l_linenumber = 2)").withColumn("place", -F.col("place")).withColumn(
+            "l_quantity", F.expr("IF(id % 5 = 0 AND l_linenumber <= 2, l_quantity + 1, l_quantity)"))
+        parts = parts.unionByName(parts.where("p_partkey % 7 = 0"))
+    line_records = capture_records(lines.drop("l_linenumber"), "dbo_lines", ["place"], F.col("place"), ["id", "l_partkey", "l_quantity"])
+    part_records = capture_records(parts, "dbo_parts", ["p_partkey"], F.col("p_partkey"), ["p_size", "p_brand"])
+    return line_records.unionByName(part_records)
+
+
+@catalog.add("compare_normalized_repeats", """
+WITH l AS (SELECT l_orderkey AS id, l_partkey, CAST(l_quantity AS DOUBLE) AS l_quantity, (l_linenumber * 10000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS place FROM lineitem),
+r AS (SELECT l_orderkey AS id, l_partkey, CAST(l_quantity AS DOUBLE) + CASE WHEN l_orderkey % 5 = 0 AND l_linenumber <= 2 THEN 1 ELSE 0 END AS l_quantity,
+        -((l_linenumber * 10000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT)) AS place
+      FROM lineitem WHERE NOT (l_orderkey % 11 = 3 AND l_linenumber = 2)),
+u AS (SELECT id, l_partkey, l_quantity, sum(one) AS more, max(place) FILTER (one = 1) AS lp, max(place) FILTER (one = -1) AS rp
+      FROM (SELECT *, 1 AS one FROM l UNION ALL SELECT *, -1 FROM r) GROUP BY ALL HAVING sum(one) <> 0),
+k AS (SELECT *, more > 0 AS left_side, row_number() OVER (PARTITION BY id, more > 0 ORDER BY CASE WHEN more > 0 THEN lp ELSE rp END DESC) AS occurrence FROM u),
+p AS (SELECT id, occurrence, a.l_partkey AS lk, b.l_partkey AS rk, a.l_quantity AS lq, b.l_quantity AS rq, a.more AS l_n, -b.more AS r_n
+      FROM (SELECT * FROM k WHERE left_side) a FULL JOIN (SELECT * FROM k WHERE NOT left_side) b USING (id, occurrence)),
+lines AS (
+  SELECT id, 'Changed' AS action, 'l_partkey' AS field_name, least(l_n, r_n) AS row_count, occurrence FROM p WHERE lk <> rk
+  UNION ALL SELECT id, 'Changed', 'l_quantity', least(l_n, r_n), occurrence FROM p WHERE lq <> rq
+  UNION ALL SELECT id, 'Deleted', NULL, l_n - coalesce(r_n, 0), occurrence FROM p WHERE l_n > coalesce(r_n, 0)
+  UNION ALL SELECT id, 'Added', NULL, r_n - coalesce(l_n, 0), occurrence FROM p WHERE r_n > coalesce(l_n, 0)),
+s AS (SELECT p_size, substr(p_brand, 1, 7) AS p_brand, count(*) AS row_count FROM part WHERE p_partkey % 7 = 0 GROUP BY ALL)
+SELECT 'dbo_lines' AS table_name, 'id:' || id AS row_key, action, field_name, CAST(occurrence AS INTEGER) AS occurrence, CAST(row_count AS BIGINT) AS row_count FROM lines
+UNION ALL SELECT 'dbo_parts', upper(substr(sha256('p_brand:' || coalesce(p_brand, 'NULL') || ';p_size:' || coalesce(CAST(p_size AS VARCHAR), 'NULL') || ';'), 1, 16)),
+  'Added', NULL, 1, row_count FROM s""")
+def compare_normalized_repeats(spark, sf):
+    """Several rows under a natural key, listed in another order, and repeated rows without a key."""
+    sides = [I.stored(spark, sf, f"repeats-{side}", lambda side=side: _line_capture(spark, sf, side)) for side in ("baseline", "test")]
+    return M.compare_normalized(*sides).select("table_name", "row_key", "action", "field_name", "occurrence", "row_count")
+
+
 REPORT_SQL = """report AS (SELECT t.table_name, count(DISTINCT row_key) AS total_rows,
   count(DISTINCT row_key) FILTER (action = 'Changed') AS changed_rows, count(DISTINCT row_key) FILTER (action = 'Added') AS new_rows,
   count(DISTINCT row_key) FILTER (action = 'Deleted') AS deleted_rows,

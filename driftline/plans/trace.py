@@ -14,6 +14,7 @@ from driftline.plans import inputs as I
 from driftline.plans.catalog import Catalog
 from driftline.session import shared_folder
 from driftline.sinks import store
+from driftline.sources import scripts
 from driftline.sources import trace as sources
 
 catalog = Catalog()
@@ -308,6 +309,21 @@ def split_workload_parity(spark, sf):
     return sources.split_workload(files, parity=True).select("doc_id", "execution_order", "sql_text")
 
 
+@catalog.add("read_statements", r"""
+SELECT execution_order, execution_order AS event_id,
+  regexp_replace('SELECT ''' || replace(text, '''', '''''') || ''' AS [a;b], "x;y" /* ; */ -- ;' || chr(10) || 'FROM t' || doc_id,
+    '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g') AS sql_text
+FROM (SELECT doc_id, coalesce(text, '') AS text, 2 * row_number() OVER (ORDER BY doc_id) - 1 AS execution_order FROM documents)""")
+def read_statements(spark, sf):
+    """One script file of a statement per document, its text in quotes over many lines; between them ``;`` and ``GO``."""
+    path = f"{shared_folder(spark).rstrip('/')}/script-{uuid.uuid4().hex}"
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("'"), F.lit("''"))
+    I.table(spark, sf, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.concat(
+        F.lit("SELECT '"), text, F.lit("' AS [a;b], \"x;y\" /* ; */ -- ;\nFROM t"), F.col("doc_id").cast("string"),
+        F.lit(";\n go\t")).alias("value")).write.text(path)
+    return scripts.read_statements(spark, path).select("event_id", "execution_order", "sql_text")
+
+
 # --- sinks --------------------------------------------------------------------------------
 
 @catalog.add("append_trace_events", f"SELECT event_id, session_id, duration FROM {EVENTS}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.keys import pk_value
 from driftline.functions.values import variant_value
+from driftline.sources.documents import split_documents
 
 
 # A number the variant type would round: very long, or with an exponent.
@@ -103,11 +104,12 @@ def capture_details(headers: DataFrame, details: DataFrame, capture_name: str |
     return headers.join(details, "capture_header_id")
 
 
-def load_capture(headers: DataFrame, details: DataFrame, capture_name: str,
-                 session_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+def load_capture(headers: DataFrame, details: DataFrame, capture_name: str, session_id: str | None = None,
+                 part: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One capture as (records, rejected documents).
 
-    The name resolves within a session. An unknown or ambiguous name is an error.
+    The name resolves within a session. An unknown or ambiguous name is an error. ``part``
+    names the column that orders the documents of a table stored as several.
     """
     if session_id is not None:
         headers = headers.filter(F.col("session_id") == session_id)
@@ -117,14 +119,22 @@ def load_capture(headers: DataFrame, details: DataFrame, capture_name: str,
     if found > 1:
         raise ValueError(f"capture name {capture_name!r} is ambiguous; name its session")
     chosen = capture_details(headers.select("capture_header_id", "capture_name"), details, capture_name)
-    records, rejects = parse_table_documents(chosen.select("table_name", "capture_data"))
+    columns = ["table_name", "capture_data"] if part is None else ["table_name", part, "capture_data"]
+    records, rejects = parse_table_documents(chosen.select(*columns), part=part)
     return records.select("table_name", "ordinal", "pk", "fields"), rejects
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Profile files, each one ``{table: [record, ...]}`` document, as capture records."""
-    documents = spark.read.text(path, wholetext=True)
-    return parse_capture_json(documents, "value").select("table_name", "ordinal", "pk", "fields")
+    """Profile files, each one ``{table: [record, ...]}`` document of any size, as capture records.
+
+    A file is read by as many tasks as it has ranges; a bad document is an error.
+    """
+    rows = split_documents(spark, path)
+    bad = F.raise_error(F.concat(F.lit("not a record: "), F.substring("record", 1, 100))).cast("variant")
+    record = F.coalesce(F.try_parse_json("record"), F.when(F.col("record").isNotNull(), bad))
+    fields = record_fields(record, exact_texts(F.col("record"), "map<string, string>"))
+    return rows.select("table_name", "ordinal", fields.alias("fields")).withColumn(
+        "pk", pk_value(F.col("fields"))).select("table_name", "ordinal", "pk", "fields")
 
 
 def read_profile_lines(spark: SparkSession, path: str) -> DataFrame:
