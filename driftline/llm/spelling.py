@@ -101,10 +101,13 @@ def trie_edges(words: DataFrame, first: int) -> DataFrame:
     edges = reduce(DataFrame.unionByName, found)
     next_letters = edges.groupBy("back", F.col("node").alias("child")).agg(F.array_join(F.collect_list(
         F.when(F.col("letter") == "", _END).otherwise(F.col("letter"))), "").alias("letters"))
-    child = F.when(F.col("words") > 1, F.concat("node", "letter"))
-    edges = edges.withColumn("child", child).join(next_letters, ["back", "child"], "left").select(
-        "back", "level", "node", "letter", "words", "sizes", F.when(F.col("words") == 1, F.col("only")).alias("only"), "only_n",
-        F.coalesce("letters", F.lit("")).alias("letters"))
+    # Edges to a single word, which are most, have no letters to look up.
+    columns = ["back", "level", "node", "letter", "words", "sizes"]
+    alone = edges.where("words = 1").select(*columns, "only", "only_n", F.lit("").alias("letters"))
+    shared = edges.where("words > 1").withColumn("child", F.concat("node", "letter")).join(
+        next_letters, ["back", "child"], "left").select(*columns, F.lit(None).cast("string").alias("only"), "only_n",
+                                                        F.coalesce("letters", F.lit("")).alias("letters"))
+    edges = alone.unionByName(shared)
     return materialize(edges.sortWithinPartitions("level"), "trie")
 
 
