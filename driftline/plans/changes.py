@@ -268,6 +268,49 @@ def state_differences(spark, sf):
                                    I.after_state(spark, sf, "orders", "test"), ["o_orderkey"])
 
 
+def _changed_schema(spark, sf):
+    """Orders before, and after with a column dropped, one added (null for some) and one of another type."""
+    after = I.after_state(spark, sf, "orders", "baseline").drop("o_orderpriority").withColumn(
+        "o_custkey", F.col("o_custkey").cast("string")).withColumn(
+        "o_channel", F.when(F.col("o_orderkey") % 3 != 0, F.lit("web")))
+    return I.before_state(spark, sf, "orders"), after
+
+
+_SCHEMA_ROWS = f"""b AS ({I.before_sql('orders')}), a AS ({I.after_sql('orders', 'baseline')}),
+j AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, b.o_orderkey IS NOT NULL AS hb, a.o_orderkey IS NOT NULL AS ha,
+    CAST(b.o_custkey AS VARCHAR) AS bc, CAST(a.o_custkey AS VARCHAR) AS ac, b.o_orderpriority AS bp,
+    CASE WHEN a.o_orderkey % 3 <> 0 THEN 'web' END AS channel
+  FROM b FULL OUTER JOIN a ON a.o_orderkey = b.o_orderkey)"""
+
+
+@catalog.add("snapshot_diff_schema", f"""WITH {_SCHEMA_ROWS}
+SELECT CASE WHEN ha THEN 3 ELSE 1 END AS op, o_orderkey, bc AS o_custkey, bp AS o_orderpriority, NULL AS o_channel, '["o_channel"]' AS absent_columns FROM j WHERE hb
+UNION ALL SELECT CASE WHEN hb THEN 4 ELSE 2 END, o_orderkey, ac, NULL, channel, '["o_orderpriority"]' FROM j WHERE ha""")
+def snapshot_diff_schema(spark, sf):
+    """Images of states with different columns tell a lacking column from a null."""
+    before, after = _changed_schema(spark, sf)
+    rows = state.snapshot_diff(before, after, ["o_orderkey"], "dbo.orders", F.lit(b"\1"))
+    return rows.select("op", "o_orderkey", "o_custkey", "o_orderpriority", "o_channel", "absent_columns")
+
+
+@catalog.add("state_differences_schema", f"""WITH {_SCHEMA_ROWS}
+SELECT o_orderkey, CASE WHEN NOT hb THEN 'Added' WHEN NOT ha THEN 'Removed' ELSE 'Changed' END AS difference FROM j""")
+def state_differences_schema(spark, sf):
+    before, after = _changed_schema(spark, sf)
+    return state.state_differences(before, after, ["o_orderkey"])
+
+
+@catalog.add("validate_replay_schema", f"""WITH {_SCHEMA_ROWS}
+SELECT count(*) FILTER (ha) AS replayed_rows, count(*) FILTER (ha) AS target_rows, 0 AS missing_rows, 0 AS unexpected_rows,
+  0 AS changed_rows, TRUE AS is_match FROM j""")
+def validate_replay_schema(spark, sf):
+    """Folded changes between states of different columns lead from one to the other."""
+    before, after = _changed_schema(spark, sf)
+    net = N.net_change(state.snapshot_diff(before, after, ["o_orderkey"], "dbo.orders", F.lit(b"\1")), ["o_orderkey"])
+    return state.validate_replay(before, net, after, ["o_orderkey"]).select(
+        "replayed_rows", "target_rows", *[F.col(c).cast("int").alias(c) for c in ("missing_rows", "unexpected_rows", "changed_rows")], "is_match")
+
+
 def _regression(spark, sf):
     tables = []
     for name in ("orders", "customer", "part"):

@@ -124,6 +124,28 @@ def test_snapshot_diff_images(spark, listed):
         (2, 3, "b", 1), (2, 4, "c", 1), (3, 1, None, 1), (4, 2, "d", 2)]
 
 
+def test_states_with_other_columns(spark, listed):
+    """Dropped, added and retyped columns; a column that isn't there is no null."""
+    b = spark.createDataFrame([(1, "a", 1), (2, None, 2), (3, "c", 3)], "id int, v string, w int")
+    a = spark.createDataFrame([(1, None, 1), (2, None, 2), (4, "n", 9)], "id int, n string, w long")
+    assert listed(state.state_differences(b, a, ["id"])) == [
+        (1, "Changed"), (2, "Changed"), (3, "Removed"), (4, "Added")]
+    rows = state.snapshot_diff(b, a, ["id"], "t", F.lit(lsn(1)))
+    assert listed(rows.where("id = 2"), "op", "v", "n", "w", "absent_columns") == [
+        (3, None, None, 2, '["n"]'), (4, None, None, 2, '["v"]')]
+    net = N.net_change(rows, ["id"])
+    assert listed(net, "id", "op") == listed(state.snapshot_net(b, a, ["id"], "t", F.lit(lsn(1))), "id", "op")
+    after = state.apply_changes(b, net, ["id"])
+    assert listed(after, "id", "v", "n", "w", "absent_columns") == [
+        (1, None, None, 1, '["v"]'), (2, None, None, 2, '["v"]'), (4, None, "n", 9, '["v"]')]
+    assert state.validate_replay(b, net, a, ["id"]).first().is_match
+    assert not state.validate_replay(b, net.where("id <> 2"), a, ["id"]).first().is_match
+    # Equal columns in another order are no difference; a whole number and its text are equal as text.
+    assert state.state_differences(b, b.select("w", "v", "id"), ["id"]).count() == 0
+    assert state.state_differences(b, b.withColumn("w", F.col("w").cast("string")), ["id"]).count() == 0
+    assert state.apply_changes(b, net.limit(0), ["id"]).where("absent_columns <> '[\"n\"]'").count() == 0
+
+
 def test_last_by_key_is_an_aggregate(spark, listed):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, o int, v string")
     assert listed(N.last_by_key(df, ["k"], F.col("o"))) == [(1, 2, "b"), (2, 1, "c")]
