@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftline.functions.text import base64_text
+from driftline.functions.values import quote_name, quote_text
 from driftline.model import KEY_FIELD
 
 # Names looked up, in this order, as the natural key of a record (fixed values).
@@ -35,19 +36,39 @@ def pk_value(fields: Column) -> Column:
                   F.coalesce(fields[key]["val"], F.lit("null"))).otherwise("unknown")
 
 
+def key_text_sql(parts: list[str], null: str) -> str:
+    """SQL of the parts of a key, given as SQL of texts, as one text joined by ``|``.
+
+    No other parts give the same text: of several parts, backslashes and bars inside are
+    written behind a backslash, and so is a text that reads like ``null``, the mark of a null.
+    """
+    mark = quote_text(null)
+    if len(parts) == 1:
+        return f"coalesce({parts[0]}, {mark})"
+    return f"concat_ws('|', {', '.join(f'coalesce({_escaped_sql(p, null)}, {mark})' for p in parts)})"
+
+
+def _escaped_sql(part: str, null: str) -> str:
+    escaped = rf"replace(replace({part}, r'\', r'\\'), '|', r'\|')"
+    return rf"IF({part} = {quote_text(null)}, r'\' || {part}, {escaped})"
+
+
 def key_columns_value(columns: list[str]) -> Column:
     """All key columns as one text; parts joined by ``|``, null parts read ``<null>``."""
-    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<null>")) for c in columns])
+    return F.expr(key_text_sql([f"CAST({quote_name(c)} AS STRING)" for c in columns], "<null>"))
 
 
 def profile_key_sql(fields: str, columns: str, parity: bool = False) -> str:
     """SQL of a record's key from its key fields; an absent field reads ``<null>``.
 
-    ``columns`` is an array of names. ``parity`` joins the parts without a separator.
+    ``columns`` is an array of names. Parts are written as ``key_text_sql`` has them;
+    ``parity`` joins them as they are, without a separator.
     """
-    separator = "''" if parity else "'|'"
-    return (f"array_join(transform({columns}, c -> IF(map_contains_key({fields}, c), "
-            f"coalesce({fields}[c].val, ''), '<null>')), {separator})")
+    value = f"coalesce({fields}[c].val, '')"
+    if parity:
+        return f"array_join(transform({columns}, c -> IF(map_contains_key({fields}, c), {value}, '<null>')), '')"
+    text = f"IF(size({columns}) > 1, {_escaped_sql(value, '<null>')}, {value})"
+    return f"array_join(transform({columns}, c -> IF(map_contains_key({fields}, c), {text}, '<null>')), '|')"
 
 
 def natural_key(fields: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.keys import key_columns_value
+from driftline.functions.keys import key_columns_value, key_text_sql
 from driftline.functions.values import field_map, quote_name, quote_text, value_sql
 from driftline.model import (
     DELETE, INSERT, KEY_FIELD, LSN_FIELD, OPERATION_FIELD, TABLE_FIELD, UPDATE_AFTER,
@@ -122,7 +122,7 @@ def net_records(net: DataFrame, keys: list[str], ordinal: Column) -> DataFrame:
         return f"named_struct('key', {quote_text(name)}, 'value', {value_sql(expr, dtype)})"
 
     schema = net.schema
-    pk = f"concat_ws('|', {', '.join(f'coalesce(CAST({quote_name(k)} AS STRING), {chr(39)}null{chr(39)})' for k in keys)})"
+    pk = key_text_sql([f"CAST({quote_name(k)} AS STRING)" for k in keys], "null")
     entries = [
         entry(OPERATION_FIELD, "op", schema["op"].dataType),
         entry(LSN_FIELD, "start_lsn", schema["start_lsn"].dataType),

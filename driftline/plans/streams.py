@@ -61,3 +61,13 @@ def stream_event_counts(spark, sf):
     passed = I.table(spark, sf, "events").agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 HOUR")).alias("passed"))
     rows = rows.join(F.broadcast(passed), F.col("window_start") + F.expr("INTERVAL 1 DAY") <= F.col("passed")).drop("passed")
     return rows.withColumn("window_start", micros(F.col("window_start")))
+
+
+@catalog.add("stream_event_counts_all", """SELECT epoch_us(date_trunc('day', ts)) AS window_start, 's' || user_id AS session_id,
+  count(*) AS events FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
+def stream_event_counts_all(spark, sf):
+    """Daily counts per session of every day, the newest too."""
+    out = _folder(spark, "stream-counts")
+    jobs.stream_event_counts(_events(spark, sf), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    rows = jobs.read_event_counts(spark, f"{out}/data")
+    return rows.withColumn("window_start", micros(F.col("window_start")))

@@ -8,8 +8,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from driftline.functions.keys import key_columns_value
 from driftline.operators.compare import (
     common_tables, compare_captures, compare_many, comparison_summary, extra_tables, missing_tables)
+from driftline.operators.netchange import capture_records
+from driftline.operators.skew import salted_left_join
 from driftline.sources.captures import load_capture, parse_capture_json, parse_captures, parse_table_documents
 
 # Recorded documents (fixed values).
@@ -284,3 +287,24 @@ def test_bad_documents_are_rejects_or_errors(spark, listed):
                                    "table_name string, capture_data string")
     rows, rejects = parse_table_documents(tables)
     assert rows.count() == 1 and rejects.count() == 5
+
+
+def test_composite_keys_with_separators_and_nulls(spark, listed):
+    """Parts that hold the separator, or read like the mark of a null, make keys of their own."""
+    columns = "a string, b string, v int"
+    left = spark.createDataFrame([("a|b", "c", 1), (None, "c", 2), ("x", "y", 3), ("\\", "z", 4)], columns)
+    right = spark.createDataFrame([("a", "b|c", 1), ("<null>", "c", 2), ("x", "y", 3), ("\\", "z", 5)], columns)
+    records = lambda df: capture_records(df, "dbo_t", ["a", "b"], F.lit(0))
+    failures = compare_captures(records(left), records(right))
+    assert sorted(r.failure_type for r in failures.select("failure_type").collect()) == [
+        "ExtraRecord", "ExtraRecord", "FieldMismatch", "MissingRecord", "MissingRecord"]
+    values = ["a", "a|b", "b", "", "|", "\\", "<null>", "\\<null>", None, "\\|", "a\\", "|b"]
+    pairs = spark.createDataFrame([(x, y) for x in values for y in values], "a string, b string")
+    assert pairs.select(key_columns_value(["a", "b"])).distinct().count() == len(values) ** 2
+
+
+def test_frequent_keys_are_split_by_their_count(spark, listed):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("k"), "id")
+    lookup = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = salted_left_join(rows, lookup, "k", F.col("id"), parts=20, few=10)
+    assert listed(joined, "k", "id", "v") == listed(rows.join(lookup, "k", "left"), "k", "id", "v")
