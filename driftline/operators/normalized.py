@@ -44,19 +44,17 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
     """
     key = ["table_name", "_natural", "_row"]
 
-    def side(df: DataFrame) -> DataFrame:
-        if table is not None:
-            df = df.filter(F.col("table_name") == table)
-        natural, digest = natural_key(F.col("fields")), row_digest(F.col("fields"))
-        rows = df.select("table_name", natural.isNotNull().alias("_natural"), digest.alias("_digest"), natural.alias("_key"),
-                         "ordinal", "fields")
-        return rows.withColumn("_row", F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest"))).drop("_key")
+    if table is not None:
+        left, right = (df.filter(F.col("table_name") == table) for df in (left, right))
 
     def counted(df: DataFrame, l_n: int, r_n: int) -> DataFrame:
-        return df.select(*key, "_digest", row_key(F.col("fields")).alias("row_key"), F.lit(l_n).alias("l_n"), F.lit(r_n).alias("r_n"),
-                         "ordinal")
+        natural = natural_key(F.col("fields"))
+        rows = df.select("table_name", natural.alias("_key"), row_digest(F.col("fields")).alias("_digest"),
+                         row_key(F.col("fields")).alias("row_key"), "ordinal")
+        return rows.select("table_name", F.col("_key").isNotNull().alias("_natural"),
+                           F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest")).alias("_row"), "_digest", "row_key",
+                           F.lit(l_n).alias("l_n"), F.lit(r_n).alias("r_n"), "ordinal")
 
-    left, right = side(left), side(right)
     rows = counted(left, 1, 0).unionByName(counted(right, 0, 1)).groupBy(*key, "_digest").agg(
         (F.sum("l_n") - F.sum("r_n")).alias("more"), F.any_value("row_key").alias("row_key"),
         F.max(F.when(F.col("l_n") == 1, F.col("ordinal"))).alias("l_ordinal"),
@@ -71,10 +69,12 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
         of(~F.col("_left"), -F.col("more")).alias("r_n"))
 
     def fetched(df: DataFrame, name: str) -> DataFrame:
-        """The fields of one row for each digest that is paired."""
-        wanted = pairs.where("l_digest IS NOT NULL AND r_digest IS NOT NULL").select(*key, F.col(f"{name}_digest").alias("_digest"))
-        return df.join(wanted, [*key, "_digest"], "left_semi").groupBy(*key, "_digest").agg(
-            F.any_value("fields").alias(name)).withColumnRenamed("_digest", f"{name}_digest")
+        """The fields of one row for each digest that is paired; digests are taken of the rows of paired keys alone."""
+        wanted = pairs.where("l_digest IS NOT NULL AND r_digest IS NOT NULL").select("table_name", "_row").distinct()
+        rows = df.select("table_name", F.encode(natural_key(F.col("fields")), "UTF-8").alias("_row"), "fields").where(
+            "_row IS NOT NULL").join(wanted, ["table_name", "_row"], "left_semi")
+        return rows.groupBy("table_name", F.lit(True).alias("_natural"), "_row", row_digest(F.col("fields")).alias(f"{name}_digest")).agg(
+            F.any_value("fields").alias(name))
 
     joined = pairs.join(fetched(left, "l"), [*key, "l_digest"], "left").join(fetched(right, "r"), [*key, "r_digest"], "left")
     entries = "map_entries(map_zip_with(l, r, (k, a, b) -> named_struct('a', a, 'b', b)))"
