@@ -12,6 +12,7 @@ from driftline.functions.keys import lsn_base64, lsn_hex
 from driftline.functions.values import json_equal, variant_value
 from driftline.operators import compare as C
 from driftline.operators import stats
+from driftline.operators.normalized import is_excluded
 from driftline.plans import inputs as I
 from driftline.plans.catalog import Catalog
 from driftline.session import shared_folder
@@ -269,6 +270,17 @@ def write_profile(spark, sf):
     return json_rows(sources.read_profile_lines(spark, path))
 
 
+@catalog.add("exclude_stored_fields", f"WITH {I.captures_cte()}, shown AS (" + RECORD_ROWS.format(rows="bf", records="br") + """)
+SELECT table_name, field, count(*) AS records, lower(field) IN ('new_o_custkey', '__$operation') OR lower(field) LIKE '%price%'
+  OR lower(field) SIMILAR TO 'old_.*name' AS excluded FROM shown GROUP BY table_name, field""")
+def exclude_stored_fields(spark, sf):
+    """Field names of the stored records by list, substring and wildcard; each name is tested once."""
+    rows = field_rows(I.capture(spark, sf, "baseline")).filter("field NOT IN ('__$start_lsn', '__$table', '__$primary_key')")
+    names = rows.groupBy("table_name", "field").agg(F.count(F.lit(1)).alias("records"))
+    hit = is_excluded(F.col("field"), ("NEW_O_CUSTKEY", "__$operation"), ("PRICE", "old_*name"))
+    return names.withColumn("excluded", hit)
+
+
 def _document(spark, sf):
     """The baseline capture as one document in one file: a line per record, behind the name of a table or a comma."""
     path = f"{shared_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
