@@ -6,16 +6,16 @@ share. A text is compared by its toxic and its ordinary log-likelihood, each div
 the whole text, and over the window of 24 bytes where they differ most, so that a long text doesn't
 hide a short insult. Two weights and an offset turn both figures into a score.
 
-Grams are counted exactly by Spark, and a byte's log-ratio depends on the gram that ends there alone. So Spark
-makes one table of the ratio of every gram of the documents, which grows with them: no gram shares another's
-counts. Up to 2^BITS grams that table is broadcast; beyond, the distinct grams of each chunk of texts are joined
-with it. Both give the same figures.
+Only the labelled training texts are counted, exactly and by Spark, and no gram shares another's counts. A byte's
+log-ratio depends on the gram that ends there alone; a gram of which training knows only the end, or nothing, backs
+off to what is known of its shorter ends, so it needs no row of its own. With at most 2^BITS distinct training grams
+the counts of each order are broadcast. Beyond, the distinct grams of each chunk of texts are joined with a table of
+their ratios. Both give the same figures.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from driftline.session import materialize
 #: Longest gram, the longest shared by the classes, and the discount.
 TOP, SHARED, DISCOUNT = 6, 3, 0.75
 
-#: Most grams of a broadcast table of ratios, as a power of two; a larger table is joined.
+#: Most distinct training grams whose counts are broadcast, as a power of two; more are joined.
 BITS = 22
 
 #: Bytes of a window.
@@ -41,8 +41,8 @@ FIT_EVERY, FIT_ROWS = 5, 20_000
 #: From this score on a text is called toxic.
 THRESHOLD = 0.7
 
-#: Bytes of text scored at once, and of a chunk whose grams are joined with the table.
-_CHUNK, _JOINED = 1 << 20, 8 << 20
+#: Bytes of text counted or scored at once, and of a chunk whose grams are joined with the table.
+_CHUNK, _JOINED = 1 << 20, 2 << 20
 
 
 def _grams(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct grams of a batch's texts with their count in each class: of all training texts, and without the fitted."""
     for batch in batches:
         kind = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
-        for first, last, body, at in text_chunks(batch.column(0), 8 << 20):
+        for first, last, body, at in text_chunks(batch.column(0), _CHUNK):
             grams, place = _grams(body, at)
             label = np.repeat(kind[first:last], np.diff(at)).astype(np.uint64)
             found, n = np.unique(grams[place] << np.uint64(3) | label, return_counts=True)
@@ -85,56 +85,97 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["gram", "n0", "n1", "m0", "m1"])
 
 
-#: Factors of the bucket of a gram's lower and upper 24 bits, and of both folded; products stay within 56 bits.
-_LOW, _HIGH, _FOLDED = 0x5BD1E995, 0x6C8E9CF5, 0x9E3779B
+def count_grams(texts: DataFrame) -> DataFrame:
+    """Every gram of ``texts`` (text, kind) with its counts, written once."""
+    return materialize(texts.select("text", "kind").mapInArrow(_count, _COUNTS).groupBy("gram").agg(
+        *[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")]), "grams")
 
 
-def _bucket(grams: np.ndarray, bits: int) -> np.ndarray:
-    grams = grams.astype(np.uint64, copy=False)
-    mixed = (grams & np.uint64((1 << 24) - 1)) * np.uint64(_LOW) + (grams >> np.uint64(24)) * np.uint64(_HIGH)
-    mixed = ((mixed ^ mixed >> np.uint64(28)) & np.uint64((1 << 28) - 1)) * np.uint64(_FOLDED)
-    return (mixed >> np.uint64(56 - bits) & np.uint64((1 << bits) - 1)).astype(np.int64)
+#: Columns of the counts of one class pair: of all training texts, and without those the weights are fitted on.
+CLASSES = {"ratio": ("n0", "n1"), "fitted": ("m0", "m1")}
 
 
-def _bucket_sql(column: str, bits: int) -> str:
-    """The same bucket in SQL."""
-    mixed = f"((({column}) & {(1 << 24) - 1}L) * {_LOW}L + shiftright({column}, 24) * {_HIGH}L)"
-    folded = f"(({mixed} ^ shiftright({mixed}, 28)) & {(1 << 28) - 1}L) * {_FOLDED}L"
-    return f"shiftright({folded}, {56 - bits}) & {(1 << bits) - 1}L"
+def _ends(order: int, classes: tuple[str, str]) -> list:
+    """Continuation counts of an order: in how many distinct contexts its grams stand, by class; pooled when shared."""
+    any_class = " OR ".join(f"{c} > 0" for c in classes)
+    return [F.sum(F.expr(f"int({any_class if order <= SHARED else f'{c} > 0'})")).alias(c) for c in classes]
 
 
-@dataclass
-class Model:
-    """Not used for scoring any more, as grams share buckets. Tables by gram bucket: order k holds ``num`` (k > SHARED) and, as the context of order k + 1, ``scale, rest``."""
+def order_counts(counted: DataFrame, classes: tuple[str, str]) -> DataFrame:
+    """``order, context, gram, c0, c1, k0, k1``: counts of the grams of every order, and of their contexts.
 
-    bits: int
-    base: np.ndarray  # shared probability of a SHARED-gram
-    num: dict[int, np.ndarray]
-    scale: dict[int, np.ndarray]
-    rest: dict[int, np.ndarray]
-
-    def __getstate__(self) -> dict:
-        """Compressed, as the driver and every executor keep a broadcast on disk; empty buckets cost nothing."""
-        def packed(table: np.ndarray) -> tuple[bytes, int, tuple[int, ...]]:
-            raw = table.astype("<f4", copy=False).tobytes()
-            return pa.compress(raw, "zstd", asbytes=True), len(raw), table.shape
+    A context is a gram without its last byte, and has the sums of its grams' counts and how many of its grams
+    each class holds. A context has at most 256 grams, and so has an ending: no group is large.
+    """
+    level = counted.select("gram", *[F.col(c) for c in classes]).where(" OR ".join(f"{c} > 0" for c in classes))
+    parts = []
+    for order in range(TOP, 0, -1):
+        if order < TOP:
+            level = level.groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*_ends(order, classes))
+        named = [F.col(c).cast("long").alias(f"c{k}") for k, c in enumerate(classes)]
+        none = F.lit(0).cast("long")
+        parts.append(level.select(F.lit(order).alias("order"), F.lit(False).alias("context"), "gram", *named,
+                                  none.alias("k0"), none.alias("k1")))
+        parts.append(level.groupBy(F.expr("shiftright(gram, 8)").alias("gram")).agg(
+            *[F.sum(c).cast("long").alias(f"c{k}") for k, c in enumerate(classes)],
+            *[F.count_if(F.col(c) > 0).alias(f"k{k}") for k, c in enumerate(classes)]).select(
+            F.lit(order).alias("order"), F.lit(True).alias("context"), "gram", "c0", "c1", "k0", "k1"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole
 
-        tables = {name: {k: packed(t) for k, t in getattr(self, name).items()} for name in ("num", "scale", "rest")}
-        return {"bits": self.bits, "base": packed(self.base), **tables}
 
-    def __setstate__(self, state: dict) -> None:
-        def table(compressed: bytes, size: int, shape: tuple[int, ...]) -> np.ndarray:
-            return np.frombuffer(pa.decompress(compressed, size, "zstd", asbytes=True), "<f4").reshape(shape)
+class Model:
+    """The counts of every order, each table by ascending gram, and the log-ratio of any gram by them."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        order, context = rows["order"].to_numpy(), rows["context"].to_numpy()
+        gram = rows["gram"].to_numpy()
+        values = [rows[c].to_numpy() for c in ("c0", "c1", "k0", "k1")]
+        self.tables = {}
+        for k in range(1, TOP + 1):
+            for kind in (False, True):
+                own = np.flatnonzero((order == k) & (context == kind))
+                own = own[np.argsort(gram[own])]
+                self.tables[k, kind] = (gram[own], np.stack([v[own] for v in (values if kind else values[:2])]))
 
-        self.bits, self.base = state["bits"], table(*state["base"])
-        for name in ("num", "scale", "rest"):
-            setattr(self, name, {k: table(*t) for k, t in state[name].items()})
+    def __getstate__(self) -> dict:
+        """Steps between grams and small counts, compressed: the driver and every executor keep a broadcast on disk."""
+        def packed(values: np.ndarray) -> tuple[bytes, int, tuple[int, ...]]:
+            raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes of all numbers together
+            return pa.compress(raw, "zstd", asbytes=True), len(raw), values.shape
 
+        return {at: (packed(np.diff(grams, prepend=0)), packed(counts)) for at, (grams, counts) in self.tables.items()}
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """Every gram of ``texts`` (text, kind) with its counts, written once."""
-    return materialize(texts.select("text", "kind").mapInArrow(_count, _COUNTS).groupBy("gram").agg(
-        *[F.sum(c).alias(c) for c in ("n0", "n1", "m0", "m1")]), "grams")
+    def __setstate__(self, state: dict) -> None:
+        def values(compressed: bytes, size: int, shape: tuple[int, ...]) -> np.ndarray:
+            raw = np.frombuffer(pa.decompress(compressed, size, "zstd", asbytes=True), np.uint8)
+            return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(shape)
+
+        self.tables = {at: (np.cumsum(values(*grams)), values(*counts)) for at, (grams, counts) in state.items()}
+
+    def _counts(self, order: int, context: bool, asked: np.ndarray) -> np.ndarray:
+        """The counts of each of ``asked``, zeros where training has none."""
+        grams, counts = self.tables[order, context]
+        if not len(grams):
+            return np.zeros((len(counts), len(asked)), np.int64)
+        at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+        return np.where(grams[at] == asked, counts[:, at], 0)
+
+    def _probabilities(self, order: int, asked: np.ndarray) -> np.ndarray:
+        if not order:
+            return np.full((2, len(asked)), 1 / 256)
+        ends, which = np.unique(asked & ((1 << 8 * (order - 1)) - 1), return_inverse=True)
+        shorter = self._probabilities(order - 1, ends)[:, which]
+        own, around = self._counts(order, False, asked), self._counts(order, True, asked >> 8)
+        total, kinds = around[:2], around[2:]
+        return np.where(total > 0, (np.maximum(own - DISCOUNT, 0) + DISCOUNT * kinds * shorter) / np.maximum(total, 1), shorter)
+
+    def ratios(self, asked: np.ndarray) -> np.ndarray:
+        """log P(toxic) - log P(ordinary) of the last byte of each of ``asked``, in ascending order."""
+        logs = np.log(np.maximum(self._probabilities(TOP, asked.astype(np.int64)), 1e-12))
+        return (logs[1] - logs[0]).astype(np.float32)
 
 
 def gram_ratios(counted: DataFrame) -> DataFrame:
@@ -143,16 +184,11 @@ def gram_ratios(counted: DataFrame) -> DataFrame:
     ``ratio`` is by all training texts, ``fitted`` by those the weights are not fitted on. A context has at most
     256 grams, and so has an ending, so no group of the shuffles is large.
     """
-    both = (("n0", "n1"), ("m0", "m1"))
+    both = tuple(CLASSES.values())
     levels = {TOP: counted.select("gram", "n0", "n1", "m0", "m1")}
     for order in range(TOP - 1, 0, -1):
-        # Continuation counts: in how many distinct contexts the shorter gram stands, by class; pooled when shared.
-        longer = levels[order + 1]
-        counts = []
-        for classes in both:
-            any_class = " OR ".join(f"{c} > 0" for c in classes)
-            counts += [F.sum(F.expr(f"int({any_class if order <= SHARED else f'{c} > 0'})")).alias(c) for c in classes]
-        levels[order] = longer.groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*counts)
+        counts = [c for classes in both for c in _ends(order, classes)]
+        levels[order] = levels[order + 1].groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*counts)
     names = [c for classes in both for c in classes]
     known = None  # probabilities of the grams that are one byte shorter
     for order in range(1, TOP + 1):
@@ -209,9 +245,9 @@ def _found(grams: np.ndarray, values: np.ndarray):
     return ratios
 
 
-def _figures(broadcast, ratio: str):
+def _figures(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = _found(*broadcast.value[ratio])
+        ratios = broadcast.value.ratios
         for batch in batches:
             mean, peak = _mean_peak(batch.column("text"), ratios, _CHUNK)
             columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
@@ -257,26 +293,28 @@ def _chunk_figures(texts: pa.Table, grams: pa.Table) -> pa.Table:
 
 
 class Ratios:
-    """The table of gram_ratios, written once, and broadcast if it has at most 2^bits grams."""
+    """The ratios by counts of training grams: broadcast if there are at most 2^bits grams, else joined."""
 
     def __init__(self, counted: DataFrame, bits: int) -> None:
-        self.table, self.broadcast = materialize(gram_ratios(counted), "ratios"), None
-        if self.table.count() <= 1 << bits:
-            rows = self.table.sort("gram").toArrow()
-            grams = rows["gram"].to_numpy()
-            self.broadcast = counted.sparkSession.sparkContext.broadcast(
-                {name: (grams, rows[name].to_numpy()) for name in ("ratio", "fitted")})
+        self.counted, self.small = counted, counted.count() <= 1 << bits
 
     def figures(self, texts: DataFrame, ratio: str = "ratio") -> DataFrame:
         """``texts`` without ``text`` and with ``mean`` and ``peak``."""
         others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
         schema = f"{others}, mean double, peak double"
-        if self.broadcast is not None:
-            return texts.mapInArrow(_figures(self.broadcast, ratio), schema)
+        if self.small:
+            model = Model(order_counts(self.counted, CLASSES[ratio]).toArrow())
+            return texts.mapInArrow(_figures(texts.sparkSession.sparkContext.broadcast(model)), schema)
         whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
         chunks = materialize(texts.mapInArrow(_numbered, f"{whole}, chunk bigint"), "chunks")
-        pairs = chunks.select("chunk", "text").mapInArrow(_chunk_grams, "chunk bigint, gram bigint").distinct().join(
-            self.table.select("gram", F.col(ratio).alias("ratio")), "gram")
+        pairs = materialize(chunks.select("chunk", "text").mapInArrow(
+            _chunk_grams, "chunk bigint, gram bigint").distinct(), "pairs")
+        # The grams of the texts that training lacks, with counts of 0, get their ratio with the others.
+        none = [F.lit(0).cast("long").alias(c) for classes in CLASSES.values() for c in classes]
+        grams = pairs.select("gram").distinct().select("gram", *none).union(
+            self.counted.select("gram", *[c for classes in CLASSES.values() for c in classes]))
+        table = gram_ratios(grams.groupBy("gram").agg(*[F.sum(c).alias(c) for classes in CLASSES.values() for c in classes]))
+        pairs = pairs.join(table.select("gram", F.col(ratio).alias("ratio")), "gram")
         return chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_chunk_figures, schema)
 
 
@@ -319,7 +357,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     in_fit = F.lit(False) if last is None else F.coalesce(place <= F.lit(last), F.lit(False))
     labelled = texts.join(known, "doc_id", "left").withColumn("kind", F.when(F.col("toxic").isNull(), _UNLABELLED).otherwise(
         F.col("toxic") + F.when(in_fit, _FITTED).otherwise(0)))
-    counted = count_grams(labelled)
+    counted = count_grams(labelled.where(F.col("kind") < _UNLABELLED))
     have = counted.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n0", "n1", "m0", "m1")]).first()
 
     scored = texts.withColumn("held_out", held(F.col("doc_id")))

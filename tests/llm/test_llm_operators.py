@@ -150,30 +150,6 @@ def test_toxicity_separates_held_out_texts(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, marks.limit(0)).collect()} == {0.0}
 
 
-def test_models_travel_whole_and_small():
-    rng = np.random.default_rng(3)
-
-    def few():
-        out = np.zeros((1 << 16, 2), np.float32)
-        out[rng.integers(0, 1 << 16, 500)] = rng.random((500, 2))
-        return out
-
-    model = toxicity.Model(16, few()[:, 0].copy(), {4: few()}, {3: few()}, {3: few()})
-    sent = pickle.dumps(model)
-    back = pickle.loads(sent)
-    assert back.bits == 16 and (back.base == model.base).all()
-    for name in ("num", "scale", "rest"):
-        for order, values in getattr(model, name).items():
-            assert (getattr(back, name)[order] == values).all()
-    assert len(sent) < model.base.nbytes // 4
-
-
-def test_buckets_agree(spark):
-    grams = [0, 1, 255, 2**24, 2**47 + 12345, 2**48 - 1]
-    got = spark.createDataFrame([(g,) for g in grams], "g long").select(F.expr(toxicity._bucket_sql("g", 20))).collect()
-    assert [r[0] for r in got] == toxicity._bucket(np.array(grams, np.uint64), 20).tolist()
-
-
 def brute_ratios(counts):
     """log P(toxic) - log P(ordinary) of each 6-gram (bytes) by exact Kneser-Ney counts; counts: gram -> [ordinary, toxic]."""
     levels = {6: counts}
@@ -223,6 +199,26 @@ def test_toxicity_ratios_are_of_whole_grams(spark):
         assert all(abs(got[g][name] - r) < 1e-4 for g, r in expected.items())
 
 
+def test_toxicity_unseen_grams_back_off(spark):
+    """Grams of which training has only a shorter end, or nothing, by the model that travels."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdeé Z") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    others = ["".join(rng.choice("abcdefghé Zxü") for _ in range(50)) for _ in range(20)] + ["", "a"]
+    kinds = [k % 4 for k in range(40)]
+    counted = toxicity.count_grams(spark.createDataFrame(list(zip(texts, kinds)), "text string, kind int"))
+    asked = sorted({g for t in [*texts, *others] for g in byte_grams(t)})
+    for name, used in (("ratio", (0, 1, 2, 3)), ("fitted", (0, 1))):
+        model = pickle.loads(pickle.dumps(toxicity.Model(toxicity.order_counts(counted, toxicity.CLASSES[name]).toArrow())))
+        counts = {g: [0, 0] for g in asked}
+        for text, kind in zip(texts, kinds):
+            for gram in byte_grams(text) if kind in used else ():
+                counts[gram][kind % 2] += 1
+        assert sum(not any(n) for n in counts.values()) > 300
+        expected = brute_ratios(counts)
+        got = model.ratios(np.array([int.from_bytes(g, "big") for g in asked], np.uint64))
+        assert np.abs(got - np.array([expected[g] for g in asked])).max() < 1e-4
+
+
 def toxic_texts(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 200))) + (" zorgul" if i % 4 == 0 else "")
