@@ -67,3 +67,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``.
+
+    Only for tables whose last reader has been run and written or collected: a plan that still
+    reads the table, or would have to be run again from it, fails afterwards.
+    """
+    spark = df.sparkSession
+    root = shared_folder(spark).rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = hadoop.Path(spark._jvm.java.net.URI(folder))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if path.getParent().toUri().getPath() != hadoop.Path(root).toUri().getPath():
+            raise ValueError(f"{folder} isn't a table that materialize wrote")
+        fs.delete(path, True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import netchange as N
 from driftline.operators.compare import compare_captures
 from driftline.operators.stats import capture_fingerprint
-from driftline.session import build_session, materialize, shared_folder
+from driftline.session import build_session, discard, materialize, shared_folder
 from driftline.sinks import store
 from driftline.sources import captures as sources
 from driftline.sources.trace import read_trace_events
@@ -153,3 +153,15 @@ def test_digests(spark, text):
 def test_session_settings(spark):
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
     assert SCHEMA and lsn(1) == b"\0" * 9 + b"\1"
+
+
+def test_discard_deletes_written_tables_only(spark, tmp_path):
+    kept, gone = (materialize(spark.range(10).repartition(3), label) for label in ("kept", "gone"))
+    discard(gone)
+    assert kept.count() == 10
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        gone.collect()
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 3
