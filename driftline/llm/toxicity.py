@@ -9,7 +9,7 @@ hide a short insult. Two weights and an offset turn both figures into a score.
 Only the labelled training texts are counted, exactly and by Spark, and no gram shares another's counts. A byte's
 log-ratio depends on the gram that ends there alone; a gram of which training knows only the end, or nothing, backs
 off to what is known of its shorter ends, so it needs no row of its own. With at most 2^BITS distinct training grams
-the counts of each order are broadcast. Beyond, the distinct grams of each chunk of texts are joined with a table of
+their counts are broadcast. Beyond, the distinct grams of each chunk of texts are joined with a table of
 their ratios. Both give the same figures.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.arrow import LOWER, text_chunks
-from driftline.session import materialize
+from driftline.session import discard, materialize
 
 #: Longest gram, the longest shared by the classes, and the discount.
 TOP, SHARED, DISCOUNT = 6, 3, 0.75
@@ -38,6 +38,9 @@ WINDOW = 24
 #: One training text in so many is kept from the counts while the weights are fitted on it, at most FIT_ROWS of them.
 FIT_EVERY, FIT_ROWS = 5, 20_000
 
+#: Most labels, and bytes of their ids as text, that are broadcast to the texts; more are joined by a shuffle.
+LABELS, LABEL_BYTES = 1 << 21, 64 << 20
+
 #: From this score on a text is called toxic.
 THRESHOLD = 0.7
 
@@ -95,50 +98,17 @@ def count_grams(texts: DataFrame) -> DataFrame:
 CLASSES = {"ratio": ("n0", "n1"), "fitted": ("m0", "m1")}
 
 
-def _ends(order: int, classes: tuple[str, str]) -> list:
-    """Continuation counts of an order: in how many distinct contexts its grams stand, by class; pooled when shared."""
-    any_class = " OR ".join(f"{c} > 0" for c in classes)
-    return [F.sum(F.expr(f"int({any_class if order <= SHARED else f'{c} > 0'})")).alias(c) for c in classes]
-
-
-def order_counts(counted: DataFrame, classes: tuple[str, str]) -> DataFrame:
-    """``order, context, gram, c0, c1, k0, k1``: counts of the grams of every order, and of their contexts.
+class Model:
+    """Counts of whole grams of both classes, and the log-ratio of any gram by the orders that follow from them.
 
-    A context is a gram without its last byte, and has the sums of its grams' counts and how many of its grams
-    each class holds. A context has at most 256 grams, and so has an ending: no group is large.
+    Only the grams and their counts travel; each worker derives the shorter orders from them once.
     """
-    level = counted.select("gram", *[F.col(c) for c in classes]).where(" OR ".join(f"{c} > 0" for c in classes))
-    parts = []
-    for order in range(TOP, 0, -1):
-        if order < TOP:
-            level = level.groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*_ends(order, classes))
-        named = [F.col(c).cast("long").alias(f"c{k}") for k, c in enumerate(classes)]
-        none = F.lit(0).cast("long")
-        parts.append(level.select(F.lit(order).alias("order"), F.lit(False).alias("context"), "gram", *named,
-                                  none.alias("k0"), none.alias("k1")))
-        parts.append(level.groupBy(F.expr("shiftright(gram, 8)").alias("gram")).agg(
-            *[F.sum(c).cast("long").alias(f"c{k}") for k, c in enumerate(classes)],
-            *[F.count_if(F.col(c) > 0).alias(f"k{k}") for k, c in enumerate(classes)]).select(
-            F.lit(order).alias("order"), F.lit(True).alias("context"), "gram", "c0", "c1", "k0", "k1"))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return whole
-
-
-class Model:
-    """The counts of every order, each table by ascending gram, and the log-ratio of any gram by them."""
 
     def __init__(self, rows: pa.Table) -> None:
-        order, context = rows["order"].to_numpy(), rows["context"].to_numpy()
-        gram = rows["gram"].to_numpy()
-        values = [rows[c].to_numpy() for c in ("c0", "c1", "k0", "k1")]
+        grams, *counts = [rows.column(i).to_numpy() for i in range(3)]
+        at = np.argsort(grams)
+        self.grams, self.counts = grams[at], np.stack([c[at] for c in counts])
         self.tables = {}
-        for k in range(1, TOP + 1):
-            for kind in (False, True):
-                own = np.flatnonzero((order == k) & (context == kind))
-                own = own[np.argsort(gram[own])]
-                self.tables[k, kind] = (gram[own], np.stack([v[own] for v in (values if kind else values[:2])]))
 
     def __getstate__(self) -> dict:
         """Steps between grams and small counts, compressed: the driver and every executor keep a broadcast on disk."""
@@ -146,14 +116,31 @@ class Model:
             raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes of all numbers together
             return pa.compress(raw, "zstd", asbytes=True), len(raw), values.shape
 
-        return {at: (packed(np.diff(grams, prepend=0)), packed(counts)) for at, (grams, counts) in self.tables.items()}
+        return {"grams": packed(np.diff(self.grams, prepend=0)), "counts": packed(self.counts)}
 
     def __setstate__(self, state: dict) -> None:
         def values(compressed: bytes, size: int, shape: tuple[int, ...]) -> np.ndarray:
             raw = np.frombuffer(pa.decompress(compressed, size, "zstd", asbytes=True), np.uint8)
             return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(shape)
 
-        self.tables = {at: (np.cumsum(values(*grams)), values(*counts)) for at, (grams, counts) in state.items()}
+        self.grams, self.counts, self.tables = np.cumsum(values(*state["grams"])), values(*state["counts"]), {}
+
+    def _derive(self) -> None:
+        """By order the counts of its grams, and of each context the sums and how many grams each class holds."""
+        grams, counts = self.grams, self.counts
+        for order in range(TOP, 0, -1):
+            self.tables[order, False] = grams, counts
+            first = np.flatnonzero(np.diff(grams >> 8, prepend=-1))
+            self.tables[order, True] = grams[first] >> 8, np.concatenate(
+                [np.add.reduceat(c, first, axis=1) if len(first) else c for c in (counts, (counts > 0).astype(np.int64))])
+            # The next order: in how many distinct contexts its grams stand, by class; pooled when shared.
+            ends = grams & ((1 << 8 * (order - 1)) - 1)
+            at = np.argsort(ends, kind="stable")
+            held = (counts > 0)[:, at].astype(np.int64)
+            if order - 1 <= SHARED:
+                held[:] = held.max(0)
+            first = np.flatnonzero(np.diff(ends[at], prepend=-1))
+            grams, counts = ends[at][first], np.add.reduceat(held, first, axis=1) if len(first) else held
 
     def _counts(self, order: int, context: bool, asked: np.ndarray) -> np.ndarray:
         """The counts of each of ``asked``, zeros where training has none."""
@@ -174,6 +161,8 @@ class Model:
 
     def ratios(self, asked: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of the last byte of each of ``asked``, in ascending order."""
+        if not self.tables:
+            self._derive()
         logs = np.log(np.maximum(self._probabilities(TOP, asked.astype(np.int64)), 1e-12))
         return (logs[1] - logs[0]).astype(np.float32)
 
@@ -187,8 +176,13 @@ def gram_ratios(counted: DataFrame) -> DataFrame:
     both = tuple(CLASSES.values())
     levels = {TOP: counted.select("gram", "n0", "n1", "m0", "m1")}
     for order in range(TOP - 1, 0, -1):
-        counts = [c for classes in both for c in _ends(order, classes)]
-        levels[order] = levels[order + 1].groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*counts)
+        # Continuation counts: in how many distinct contexts the shorter gram stands, by class; pooled when shared.
+        longer = levels[order + 1]
+        counts = []
+        for classes in both:
+            any_class = " OR ".join(f"{c} > 0" for c in classes)
+            counts += [F.sum(F.expr(f"int({any_class if order <= SHARED else f'{c} > 0'})")).alias(c) for c in classes]
+        levels[order] = longer.groupBy(F.expr(f"gram & {(1 << 8 * order) - 1}L").alias("gram")).agg(*counts)
     names = [c for classes in both for c in classes]
     known = None  # probabilities of the grams that are one byte shorter
     for order in range(1, TOP + 1):
@@ -296,15 +290,17 @@ class Ratios:
     """The ratios by counts of training grams: broadcast if there are at most 2^bits grams, else joined."""
 
     def __init__(self, counted: DataFrame, bits: int) -> None:
-        self.counted, self.small = counted, counted.count() <= 1 << bits
+        self.counted, self.small, self.sent = counted, counted.count() <= 1 << bits, None
 
     def figures(self, texts: DataFrame, ratio: str = "ratio") -> DataFrame:
         """``texts`` without ``text`` and with ``mean`` and ``peak``."""
         others = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
         schema = f"{others}, mean double, peak double"
         if self.small:
-            model = Model(order_counts(self.counted, CLASSES[ratio]).toArrow())
-            return texts.mapInArrow(_figures(texts.sparkSession.sparkContext.broadcast(model)), schema)
+            one, other = CLASSES[ratio]
+            model = Model(self.counted.select("gram", one, other).where(f"{one} > 0 OR {other} > 0").toArrow())
+            self.sent = texts.sparkSession.sparkContext.broadcast(model)
+            return texts.mapInArrow(_figures(self.sent), schema)
         whole = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
         chunks = materialize(texts.mapInArrow(_numbered, f"{whole}, chunk bigint"), "chunks")
         pairs = materialize(chunks.select("chunk", "text").mapInArrow(
@@ -355,19 +351,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     last = texts.select("doc_id").join(known, "doc_id").select(place.alias("place")).where("place IS NOT NULL").orderBy(
         "place").limit(fit_rows).agg(F.max("place")).first()[0]
     in_fit = F.lit(False) if last is None else F.coalesce(place <= F.lit(last), F.lit(False))
-    labelled = texts.join(known, "doc_id", "left").withColumn("kind", F.when(F.col("toxic").isNull(), _UNLABELLED).otherwise(
-        F.col("toxic") + F.when(in_fit, _FITTED).otherwise(0)))
-    counted = count_grams(labelled.where(F.col("kind") < _UNLABELLED))
+    many, wide = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("doc_id").cast("string"))), F.lit(0))).first()
+    sent = F.broadcast(known) if many <= LABELS and wide <= LABEL_BYTES else known
+    # The training texts are read twice, and only they move.
+    labelled = materialize(texts.join(sent, "doc_id").withColumn(
+        "kind", F.col("toxic") + F.when(in_fit, _FITTED).otherwise(0)), "training")
+    counted = count_grams(labelled)
     have = counted.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n0", "n1", "m0", "m1")]).first()
 
     scored = texts.withColumn("held_out", held(F.col("doc_id")))
     if not have["n0"] or not have["n1"]:
-        share = texts.join(known, "doc_id").agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+        share = labelled.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+        discard(labelled)
         done = scored.drop("text").withColumns({"mean": F.lit(0.0), "peak": F.lit(0.0), "score": F.lit(float(share))})
     else:
         ratios = Ratios(counted, bits)
-        sample = ratios.figures(labelled.where(F.col("kind").between(_FITTED, _UNLABELLED - 1)).select(
+        sample = ratios.figures(labelled.where(F.col("kind") >= _FITTED).select(
             "doc_id", "toxic", "text"), "fitted").toArrow()
+        if ratios.sent is not None:
+            ratios.sent.destroy()
+        discard(labelled)
         x = np.column_stack([sample["mean"].to_numpy(), sample["peak"].to_numpy()])
         y = sample["toxic"].to_numpy().astype(float)
         if have["m0"] and have["m1"] and 0 < y.sum() < len(y):
