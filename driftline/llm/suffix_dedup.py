@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.arrow import flat, mixed, powers, text_chunks
-from driftline.session import materialize
+from driftline.session import discard, materialize
 
 #: Bytes of a string that counts as repeated, and of an anchor inside it.
 LENGTH, ANCHOR = 200, 64
@@ -365,6 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = materialize(
         texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w_id"]) & (texts["print"] == wanted["w_print"]))
         .select("doc_id", "print", "text", "pieces").mapInArrow(_cut(length), f"{place}, digest binary, string binary"), "pieces")
+    discard(found)
 
     strings = materialize(cut.groupBy("anchor", "digest").agg(F.max("string").alias("string"), F.count(F.lit(1)).alias("n")),
                           "strings")
@@ -380,6 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = windows.groupBy("mark").agg(F.sum("n").alias("places")).where("places > 1").select("mark")
     told = windows.join(marks, "mark", "left_semi").select("digest", "first", (F.col("first") + 1).alias("end"))
     spans = materialize(built.union(told).union(whole), "repeats")
+    discard(strings)
 
     runs = cut.select(*row, "start", "digest").join(spans, "digest").select(
         *row, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end"))
