@@ -36,7 +36,7 @@ def stream_trace_ingest(spark, sf):
     repeated = _events(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("_copy")
     out = _folder(spark, "stream-events")
     jobs.stream_trace_ingest(repeated, f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    rows = spark.read.schema("event_id bigint, session_id string, event_time timestamp").parquet(f"{out}/data").drop("batch_id")
+    rows = spark.read.schema("event_id bigint, session_id string, event_time timestamp").parquet(f"{out}/data").drop("batch_id", "session_bucket")
     return rows.withColumn("event_time", micros(F.col("event_time")))
 
 
@@ -50,6 +50,17 @@ def stream_net_change(spark, sf):
     return flat(jobs.read_net_change(spark, f"{out}/data", ["o_orderkey"], columns))
 
 
+@catalog.add("stream_net_change_compacted", net_sql(I.change_log_sql()))
+def stream_net_change_compacted(spark, sf):
+    """The same from a base that holds every batch."""
+    changes = I.change_rows(_stream(spark, sf, "orders"))
+    columns = ["o_custkey", "o_orderstatus", "o_totalprice"]
+    out = _folder(spark, "stream-net")
+    jobs.stream_net_change(changes, ["o_orderkey"], columns, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    jobs.compact_net_change(spark, f"{out}/data", ["o_orderkey"])
+    return flat(jobs.read_net_change(spark, f"{out}/data", ["o_orderkey"], columns))
+
+
 @catalog.add("stream_event_counts", """SELECT epoch_us(date_trunc('day', ts)) AS window_start, 's' || user_id AS session_id, count(*) AS events FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
 def stream_event_counts(spark, sf):

@@ -165,3 +165,40 @@ def test_discard_deletes_written_tables_only(spark, tmp_path):
     with pytest.raises(ValueError):
         discard(spark.read.parquet(str(tmp_path / "own")))
     assert spark.read.parquet(str(tmp_path / "own")).count() == 3
+
+
+def test_compaction_keeps_net_changes_and_bounds_the_files(spark, tmp_path, listed):
+    """Read after every batch and every compaction; the folders of two compactions at most are left."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    late_first = sorted(TRUTH, key=lambda c: (c[1] == 1, c))
+    schema, data = log(spark, TRUTH).schema, str(out / "d")
+    for turn, end in enumerate((5, 10, 15, len(late_first))):
+        log(spark, late_first[5 * turn:end]).coalesce(1).write.mode("append").parquet(str(source))
+        stream = jobs.read_stream(spark, str(source), schema, max_files=1)
+        jobs.stream_net_change(stream, ["id"], ["v"], data, str(out / "c")).awaitTermination()
+        expected = listed(N.net_flat(N.net_change(log(spark, late_first[:end]), ["id"]), ["id"]))
+        assert listed(N.net_flat(jobs.read_net_change(spark, data, ["id"], ["v"]), ["id"])) == expected
+        if turn:
+            assert jobs.compact_net_change(spark, data, ["id"]) == turn
+            assert jobs.compact_net_change(spark, data, ["id"]) == turn
+            assert listed(N.net_flat(jobs.read_net_change(spark, data, ["id"], ["v"]), ["id"])) == expected
+    assert sorted(p.name for p in (out / "d-base").iterdir()) == ["upto=2", "upto=3"]
+    assert sorted(p.name for p in (out / "d").iterdir() if p.name.startswith("batch")) == ["batch_id=3"]
+
+
+def test_ingest_reads_the_stored_rows_of_its_buckets_and_ids(spark, tmp_path, listed):
+    """Null ids, the same id in other sessions, and repeats in later batches."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    batches = [[("a", 1), ("b", 1), (None, 1), ("a", None)], [("a", 1), ("a", None), (None, 1), ("c", 7)], [("c", None), ("b", 2)]]
+    for rows in [*batches, batches[0], [(None, None)], [(None, None)]]:
+        spark.createDataFrame(rows, "session_id string, event_id long").coalesce(1).write.mode("append").parquet(str(source))
+        stream = jobs.read_stream(spark, str(source), "session_id string, event_id long", max_files=1)
+        jobs.stream_trace_ingest(stream, str(out / "d"), str(out / "c"), buckets=4).awaitTermination()
+    stored = spark.read.schema("session_id string, event_id long").parquet(str(out / "d")).select("session_id", "event_id")
+    assert sorted(map(repr, map(tuple, stored.collect()))) == sorted(
+        {repr(r) for rows in batches for r in rows} | {repr((None, None))})
+    batch = spark.createDataFrame([("c", 7)], "session_id string, event_id long").withColumn(
+        "session_bucket", store.session_bucket(F.col("session_id"), 4))
+    plan = spark.read.schema("session_id string, event_id long, batch_id bigint, session_bucket int").parquet(
+        str(out / "d")).where(jobs._stored_like(batch))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(session_bucket" in plan and "GreaterThanOrEqual(event_id,7)" in plan
