@@ -33,7 +33,7 @@ def _stored_like(batch: DataFrame) -> Column:
     return F.col("session_bucket").isin(seen["buckets"]) & within
 
 
-def stream_trace_ingest(events: DataFrame, out: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+def stream_trace_ingest(events: DataFrame, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Store each event once, however often and however late an export brings it.
 
     A batch writes what is not stored yet under its batch id and the hash bucket of the session; a
