@@ -57,15 +57,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, free_shuffle: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a plan reads the same non-deterministic partitioning twice; the written
-    table survives lost executors.
+    table survives lost executors. With ``free_shuffle`` the shuffle files of the write go
+    when it ends, not when the driver's garbage collector finds them unused.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true" if free_shuffle else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -202,3 +202,11 @@ def test_ingest_reads_the_stored_rows_of_its_buckets_and_ids(spark, tmp_path, li
     plan = spark.read.schema("session_id string, event_id long, batch_id bigint, session_bucket int").parquet(
         str(out / "d")).where(jobs._stored_like(batch))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(session_bucket" in plan and "GreaterThanOrEqual(event_id,7)" in plan
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    rows = spark.range(1000).repartition(3, "id")
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    written = materialize(rows, "freed", free_shuffle=True)
+    assert written.count() == rows.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
