@@ -364,11 +364,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = wanted.toDF("w_id", "w_print", "pieces")
     cut = materialize(
         texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["w_id"]) & (texts["print"] == wanted["w_print"]))
-        .select("doc_id", "print", "text", "pieces").mapInArrow(_cut(length), f"{place}, digest binary, string binary"), "pieces")
+        .select("doc_id", "print", "text", "pieces").mapInArrow(_cut(length), f"{place}, digest binary, string binary"), "pieces", free_shuffle=True)
     discard(found)
 
     strings = materialize(cut.groupBy("anchor", "digest").agg(F.max("string").alias("string"), F.count(F.lit(1)).alias("n")),
-                          "strings")
+                          "strings", free_shuffle=True)
     sized = strings.join(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")), "anchor")
     # The only string of its collection, with several copies: each of its windows is repeated.
     alone = (F.col("distinct") == 1) & (F.col("n") > 1)
@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = crowded.mapInArrow(_windows(length), "mark binary, digest binary, first int, n bigint")
     marks = windows.groupBy("mark").agg(F.sum("n").alias("places")).where("places > 1").select("mark")
     told = windows.join(marks, "mark", "left_semi").select("digest", "first", (F.col("first") + 1).alias("end"))
-    spans = materialize(built.union(told).union(whole), "repeats")
+    spans = materialize(built.union(told).union(whole), "repeats", free_shuffle=True)
     discard(strings)
 
     runs = cut.select(*row, "start", "digest").join(spans, "digest").select(
