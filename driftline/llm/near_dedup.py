@@ -127,14 +127,12 @@ def _full(width: int):
     return run
 
 
-def _unlike(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    if labels is None:
-        return pairs
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs with their components so far, those within one left out."""
     for end in ("a", "b"):
         own = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
         pairs = pairs.join(own, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    return pairs.where("label_a <> label_b").drop("label_a", "label_b")
+    return pairs.where("label_a <> label_b")
 
 
 class _Links:
@@ -142,7 +140,7 @@ class _Links:
 
     def __init__(self, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> None:
         self.classes, self.texts, self.width, self.percent = classes, texts, width, percent
-        self.links: DataFrame | None = None
+        self.full: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
@@ -158,12 +156,12 @@ class _Links:
         bar = F.when((F.size("u") < SKETCH), F.lit(self.percent / 100 - 1e-9)).otherwise(F.lit(_common(self.percent) / SKETCH - 1e-9))
         return pairs.where(F.col("est") >= bar).select("a", "b", "est")
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """``cls, shingles``: the full sets of the classes ``wanted``."""
+    def read_sets(self, wanted: DataFrame) -> None:
+        """Take the full sets, ``cls, shingles``, of all classes that pairs will be made of; texts move once."""
         needed = self.classes.join(wanted, "cls", "left_semi").select("cls", "rep_id")
         kept = self.texts.join(needed, self.texts["doc_id"].eqNullSafe(needed["rep_id"])).select("cls", "text")
-        return materialize(kept.mapInArrow(_full(self.width), "cls binary, shingles array<bigint>")
-                           .dropDuplicates(["cls"]), "shingles")
+        self.full = materialize(kept.mapInArrow(_full(self.width), "cls binary, shingles array<bigint>")
+                                .dropDuplicates(["cls"]), "shingles")
 
     def prefix_pairs(self, wanted: DataFrame) -> DataFrame:
         """``a, b`` of the classes in ``wanted`` (``cls, label``) that can be alike though their labels differ.
@@ -171,7 +169,7 @@ class _Links:
         Shingles are ordered by their frequency among these classes. At the first one that two sets share,
         what follows it in the shorter rest must suffice for the similarity; no linked pair is lost.
         """
-        posted = self.sets(wanted).select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+        posted = self.full.join(wanted, "cls", "left_semi").select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
         counted = posted.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
         shared = posted.join(counted, "value")
         alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
@@ -186,17 +184,25 @@ class _Links:
             F.col("cls").alias("a"), "b")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Link the pairs whose full sets are alike, and join their components."""
-        pairs = materialize(pairs.select("a", "b"), "pairs")
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        full = self.sets(ends)
+        """Link the pairs whose full sets are alike, and join their components.
+
+        New links join whole components, so only their labels go through the rounds again.
+        """
+        pairs = pairs.select("a", "b")
         for end in ("a", "b"):
-            pairs = pairs.join(full.select(F.col("cls").alias(end), F.col("shingles").alias(f"f_{end}")), end)
+            pairs = pairs.join(self.full.select(F.col("cls").alias(end), F.col("shingles").alias(f"f_{end}")), end)
         common = F.size(F.array_intersect("f_a", "f_b"))
-        links = pairs.withColumn("common", common).where(
-            100 * F.col("common") >= self.percent * (F.size("f_a") + F.size("f_b") - F.col("common"))).select("a", "b")
-        self.links = materialize(links if self.links is None else self.links.union(links), "links")
-        self.labels = materialize(connected_components(self.links), "components")
+        links = materialize(pairs.withColumn("common", common).where(
+            100 * F.col("common") >= self.percent * (F.size("f_a") + F.size("f_b") - F.col("common"))).select("a", "b"), "links")
+        if self.labels is None:
+            self.labels = materialize(connected_components(links), "components")
+        elif not links.isEmpty():
+            roots = materialize(connected_components(_labelled(links, self.labels).select(
+                F.col("label_a").alias("a"), F.col("label_b").alias("b"))), "roots").toDF("old", "root")
+            moved = self.labels.join(roots, F.col("label") == F.col("old"), "left").select(
+                "node", F.coalesce("root", "label").alias("label"))
+            fresh = roots.toDF("node", "label").join(self.labels, "node", "left_anti")
+            self.labels = materialize(moved.union(fresh), "components")
 
 
 def _keys(classes: DataFrame, percent: int) -> DataFrame:
@@ -246,16 +252,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
     # Of a long list, the class with the fewest values of its own meets all others: in a group of near copies
     # it is the one closest to what they were made from.
-    long = materialize(lists.where(F.col("size") > SHORT_LIST).select("value", "cls", "alone"), "long-lists")
+    # A list was written by one task; its rows are spread by their class before they are read again and again.
+    long = materialize(lists.where(F.col("size") > SHORT_LIST).select("value", "cls", "alone").repartition("cls"), "long-lists")
     least = long.groupBy("value").agg(F.min_by("cls", F.struct("alone", "cls")).alias("pivot"))
     starred = long.join(least, "value").where("pivot <> cls").select(
         F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
     proposed = materialize(found.estimated(paired.union(starred).distinct()), "proposed")
+    found.read_sets(proposed.select(F.col("a").alias("cls")).union(proposed.select("b")).union(long.select("cls")).distinct())
     # First each class with its likeliest smaller one: that joins most groups, and spares most other pairs.
     found.verify(proposed.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"))
-    rest = _unlike(proposed, found.labels)
-    if not rest.isEmpty():
-        found.verify(rest)
+    found.verify(_labelled(proposed, found.labels))
 
     # Long lists that still hold several components: further pivots, then the prefix join of what is left.
     for turn in range(PIVOTS + 1):
@@ -275,9 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
         else:
             pairs = found.prefix_pairs(open_.select("cls", "label").distinct())
-        pairs = materialize(found.estimated(pairs.distinct()), "proposed")
-        if not pairs.isEmpty():
-            found.verify(pairs)
+        found.verify(found.estimated(pairs.distinct()))
 
     # The component's smallest id for each class, then for each row.
     told = classes.join(found.labels.withColumnRenamed("node", "cls"), "cls", "left").select(
