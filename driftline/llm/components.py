@@ -33,7 +33,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Repeats, at most one for each edge and direction, go with the next step's.
+        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v"), "large-star")
         discard(edges)
         hubs = _least(large)
