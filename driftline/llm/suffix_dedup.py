@@ -29,13 +29,13 @@ from driftline.session import discard, materialize
 #: Bytes of a string that counts as repeated, and of an anchor inside it.
 LENGTH, ANCHOR = 200, 64
 
-#: Symbols of the collections that a task builds together.
-SYMBOLS = 2 << 20
+#: Symbols of the collections that a task builds together; more no longer fit a processor's cache.
+SYMBOLS = 1 << 18
 
 #: Distinct pieces of an anchor that are one collection. Beyond, windows are compared by their digests.
 COLLECTION = 2048
 
-_CHUNK = 2 << 20
+_CHUNK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -93,30 +93,48 @@ class _File:
     """A column on disk, read and written from front to back. It goes with the task that made it."""
 
     def __init__(self, kind) -> None:
-        self.kind, self.now, self.next = kind, tempfile.TemporaryFile(), tempfile.TemporaryFile()
+        self.kind, self.now, self.next, self.rows = kind, tempfile.TemporaryFile(), tempfile.TemporaryFile(), 0
 
-    def read(self) -> np.ndarray:
+    def read(self, spare: int = 0) -> np.ndarray:
+        """The column, with ``spare`` zeros behind it."""
+        column = np.empty(self.rows + spare, self.kind)
         self.now.seek(0)
-        return np.frombuffer(self.now.read(), self.kind)
+        self.now.readinto(column[:self.rows].view(np.uint8))
+        column[self.rows:] = 0
+        return column
 
     def write(self, column: np.ndarray) -> None:
+        """Columns only grow, so the one before the last is written over."""
         self.next.seek(0)
-        self.next.truncate()
         self.next.write(column.astype(self.kind, copy=False).data)
-        self.now, self.next = self.next, self.now
+        self.now, self.next, self.rows = self.next, self.now, len(column)
 
     def close(self) -> None:
         self.now.close()
         self.next.close()
 
 
-def _lows(column: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The least of ``column[first..last]`` for each pair."""
-    edges = np.empty(2 * len(first), np.int64)
-    edges[0::2], edges[1::2] = first, last + 1
-    if edges.max() < len(column):
-        return np.minimum.reduceat(column, edges)[::2]
-    return np.minimum.reduceat(np.append(column, column[:1]), edges)[::2]
+def _same_symbol(bwt: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``rows``: its place among all rows by symbol, and the next row before and after it with its symbol, else -1.
+
+    Only runs of equal symbols are sorted; the transform of strings that are much alike has few.
+    """
+    edges = np.flatnonzero(bwt[1:] != bwt[:-1])
+    starts = np.zeros(len(edges) + 1, np.int64)
+    starts[1:] = edges + 1
+    sizes = np.diff(starts, append=len(bwt))
+    heads = bwt[starts]
+    order = np.argsort(heads, kind="stable")
+    turn = np.empty(len(order), np.int32)
+    turn[order] = np.arange(len(order), dtype=np.int32)
+    ends = np.cumsum(sizes[order])
+    run = np.searchsorted(starts, rows, "right") - 1
+    inside, turn = rows - starts[run], turn[run]
+    earlier, later = order[turn - 1], order[np.minimum(turn + 1, len(order) - 1)]
+    before = np.where((turn > 0) & (heads[earlier] == heads[run]), starts[earlier] + sizes[earlier] - 1, -1)
+    after = np.where((turn + 1 < len(order)) & (heads[later] == heads[run]), starts[later], -1)
+    return (ends[turn] - sizes[run] + inside, np.where(inside > 0, rows - 1, before),
+            np.where(inside + 1 < sizes[run], rows + 1, after))
 
 
 def suffix_order(body: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,49 +148,44 @@ def suffix_order(body: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     m, sizes = len(edges) - 1, np.diff(edges)
     codes = np.unique(body, return_inverse=True)[1].astype(np.uint8) + np.uint8(1)
     bwt_file, lcp_file = _File(np.uint8), _File(np.uint16)
-    rows = np.arange(m)
     bwt_file.write(np.where(sizes > 0, codes[np.maximum(edges[1:] - 1, 0)] if len(codes) else 0, 0))
     lcp_file.write(np.zeros(m, np.uint16))
-    live = np.flatnonzero(sizes > 0)
+    # Strings that go on, in the order of the rows of their suffixes so far.
+    live = rows = np.flatnonzero(sizes > 0)
     length = 0
     try:
         while len(live):
-            bwt, lcp = bwt_file.read(), lcp_file.read()
-            order = np.argsort(bwt, kind="stable")
-            place = np.empty(len(bwt), np.int32)
-            place[order] = np.arange(len(bwt), dtype=np.int32)
-            ends = int(np.count_nonzero(bwt == 0))
-            live = live[np.argsort(rows[live])]
-            tail = rows[live]
-            symbol, sorted_at = bwt[tail], place[tail].astype(np.int64)
-            # Neighbours with the same first symbol, by the rows of what follows it.
-            before = order[sorted_at - 1]
-            has_before = (sorted_at > 0) & (bwt[before] == symbol)
-            after = order[np.minimum(sorted_at + 1, len(bwt) - 1)]
-            has_after = (sorted_at + 1 < len(bwt)) & (bwt[after] == symbol)
-            # A range that is empty of such a neighbour is the single row of the suffix, and its value isn't used.
-            lows = _lows(lcp, np.concatenate([np.where(has_before, before + 1, tail), np.where(has_after, tail + 1, tail)]),
-                         np.concatenate([tail, np.where(has_after, after, tail)]))
-            own = np.where(has_before, lows[:len(live)] + 1, 0)
-            below = np.where(has_after, lows[len(live):] + 1, 0)
-            goes = m + sorted_at - ends
-            rows[live] = goes
+            bwt, lcp = bwt_file.read(), lcp_file.read(spare=1)
+            size, count = len(bwt), len(live)
+            at, before, after = _same_symbol(bwt, rows)
+            # New suffixes come in the order of the live rows among all rows by symbol.
+            which = np.argsort(at)
+            has_before, has_after = before >= 0, after >= 0
+            # The least from behind the neighbour before up to the row, and from there up to the neighbour after; what
+            # a row without such a neighbour gets isn't used.
+            cuts = np.empty(3 * count, np.int64)
+            cuts[0::3] = np.where(has_before, before, rows - 1) + 1
+            cuts[1::3] = rows + 1
+            cuts[2::3] = np.where(has_after, after, rows) + 1
+            lows = np.minimum.reduceat(lcp, cuts)
+            own = np.where(has_before, lows[0::3] + np.uint16(1), np.uint16(0))[which]
+            below = np.where(has_after, lows[1::3] + np.uint16(1), np.uint16(0))[which]
+            goes = at[which] + (m - size + np.count_nonzero(bwt))
+            live = live[which]
             length += 1
             # What stands before the new suffix.
-            left = edges[live + 1] - 1 - length
-            fresh = np.where(sizes[live] > length, codes[np.maximum(left, 0)], 0)
-            size = len(bwt) + len(live)
-            old = np.ones(size, bool)
+            goes_on = sizes[live] > length
+            fresh = np.where(goes_on, codes[np.maximum(edges[live + 1] - 1 - length, 0)], np.uint8(0))
+            old = np.ones(size + count, bool)
             old[goes] = False
-            wider_bwt, wider_lcp = np.empty(size, np.uint8), np.empty(size, np.uint16)
-            wider_bwt[old], wider_lcp[old] = bwt, lcp
+            wider_bwt, wider_lcp = np.empty(size + count, np.uint8), np.empty(size + count, np.uint16)
+            wider_bwt[old], wider_lcp[old] = bwt, lcp[:size]
             wider_bwt[goes], wider_lcp[goes] = fresh, own
-            follows = goes + 1 < size
-            follows[follows] &= old[goes[follows] + 1]  # a new suffix has its own value
+            follows = np.flatnonzero(old[np.minimum(goes + 1, size + count - 1)])  # a new suffix has its own value
             wider_lcp[goes[follows] + 1] = below[follows]
             bwt_file.write(wider_bwt)
             lcp_file.write(wider_lcp)
-            live = live[sizes[live] > length]
+            live, rows = live[goes_on], goes[goes_on]
         return bwt_file.read(), lcp_file.read()
     finally:
         bwt_file.close()

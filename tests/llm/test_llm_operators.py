@@ -48,6 +48,20 @@ def test_windows_of_a_collection(seed):
     assert got.tolist() == [k + size <= len(s) and seen[s[k:k + size]] > 1 for s in strings for k in range(len(s))]
 
 
+def test_rows_by_symbol_are_placed_by_runs():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        bwt = np.repeat(rng.integers(0, 4, 12), rng.integers(1, 6, 12)).astype(np.uint8)
+        rows = np.flatnonzero(rng.random(len(bwt)) < 0.4)
+        at, before, after = suffix_dedup._same_symbol(bwt, rows)
+        order = sorted(range(len(bwt)), key=lambda i: (bwt[i], i))
+        for k, row in enumerate(rows.tolist()):
+            alike = [i for i in range(len(bwt)) if bwt[i] == bwt[row]]
+            assert order[at[k]] == row
+            assert before[k] == max((i for i in alike if i < row), default=-1)
+            assert after[k] == min((i for i in alike if i > row), default=-1)
+
+
 def without_repeats(texts, size):
     bodies = [(t or "").encode() for t in texts]
     seen = Counter(b[k:k + size] for b in bodies for k in range(len(b) - size + 1))
