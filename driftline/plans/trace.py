@@ -315,13 +315,16 @@ SELECT execution_order, execution_order AS event_id,
     '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g') AS sql_text
 FROM (SELECT doc_id, coalesce(text, '') AS text, 2 * row_number() OVER (ORDER BY doc_id) - 1 AS execution_order FROM documents)""")
 def read_statements(spark, sf):
-    """One script file of a statement per document, its text in quotes over many lines; between them ``;`` and ``GO``."""
+    """One script of a statement per document, its text in quotes over many lines; between them ``;`` and ``GO``.
+
+    Many tasks write its parts, each the documents between two ids."""
     path = f"{shared_folder(spark).rstrip('/')}/script-{uuid.uuid4().hex}"
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("'"), F.lit("''"))
-    I.table(spark, sf, "documents").coalesce(1).sortWithinPartitions("doc_id").select(F.concat(
+    order = ["doc_id", F.xxhash64("text")]
+    I.table(spark, sf, "documents").repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat(
         F.lit("SELECT '"), text, F.lit("' AS [a;b], \"x;y\" /* ; */ -- ;\nFROM t"), F.col("doc_id").cast("string"),
         F.lit(";\n go\t")).alias("value")).write.text(path)
-    return scripts.read_statements(spark, path).select("event_id", "execution_order", "sql_text")
+    return scripts.read_statements(spark, path, parts=True).select("event_id", "execution_order", "sql_text")
 
 
 # --- sinks --------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.text import trim_blank
@@ -91,6 +91,15 @@ def _composed(runs: pa.Table) -> pa.Table:
                      "state": pa.array(list(starts.values()), pa.int32())})
 
 
+def _one_script(lines: DataFrame) -> DataFrame:
+    """The lines of a folder's files as those of one file; its ranges are numbered by file and place."""
+    ranges = lines.select(F.regexp_replace("file", "[^/]*$", "").alias("folder"), "file", "block").distinct()
+    order = Window.partitionBy("folder").orderBy("file", "block")
+    numbered = ranges.withColumn("number", F.row_number().over(order).cast("bigint"))
+    return lines.join(F.broadcast(numbered), ["file", "block"]).select(
+        F.col("folder").alias("file"), F.col("number").alias("block"), "pos", "line")
+
+
 _FRAGMENTS = "file string, block bigint, pos bigint, fragment string, ends boolean"
 
 
@@ -138,18 +147,21 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def read_statements(spark: SparkSession, path: str) -> DataFrame:
+def read_statements(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """``file, event_id, execution_order, sql_text``: the statements of script files of any size, in order.
 
     Statements end at ``;`` and at ``GO`` alone on a line, but not inside single or double quotes, brackets and comments,
     which may go over lines; a quote or closing bracket doubled inside its own stays inside. Statements are numbered by position within
     their file before blank ones are dropped. An open quote or comment at the end of a file reaches to its end.
     Files must be uncompressed to be read in ranges of ``spark.sql.files.maxPartitionBytes``; a statement is put together
-    in one task.
+    in one task. With ``parts`` the files of a folder are one script in the order of their names, as Spark writes
+    a table: each goes on where the one before ends, on a new line.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    if parts:
+        lines = _one_script(lines)
     runs = lines.mapInArrow(_transitions, "file string, block bigint, pos bigint, ends array<int>")
     starts = runs.groupBy("file").applyInArrow(_composed, "file string, block bigint, state int")
     placed = lines.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "pos")

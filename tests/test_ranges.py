@@ -119,6 +119,24 @@ def test_scripts_in_ranges(spark, ranges, tmp_path, size):
     assert sorted(map(tuple, got.select("file", "execution_order", "sql_text").collect())) == sorted(map(tuple, trimmed.collect()))
 
 
+@pytest.mark.parametrize("size", [7, 1 << 20])
+def test_a_script_in_parts(spark, ranges, tmp_path, size):
+    rng = random.Random(size)
+    for _ in range(4):
+        folder = tmp_path / f"s{rng.random()}"
+        folder.mkdir()
+        parts = ["\n".join("".join(rng.choice(["a", ";", "'", "[", "]", "/*", "*/", "é", "\nGO\n"]) for _ in range(rng.randint(0, 9)))
+                           for _ in range(rng.randint(0, 4))) for _ in range(5)]
+        for number, text in enumerate(parts):
+            (folder / f"part-{number:05d}.txt").write_text(text + "\n" * bool(text), newline="")
+        whole = sequential("".join(text + "\n" * bool(text) for text in parts))
+        ranges(size)
+        got = read_statements(spark, str(folder), parts=True)
+        trimmed = spark.createDataFrame([(i + 1, s) for i, s in enumerate(whole)], "execution_order long, sql_text string").withColumn(
+            "sql_text", trim_blank(F.col("sql_text"))).where("sql_text <> ''")
+        assert sorted(map(tuple, got.select("execution_order", "sql_text").collect())) == sorted(map(tuple, trimmed.collect()))
+
+
 def test_lexer():
     assert lex_line("a;'b;c';d", 0) == ([1, 7], 0)
     assert lex_line("it;", 1) == ([], 1) and lex_line("it';", 1) == ([3], 0)
