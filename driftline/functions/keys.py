@@ -80,7 +80,7 @@ def natural_key(fields: Column) -> Column:
 
 def row_key(fields: Column) -> Column:
     """The natural key, else a short digest of all fields: a label, which different rows may share."""
-    entries = F.array_sort(F.map_entries(fields), _by_name)
+    entries = F.array_sort(F.map_entries(fields))
     text = F.concat_ws("", F.transform(
         entries, lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"]["val"], F.lit("NULL")), F.lit(";"))))
     return F.coalesce(natural_key(fields), F.upper(F.substring(sha256_hex(text), 1, 16)))
@@ -88,10 +88,6 @@ def row_key(fields: Column) -> Column:
 
 def row_digest(fields: Column) -> Column:
     """Full digest of all fields with their kinds; nulls and separators inside values are told apart."""
-    entries = F.array_sort(F.map_entries(fields), _by_name)
+    entries = F.array_sort(F.map_entries(fields))
     return F.unhex(sha256_hex(F.to_json(F.transform(entries, lambda e: F.array(
         e["key"], e["value"]["kind"], e["value"]["val"])))))
-
-
-def _by_name(left: Column, right: Column) -> Column:
-    return F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1).otherwise(0)

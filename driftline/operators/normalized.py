@@ -9,6 +9,7 @@ from driftline.functions.keys import natural_key, row_digest, row_key
 from driftline.functions.text import column_pattern_regex
 from driftline.functions.values import difference_type_sql, normalize_value, value_equal_sql
 from driftline.model import DEFAULT_EXCLUDED_COLUMNS, DEFAULT_TOLERANCE_MICROS
+from driftline.session import materialize
 
 
 def is_excluded(field, excluded=DEFAULT_EXCLUDED_COLUMNS, patterns=()):
@@ -50,13 +51,14 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
     def counted(df: DataFrame, l_n: int, r_n: int) -> DataFrame:
         natural = natural_key(F.col("fields"))
         rows = df.select("table_name", natural.alias("_key"), row_digest(F.col("fields")).alias("_digest"),
-                         row_key(F.col("fields")).alias("row_key"), "ordinal")
+                         F.when(natural.isNull(), row_key(F.col("fields"))).alias("_label"), "ordinal")
         return rows.select("table_name", F.col("_key").isNotNull().alias("_natural"),
-                           F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest")).alias("_row"), "_digest", "row_key",
+                           F.coalesce(F.encode("_key", "UTF-8"), F.col("_digest")).alias("_row"), "_digest", "_label",
                            F.lit(l_n).alias("l_n"), F.lit(r_n).alias("r_n"), "ordinal")
 
-    rows = counted(left, 1, 0).unionByName(counted(right, 0, 1)).groupBy(*key, "_digest").agg(
-        (F.sum("l_n") - F.sum("r_n")).alias("more"), F.any_value("row_key").alias("row_key"),
+    # The label follows from the digest. As a key of the groups it leaves only numbers to be added up, so no row is sorted.
+    rows = counted(left, 1, 0).unionByName(counted(right, 0, 1)).groupBy(*key, "_digest", "_label").agg(
+        (F.sum("l_n") - F.sum("r_n")).alias("more"),
         F.max(F.when(F.col("l_n") == 1, F.col("ordinal"))).alias("l_ordinal"),
         F.max(F.when(F.col("r_n") == 1, F.col("ordinal"))).alias("r_ordinal")).where("more <> 0")
     on_left = F.col("more") > 0
@@ -64,10 +66,13 @@ def compare_normalized(left: DataFrame, right: DataFrame, table: str | None = No
     place = Window.partitionBy(*key, "_left").orderBy(F.col("ordinal").desc_nulls_last(), "_digest")
     of = lambda mask, column: F.max(F.when(mask, column))
     pairs = rows.repartition(*key).withColumn("occurrence", F.row_number().over(place)).groupBy(*key, "occurrence").agg(
-        F.any_value("row_key").alias("row_key"), of(F.col("_left"), F.col("_digest")).alias("l_digest"),
+        F.coalesce(F.any_value("_label"), F.col("_row").cast("string")).alias("row_key"), of(F.col("_left"), F.col("_digest")).alias("l_digest"),
         of(~F.col("_left"), F.col("_digest")).alias("r_digest"), of(F.col("_left"), F.col("more")).alias("l_n"),
         of(~F.col("_left"), -F.col("more")).alias("r_n"))
 
+    # Three readers follow; without the table each would take all digests of both sides again.
+    pairs = materialize(pairs, "pairs", free_shuffle=True)
+
     def fetched(df: DataFrame, name: str) -> DataFrame:
         """The fields of one row for each digest that is paired; digests are taken of the rows of paired keys alone."""
         wanted = pairs.where("l_digest IS NOT NULL AND r_digest IS NOT NULL").select("table_name", "_row").distinct()

@@ -155,6 +155,16 @@ def test_repeated_and_like_rows_are_all_compared(spark, listed):
     assert listed(M.compare_normalized(both, both)) == []
 
 
+def test_digests_are_taken_once(spark, listed):
+    left = records(spark.createDataFrame([(1, "a"), (2, "b")], "Id long, name string"), keys=("Id",))
+    right = records(spark.createDataFrame([(1, "c"), (3, "d")], "Id long, name string"), keys=("Id",))
+    diffs = M.compare_normalized(left, right)
+    # The pairs were written: the digests of a side are only taken again of the rows that are paired.
+    assert any("/pairs-" in name for name in diffs.inputFiles())
+    assert sorted(listed(diffs, "row_key", "action", "field_name")) == [
+        ("Id:1", "Changed", "name"), ("Id:2", "Deleted", None), ("Id:3", "Added", None)]
+
+
 def test_unmapped_type_is_an_error(spark):
     df = spark.sql("SELECT INTERVAL 1 DAY AS i")
     with pytest.raises(TypeError):
