@@ -163,25 +163,39 @@ class _Links:
         self.full = materialize(kept.mapInArrow(_full(self.width), "cls binary, shingles array<bigint>")
                                 .dropDuplicates(["cls"]), "shingles")
 
-    def prefix_pairs(self, wanted: DataFrame) -> DataFrame:
-        """``a, b`` of the classes in ``wanted`` (``cls, label``) that can be alike though their labels differ.
+    def prefixes(self, wanted: DataFrame) -> DataFrame:
+        """``value, cls, n, place, alone``: the shingles that classes in ``wanted`` (``cls``) must share one of to be alike.
 
-        Shingles are ordered by their frequency among these classes. At the first one that two sets share,
-        what follows it in the shorter rest must suffice for the similarity; no linked pair is lost.
+        Shingles are ordered by their frequency among these classes; ``alone`` is how many of a class no other one has.
         """
         posted = self.full.join(wanted, "cls", "left_semi").select("cls", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
         counted = posted.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
         shared = posted.join(counted, "value")
         alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
         rank = F.row_number().over(Window.partitionBy("cls").orderBy("freq", "value"))
-        prefix = shared.withColumn("place", alone + rank).where(
-            f"100 * (n - place + 1) >= {self.percent} * n").select("cls", "n", "value", "place")
-        prefix = materialize(prefix.join(wanted, "cls"), "prefixes")
-        other = prefix.toDF("b", "n_b", "value", "place_b", "other")
+        return materialize(shared.withColumn("alone", alone).withColumn("place", F.col("alone") + rank).where(
+            f"100 * (n - place + 1) >= {self.percent} * n").select("value", "cls", "n", "place", "alone"), "prefixes")
+
+    def prefix_pairs(self, prefix: DataFrame, starred: bool) -> DataFrame:
+        """``a, b`` of the classes in ``prefix`` that can be alike though their labels differ.
+
+        At the first shingle that two sets share, what follows it in the shorter rest must suffice for the
+        similarity; no linked pair is lost. With ``starred`` only the pairs with the class of each shingle that has
+        the fewest of its own.
+        """
+        told = prefix.join(self.labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+            "label", F.coalesce("label", "cls"))
+        told = materialize(told, "told-prefixes")
+        other = told.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), "value", F.col("place").alias("place_b"),
+                            F.col("label").alias("other"), F.col("alone").alias("alone_b"))
+        if starred:
+            other = other.groupBy("value").agg(F.min_by(F.struct("b", "n_b", "place_b", "other"), F.struct("alone_b", "b")).alias("pivot"))
+            other = other.select("value", "pivot.*")
         alike = f"{100 + self.percent} * (1 + least(n - place, n_b - place_b)) >= {self.percent} * (n + n_b)"
-        return prefix.join(other, "value").where(
-            f"cls < b AND label <> other AND 100 * least(n, n_b) >= {self.percent} * greatest(n, n_b) AND {alike}").select(
-            F.col("cls").alias("a"), "b")
+        return told.join(other, "value").where(
+            f"{'cls <> b' if starred else 'cls < b'} AND label <> other AND "
+            f"100 * least(n, n_b) >= {self.percent} * greatest(n, n_b) AND {alike}").select(
+            F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
 
     def verify(self, pairs: DataFrame) -> None:
         """Link the pairs whose full sets are alike, and join their components.
@@ -206,9 +220,10 @@ class _Links:
 
 
 def _keys(classes: DataFrame, percent: int) -> DataFrame:
-    """``value, cls, alone, size``: the retained values a class is looked up by, and the length of their lists.
+    """``value, cls, alone, rare, size``: the retained values a class is looked up by, and the length of their lists.
 
-    ``alone`` is how many retained values of the class no other class has.
+    ``alone`` is how many retained values of the class no other class has; the more classes have its values, the
+    less is ``rare``.
     """
     posted = classes.select("cls", "n", F.explode("sketch").alias("value"))
     counted = posted.groupBy("value").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
@@ -219,8 +234,9 @@ def _keys(classes: DataFrame, percent: int) -> DataFrame:
     # The rarest held - common + 1 values; those no other class has come first and need no list.
     alone = held - F.count(F.lit(1)).over(Window.partitionBy("cls"))
     chosen = materialize(shared.withColumn("place", F.row_number().over(order)).withColumn("alone", alone)
+                         .withColumn("rare", -F.sum("freq").over(Window.partitionBy("cls")))
                          .withColumn("spare", held - common + 1 - F.col("alone"))
-                         .where("place <= spare").select("value", "cls", "alone"), "keys")
+                         .where("place <= spare").select("value", "cls", "alone", "rare"), "keys")
     sizes = chosen.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return materialize(chosen.join(sizes, "value"), "lists")
 
@@ -250,11 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = lists.where(F.col("size") <= SHORT_LIST).groupBy("value").agg(F.sort_array(F.collect_list("cls")).alias("c"))
     paired = short.select(F.posexplode("c").alias("i", "a"), "c").select(
         "a", F.explode(F.expr("slice(c, i + 2, size(c))")).alias("b"))
-    # Of a long list, the class with the fewest values of its own meets all others: in a group of near copies
-    # it is the one closest to what they were made from.
+    # Of a long list, the class with the fewest values of its own meets all others, of several the one whose values
+    # most classes have: in a group of near copies it is the one closest to what they were made from.
     # A list was written by one task; its rows are spread by their class before they are read again and again.
-    long = materialize(lists.where(F.col("size") > SHORT_LIST).select("value", "cls", "alone").repartition("cls"), "long-lists")
-    least = long.groupBy("value").agg(F.min_by("cls", F.struct("alone", "cls")).alias("pivot"))
+    long = materialize(lists.where(F.col("size") > SHORT_LIST).select("value", "cls", "alone", "rare").repartition("cls"), "long-lists")
+    least = long.groupBy("value").agg(F.min_by("cls", F.struct("alone", "rare", "cls")).alias("pivot"))
     starred = long.join(least, "value").where("pivot <> cls").select(
         F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
     proposed = materialize(found.estimated(paired.union(starred).distinct()), "proposed")
@@ -263,7 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found.verify(proposed.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"))
     found.verify(_labelled(proposed, found.labels))
 
-    # Long lists that still hold several components: further pivots, then the prefix join of what is left.
+    # Long lists that still hold several components: further pivots, then the prefix join of what is left, first with
+    # one class of each shingle: a group that the pivots left in parts would be paired out otherwise.
     for turn in range(PIVOTS + 1):
         if long.isEmpty():
             break
@@ -276,12 +293,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < PIVOTS:
             # The component with the largest label: its class with the fewest values of its own meets all others.
             pivot = open_.where("label = high").groupBy("value").agg(
-                F.min_by("cls", F.struct("alone", "cls")).alias("pivot"))
+                F.min_by("cls", F.struct("alone", "rare", "cls")).alias("pivot"))
             pairs = open_.join(pivot, "value").where("label <> high").select(
                 F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+            found.verify(found.estimated(pairs.distinct()))
         else:
-            pairs = found.prefix_pairs(open_.select("cls", "label").distinct())
-        found.verify(found.estimated(pairs.distinct()))
+            prefix = found.prefixes(open_.select("cls").distinct())
+            for starred in (True, False):
+                found.verify(found.estimated(found.prefix_pairs(prefix, starred).distinct()))
 
     # The component's smallest id for each class, then for each row.
     told = classes.join(found.labels.withColumnRenamed("node", "cls"), "cls", "left").select(
