@@ -35,6 +35,9 @@ SYMBOLS = 1 << 18
 #: Distinct pieces of an anchor that are one collection. Beyond, windows are compared by their digests.
 COLLECTION = 2048
 
+#: Bytes of a column that a task keeps in memory from round to round; a larger one is a file.
+HELD = 1 << 20
+
 _CHUNK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
@@ -90,28 +93,39 @@ def pieces(body: np.ndarray, at: np.ndarray, length: int = LENGTH, anchor: int =
 
 
 class _File:
-    """A column on disk, read and written from front to back. It goes with the task that made it."""
+    """A column, read and written from front to back: on disk if it takes more than HELD bytes. It goes with its task."""
 
     def __init__(self, kind) -> None:
-        self.kind, self.now, self.next, self.rows = kind, tempfile.TemporaryFile(), tempfile.TemporaryFile(), 0
-
-    def read(self, spare: int = 0) -> np.ndarray:
-        """The column, with ``spare`` zeros behind it."""
-        column = np.empty(self.rows + spare, self.kind)
+        self.kind, self.rows = kind, 0
+        self.held: np.ndarray | None = None
+        self.now = self.next = None
+
+    def read(self) -> np.ndarray:
+        """The column, not to be changed."""
+        if self.held is not None:
+            return self.held
+        column = np.empty(self.rows, self.kind)
         self.now.seek(0)
-        self.now.readinto(column[:self.rows].view(np.uint8))
-        column[self.rows:] = 0
+        self.now.readinto(column.view(np.uint8))
         return column
 
     def write(self, column: np.ndarray) -> None:
         """Columns only grow, so the one before the last is written over."""
+        column = column.astype(self.kind, copy=False)
+        self.rows = len(column)
+        if column.nbytes <= HELD:
+            self.held = column
+            return
+        if self.now is None:
+            self.held, self.now, self.next = None, tempfile.TemporaryFile(), tempfile.TemporaryFile()
         self.next.seek(0)
-        self.next.write(column.astype(self.kind, copy=False).data)
-        self.now, self.next, self.rows = self.next, self.now, len(column)
+        self.next.write(column.data)
+        self.now, self.next = self.next, self.now
 
     def close(self) -> None:
-        self.now.close()
-        self.next.close()
+        for file in (self.now, self.next):
+            if file is not None:
+                file.close()
 
 
 def _same_symbol(bwt: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +136,9 @@ def _same_symbol(bwt: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     edges = np.flatnonzero(bwt[1:] != bwt[:-1])
     starts = np.zeros(len(edges) + 1, np.int64)
     starts[1:] = edges + 1
-    sizes = np.diff(starts, append=len(bwt))
+    sizes = np.empty(len(starts), np.int64)
+    np.subtract(edges, starts[:-1] - 1, out=sizes[:-1])
+    sizes[-1] = len(bwt) - starts[-1]
     heads = bwt[starts]
     order = np.argsort(heads, kind="stable")
     turn = np.empty(len(order), np.int32)
@@ -149,13 +165,13 @@ def suffix_order(body: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     codes = np.unique(body, return_inverse=True)[1].astype(np.uint8) + np.uint8(1)
     bwt_file, lcp_file = _File(np.uint8), _File(np.uint16)
     bwt_file.write(np.where(sizes > 0, codes[np.maximum(edges[1:] - 1, 0)] if len(codes) else 0, 0))
-    lcp_file.write(np.zeros(m, np.uint16))
+    lcp_file.write(np.zeros(m + 1, np.uint16))  # with a zero behind the last row
     # Strings that go on, in the order of the rows of their suffixes so far.
     live = rows = np.flatnonzero(sizes > 0)
     length = 0
     try:
         while len(live):
-            bwt, lcp = bwt_file.read(), lcp_file.read(spare=1)
+            bwt, lcp = bwt_file.read(), lcp_file.read()
             size, count = len(bwt), len(live)
             at, before, after = _same_symbol(bwt, rows)
             # New suffixes come in the order of the live rows among all rows by symbol.
@@ -170,23 +186,24 @@ def suffix_order(body: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
             lows = np.minimum.reduceat(lcp, cuts)
             own = np.where(has_before, lows[0::3] + np.uint16(1), np.uint16(0))[which]
             below = np.where(has_after, lows[1::3] + np.uint16(1), np.uint16(0))[which]
-            goes = at[which] + (m - size + np.count_nonzero(bwt))
+            goes = at[which] + count  # there are m empty suffixes, and m - count rows are a string's start
             live = live[which]
             length += 1
             # What stands before the new suffix.
             goes_on = sizes[live] > length
             fresh = np.where(goes_on, codes[np.maximum(edges[live + 1] - 1 - length, 0)], np.uint8(0))
-            old = np.ones(size + count, bool)
+            old = np.ones(size + count + 1, bool)
             old[goes] = False
-            wider_bwt, wider_lcp = np.empty(size + count, np.uint8), np.empty(size + count, np.uint16)
-            wider_bwt[old], wider_lcp[old] = bwt, lcp[:size]
+            wider_bwt, wider_lcp = np.empty(size + count, np.uint8), np.empty(size + count + 1, np.uint16)
+            wider_bwt[old[:-1]], wider_lcp[old] = bwt, lcp
             wider_bwt[goes], wider_lcp[goes] = fresh, own
-            follows = np.flatnonzero(old[np.minimum(goes + 1, size + count - 1)])  # a new suffix has its own value
+            follows = np.flatnonzero(old[goes + 1])  # a new suffix has its own value
             wider_lcp[goes[follows] + 1] = below[follows]
+            wider_lcp[-1] = 0
             bwt_file.write(wider_bwt)
             lcp_file.write(wider_lcp)
             live, rows = live[goes_on], goes[goes_on]
-        return bwt_file.read(), lcp_file.read()
+        return bwt_file.read(), lcp_file.read()[:-1]
     finally:
         bwt_file.close()
         lcp_file.close()

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import random
+import tempfile
 
-from driftline.llm import near_dedup
+import numpy as np
+import pytest
+
+from driftline.llm import near_dedup, suffix_dedup
 
 
 def test_a_large_group_of_near_copies_is_not_paired_out(docs_of, monkeypatch):
@@ -36,3 +40,18 @@ def test_a_large_group_of_near_copies_is_not_paired_out(docs_of, monkeypatch):
             break
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(least))
     assert sum(proposed) <= 10 * len(texts), proposed
+
+
+@pytest.mark.parametrize("held", [0, suffix_dedup.HELD])
+def test_small_columns_stay_in_memory(monkeypatch, held):
+    rng = random.Random(3)
+    strings = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 60))).encode() for _ in range(50)]
+    edges = np.cumsum([0] + [len(s) for s in strings])
+    files, make = [], tempfile.TemporaryFile
+    monkeypatch.setattr(tempfile, "TemporaryFile", lambda: files.append(make()) or files[-1])
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    got = suffix_dedup.repeated_windows(np.frombuffer(b"".join(strings), np.uint8), edges, 5)
+    places = [s[k:k + 5] for s in strings for k in range(len(s))]
+    whole = [p for p in places if len(p) == 5]
+    assert got.tolist() == [len(p) == 5 and whole.count(p) > 1 for p in places]
+    assert len(files) == (0 if held else 4) and all(f.closed for f in files)
