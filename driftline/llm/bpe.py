@@ -13,6 +13,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import closing
 
 import duckdb
 import numpy as np
@@ -21,11 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded pieces a Python worker remembers, by count and by bytes, before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 2_000_000, 160 << 20
+#: Bytes of the encoded pieces and parts that a task remembers before it starts anew, and what Python takes for a piece
+#: besides its text, ids and decoded bytes.
+REMEMBERED_BYTES, ENTRY_BYTES = 128 << 20, 400
 
 #: Bytes of new pieces encoded by one query (one longer piece is a query of its own).
-QUERY_BYTES = 2 << 20
+QUERY_BYTES = 1 << 20
 
 #: The pattern under which a lone space always starts a piece: each class of its pieces may have one in front.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,14 +93,6 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}, pattern)
 
 
-    def digest(self) -> str:
-        """Names the vocabulary and its pattern."""
-        found = hashlib.sha256(self.pattern.encode())
-        for token, rank in self.ranks.items():
-            found.update(b"%d %d " % (rank, len(token)) + token)
-        return found.hexdigest()
-
-
 class Encoder:
     """Encodes pieces inside one task. ``known`` holds ids as little-endian bytes, and the decoded bytes."""
 
@@ -108,7 +102,8 @@ class Encoder:
         self.find = regex.compile(vocabulary.pattern).findall
         self.spaced = re.compile(r"\s |  | \s|^ | $").search if vocabulary.pattern == SPACED else lambda text: True
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        self.parts: dict[str, bytes] = {}  # the ids of a space and the part
+        self.odd: dict[str, bytes] = {}
         self.held = 0
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         # Rules that only cost time on tables as small as these.
@@ -124,6 +119,11 @@ class Encoder:
             self.con.unregister("given")
         self.bytes = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
 
+    def close(self) -> None:
+        """Give back what is remembered, and the tables."""
+        self.con.close()
+        self.known, self.parts, self.odd, self.held = {}, {}, {}, 0
+
     def contract(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each piece."""
         body = np.frombuffer(b"".join(pieces), np.uint8)
@@ -171,7 +171,15 @@ class Encoder:
 
     def remember(self, piece: str, ids: bytes, decoded: bytes) -> None:
         self.known[piece] = (ids, decoded)
-        self.held += len(ids) + len(decoded)
+        self.held += ENTRY_BYTES + len(piece) + len(ids) + len(decoded)
+
+    def keep(self, part: str, ids: bytes, decoded: bytes) -> None:
+        """Remember a part by its ids; what they decode to only where it isn't the part itself."""
+        self.parts[part] = ids
+        self.held += ENTRY_BYTES // 2 + len(part) + len(ids)
+        if decoded != b" " + part.encode():
+            self.odd[part] = decoded
+            self.held += ENTRY_BYTES // 2 + len(decoded)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text.
@@ -179,34 +187,42 @@ class Encoder:
         Where no white space stands next to a space, each space starts a piece, so a text is cut at its
         spaces and the parts, which texts share, are remembered whole. The first part has no space before.
         """
-        if len(self.known) + len(self.parts) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.known, self.parts, self.held = {}, {}, 0
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.parts, self.odd, self.held = {}, {}, {}, 0
         split: list[tuple[bool, list[str]]] = []
         for text in texts:
             plain = self.spaced(text) is None
             split.append((plain, text.split(" ") if plain else self.find(text)))
-        fresh = {p for plain, parts in split if plain for p in parts[1:]} - self.parts.keys()
+        known, whole, odd = self.known, self.parts, self.odd
+        fresh = {p for plain, parts in split if plain for p in parts[1:]} - whole.keys()
         cut = {part: self.find(" " + part) for part in fresh}
         heads = [self.find(parts[0]) if plain else parts for plain, parts in split]
-        self.learn(({p for pieces in cut.values() for p in pieces} | {p for pieces in heads for p in pieces}) - self.known.keys())
-        known, whole = self.known, self.parts
+        asked = ({p for pieces in cut.values() for p in pieces} | {p for pieces in heads for p in pieces}) - known.keys()
+        # A space and a word are one piece, and as a part they are remembered already.
+        had = {p for p in asked if p[:1] == " " and p[1:] in whole}
+        self.learn(asked - had)
+        for piece in had:
+            self.remember(piece, whole[piece[1:]], odd.get(piece[1:]) or piece.encode())
         for part, pieces in cut.items():
-            if len(pieces) == 1:
-                whole[part] = known[pieces[0]]
-                continue
             coded = [known[p] for p in pieces]
-            whole[part] = (b"".join([c[0] for c in coded]), b"".join([c[1] for c in coded]))
-            self.held += sum(map(len, whole[part]))
+            self.keep(part, b"".join([c[0] for c in coded]), b"".join([c[1] for c in coded]))
         out = []
         for (plain, parts), head in zip(split, heads, strict=True):
             coded = [known[p] for p in head]
+            ids, decoded = [c[0] for c in coded], [c[1] for c in coded]
             if plain:
-                coded += [whole[p] for p in parts[1:]]
-            out.append((b"".join([c[0] for c in coded]), b"".join([c[1] for c in coded])))
+                ids += [whole[p] for p in parts[1:]]
+                decoded += [odd[p] if p in odd else b" " + p.encode() for p in parts[1:]] if odd else [
+                    (" " + " ".join(parts[1:])).encode()] if len(parts) > 1 else []
+            out.append((b"".join(ids), b"".join(decoded)))
+        # From now on the part stands for its only piece.
+        for piece in had.union(pieces[0] for pieces in cut.values() if len(pieces) == 1):
+            ids, decoded = known.pop(piece)
+            self.held -= ENTRY_BYTES + len(piece) + len(ids) + len(decoded)
         return out
 
 
-def _groups(texts: list[str | None], limit: int = 4 << 20) -> Iterator[list[str]]:
+def _groups(texts: list[str | None], limit: int = 2 << 20) -> Iterator[list[str]]:
     """The texts in groups of at most ``limit`` characters, or of one text."""
     group: list[str] = []
     size = 0
@@ -221,36 +237,26 @@ def _groups(texts: list[str | None], limit: int = 4 << 20) -> Iterator[list[str]
         yield group
 
 
-#: The encoder of this Python worker, kept from task to task: texts share most of their pieces.
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(key: str, broadcast) -> Encoder:
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(broadcast.value)
-    return _ENCODERS[key]
-
-
-def _run(broadcast, key: str, keep_ids: bool):
+def _run(broadcast, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            encoder = _encoder(key, broadcast)
-            counts, ids, id_hashes, decoded_hashes = [], [], [], []
-            for group in _groups(batch.column(1).to_pylist()):
-                for coded, decoded in encoder.encode(group):
-                    counts.append(len(coded) // 4)
-                    id_hashes.append(hashlib.sha256(coded).hexdigest())
-                    decoded_hashes.append(hashlib.sha256(decoded).hexdigest())
-                    if keep_ids:
-                        ids.append(np.frombuffer(coded, "<u4").astype(np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
-                       pa.array(decoded_hashes, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        # Of this task alone: a worker that went on to other work would still hold what an encoder remembers.
+        with closing(Encoder(broadcast.value)) as encoder:
+            for batch in batches:
+                counts, ids, id_hashes, decoded_hashes = [], [], [], []
+                for group in _groups(batch.column(1).to_pylist()):
+                    for coded, decoded in encoder.encode(group):
+                        counts.append(len(coded) // 4)
+                        id_hashes.append(hashlib.sha256(coded).hexdigest())
+                        decoded_hashes.append(hashlib.sha256(decoded).hexdigest())
+                        if keep_ids:
+                            ids.append(np.frombuffer(coded, "<u4").astype(np.int32))
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
+                           pa.array(decoded_hashes, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -267,11 +273,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     vocabulary = Vocabulary.read(path, pattern)
     known = spark.sparkContext.broadcast(vocabulary)
-    key = vocabulary.digest()
     kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _run(known, key, keep_ids), schema + (", ids array<int>" if keep_ids else ""))
+        _run(known, keep_ids), schema + (", ids array<int>" if keep_ids else ""))
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

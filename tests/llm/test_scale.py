@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import tempfile
+import tracemalloc
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from driftline.llm import near_dedup, suffix_dedup
+from driftline.llm import bpe, near_dedup, suffix_dedup
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def test_a_large_group_of_near_copies_is_not_paired_out(docs_of, monkeypatch):
@@ -55,3 +61,32 @@ def test_small_columns_stay_in_memory(monkeypatch, held):
     whole = [p for p in places if len(p) == 5]
     assert got.tolist() == [len(p) == 5 and whole.count(p) > 1 for p in places]
     assert len(files) == (0 if held else 4) and all(f.closed for f in files)
+
+
+def test_an_encoder_counts_what_it_remembers(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1000)) for _ in range(20)]
+    encoder = bpe.Encoder(bpe.Vocabulary.read(RANKS, public_tokenizers.PATTERN))
+    encoder.encode([" ".join(texts[0].split(" ")[:10])])
+    gc.collect()
+    tracemalloc.start()
+    first = encoder.encode(texts)
+    gc.collect()
+    remembered = tracemalloc.get_traced_memory()[0] - sum(len(i) + len(d) for i, d in first)
+    tracemalloc.stop()
+    assert 0.5 * remembered <= encoder.held <= 4 * remembered
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", encoder.held // 4)
+    again = [c for text in texts for c in encoder.encode([text])]
+    assert again == first and encoder.held < 2 * bpe.REMEMBERED_BYTES
+
+
+def test_a_worker_keeps_no_encoder_after_its_task(docs_of):
+    assert bpe.encode_texts(docs_of([(i, f"word{i} of text") for i in range(40)]), RANKS, public_tokenizers.PATTERN).count() == 40
+
+    def alive(batches):
+        for batch in batches:
+            n = sum(isinstance(o, bpe.Encoder) for o in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    ids = docs_of([(i, "") for i in range(40)]).select("doc_id").repartition(8)
+    assert {r["n"] for r in ids.mapInArrow(alive, "n long").collect()} == {0}
