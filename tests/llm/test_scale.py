@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import gc
 import random
+import string
 import tempfile
 import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
+import tiktoken
 
 from driftline.llm import bpe, near_dedup, suffix_dedup
 
@@ -80,6 +84,56 @@ def test_an_encoder_counts_what_it_remembers(monkeypatch):
     assert again == first and encoder.held < 2 * bpe.REMEMBERED_BYTES
 
 
+def _contracted(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """One pair at a time: of the least rank, the leftmost."""
+    tokens = [bytes([b]) for b in piece]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[t] for t in tokens]
+        i = min(found)[1]
+        tokens[i:i + 2] = [tokens[i] + tokens[i + 1]]
+
+
+def test_pairs_contracted_in_one_round_are_those_contracted_one_by_one():
+    rng = random.Random(11)
+    for trial in range(12):
+        letters = "abcd"[:rng.randint(2, 4)]
+        longer = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 5))).encode() for _ in range(rng.randint(5, 60))}
+        tokens = [bytes([i]) for i in range(256)] + sorted(longer, key=lambda t: (len(t) if trial % 2 else 0, rng.random()))
+        vocabulary = bpe.Vocabulary({t: i for i, t in enumerate(tokens)}, public_tokenizers.PATTERN)
+        assert not (vocabulary.before[vocabulary.alone].any() or vocabulary.behind[vocabulary.alone].any())
+        pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))).encode() for _ in range(300)]
+        for piece, (ids, decoded) in zip(pieces, bpe.Encoder(vocabulary).contract(pieces), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == _contracted(piece, vocabulary.ranks) and decoded == piece
+
+
+def test_words_of_a_text_are_not_cut_one_by_one():
+    """Only heads of texts and parts that aren't a word and marks take the pattern; white space beside a space, whole texts."""
+    vocabulary = bpe.Vocabulary.read(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    encoder = bpe.Encoder(vocabulary)
+    asked, find = [], encoder.find
+    encoder.find = lambda text: asked.append(text) or find(text)
+    whole = [f"a{white} b" for white in "\t\n\x0b\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000"] + [" a", "a ", "a  b", "a \n"]
+    texts = ["Qwzx vbnq it's vbnq", *whole, "", "one", "a\nb c", "漢字 éa vbnq", "x 's 12 \u200b",
+              "y vbnq?! été.. [a] a[] $$ c++ d`^ \u0301 e\u0301 f\u00d7 漢, Жук; \u00aa"]
+    for text, (ids, decoded) in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and decoded == text.encode()
+    assert set(asked) == {"Qwzx", " it's", *whole, "", "one", "a\nb", "漢字", "x", " 's", " 12", " \u200b",
+                          "y", " [a]", " $$", " \u0301", " e\u0301", " f\u00d7", " \u00aa"}
+
+
+def test_letters_and_marks_are_those_of_the_pattern():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+    def of(kind):
+        return pc.extract_regex(pa.array(list(every)), f"(?P<one>[{kind}])").drop_null().field(0).to_pylist()
+
+    assert set(of(bpe.LETTERS)) <= set(regex.findall(r"\p{L}", every)) and "z" in of(bpe.LETTERS)
+    assert set(of(bpe.MARKS)) == set(string.punctuation) - {"'"} <= set(regex.findall(r"[^\s\p{L}\p{N}]", every))
+
+
 def test_a_worker_keeps_no_encoder_after_its_task(docs_of):
     assert bpe.encode_texts(docs_of([(i, f"word{i} of text") for i in range(40)]), RANKS, public_tokenizers.PATTERN).count() == 40
 
