@@ -209,8 +209,40 @@ def suffix_order(body: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
         lcp_file.close()
 
 
+def _sharing(body: np.ndarray, edges: np.ndarray, span: int) -> np.ndarray:
+    """For each string whether any ``span`` bytes of it may stand anywhere else in the collection."""
+    out = np.zeros(len(edges) - 1, bool)
+    if len(body) < span:
+        return out
+    prefix = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(len(body), _BASE), out=prefix[1:])
+    hashes = mixed((prefix[span:] - prefix[:-span]) * powers(len(body) - span + 1, pow(_BASE, -1, 1 << 64)))
+    owner = np.repeat(np.arange(len(out), dtype=np.int32), np.diff(edges))
+    inside = owner[:len(hashes)] == owner[span - 1:]
+    hashes, owner = hashes[inside], owner[:len(inside)][inside]
+    order = np.argsort(hashes)
+    hashes, owner = hashes[order], owner[order]
+    twin = hashes[1:] == hashes[:-1]
+    out[owner[1:][twin]] = True
+    out[owner[:-1][twin]] = True
+    return out
+
+
 def repeated_windows(body: np.ndarray, edges: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For each byte of a collection whether the window that starts there stands anywhere else in it."""
+    """For each byte of a collection whether the window that starts there stands anywhere else in it.
+
+    A string that has no nine tenths of a window in common with any place of the collection isn't placed.
+    """
+    kept = _sharing(body, edges, max(1, length * 9 // 10))
+    if not kept.all():
+        inside, out = np.repeat(kept, np.diff(edges)), np.zeros(len(body), bool)
+        out[inside] = _placed_windows(body[inside], np.concatenate([[0], np.cumsum(np.diff(edges)[kept])]), length)
+        return out
+    return _placed_windows(body, edges, length)
+
+
+def _placed_windows(body: np.ndarray, edges: np.ndarray, length: int) -> np.ndarray:
+    """The repeated windows by the order of all suffixes."""
     bwt, lcp = suffix_order(body, edges)
     m, sizes = len(edges) - 1, np.diff(edges)
     long = lcp >= length

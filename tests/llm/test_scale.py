@@ -67,6 +67,22 @@ def test_small_columns_stay_in_memory(monkeypatch, held):
     assert len(files) == (0 if held else 4) and all(f.closed for f in files)
 
 
+@pytest.mark.parametrize("shared", [0, 8, 9, 10, 25])
+def test_strings_that_share_no_window_are_not_placed(monkeypatch, shared):
+    rng = random.Random(shared)
+    strings = [bytes(rng.choice(b"abcdefgh") for _ in range(30)) for _ in range(40)] + [b"", b"ab"]
+    middle = bytes(rng.choice(b"xyz") for _ in range(shared))
+    strings[5:7] = [strings[5][:3] + middle + strings[5][:9], strings[6][:12] + middle + strings[6][12:]]
+    placed, order = [], suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda body, edges: placed.append(len(edges) - 1) or order(body, edges))
+    edges = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    got = suffix_dedup.repeated_windows(np.frombuffer(b"".join(strings), np.uint8), edges, 10)
+    windows = [s[i:i + 10] for s in strings for i in range(len(s))]
+    whole = [w for w in windows if len(w) == 10]
+    assert got.tolist() == [len(w) == 10 and whole.count(w) > 1 for w in windows]
+    assert placed == [2 if shared >= 9 else 0] and got.any() == (shared >= 10)
+
+
 def test_an_encoder_counts_what_it_remembers(monkeypatch):
     rng = random.Random(4)
     texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1000)) for _ in range(20)]
